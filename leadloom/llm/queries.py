@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .common import table
+from .quality import quality_scores
+from .rules import quality_rules
 from .simhash import simhash_groups
 
 
@@ -10,5 +12,13 @@ def op4_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_simhash": op4_simhash}
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_quality(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_simhash": op4_simhash, "op7_quality_rules": op7_quality_rules, "op10_quality": op10_quality}
 ORACLE_SQL: dict[str, str] = {}
