@@ -14,7 +14,6 @@ from .html_pages import labelled_pages
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-_SPACES = re.compile(r"\s+")
 _PIECE = re.compile(r"[a-z]+")
 
 #: Fixed by the HTML standard.
@@ -24,6 +23,7 @@ _RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 #: An open element of the value's tags ends where the key begins.
 _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 #: Where looking for an element that ends stops.
@@ -31,7 +31,7 @@ _SCOPE = frozenset("table ul ol dl div article section main aside body html td t
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "children", "text", "y", "n", "linked")
+    __slots__ = ("tag", "attrs", "parent", "children", "text", "y", "n", "linked", "a", "b", "m", "ua", "ub", "da", "db", "p")
 
     def __init__(self, tag, attrs, parent):
         self.tag, self.attrs, self.parent, self.children, self.text, self.y = tag, attrs, parent, [], None, None
@@ -103,20 +103,34 @@ def order(root: Node) -> list[Node]:
     return out
 
 
-def _level(x: float, *cuts) -> int:
-    return sum(x > c for c in cuts)
+def amount(node: Node) -> str:
+    """How much text a node holds, and which share of it is in links, as steps."""
+    n = node.n
+    if not n:
+        return "l:x"
+    share = node.linked / n
+    return f"l:{0 if share == 0 else 1 if share <= 0.3 else 2 if share <= 0.8 else 3}:{0 if n <= 25 else 1 if n <= 200 else 2 if n <= 1000 else 3}"
+
+
+def kind(node: Node) -> str:
+    """Which parent-child potential a node has: text and inline elements nearly always go with their parent."""
+    return "text" if node.tag == "#text" else "inline" if node.tag in INLINE else "leafy" if node.tag in ("p", "li", "td", "th", "br", "img") else "block"
 
 
 def features(node: Node) -> list[str]:
-    """What is seen of a node: tag, pieces of class, id and role, amount of text and share of it in links."""
-    if node.tag == "#text":
-        return [f"t:{_level(node.n, 0, 12, 40, 120)}"]
-    out = ["g:" + node.tag]
+    """What is seen of a node: tag, pieces of class, id and role, amount of text and share of it in links.
+
+    Text and plain inline elements show nothing of their own; what they hold counts for the block around.
+    """
+    if node.tag == "#text" or node.tag in INLINE and not node.attrs:
+        return []
+    out = [] if node.tag in INLINE else ["g:" + node.tag]
     if node.attrs:
         for k, *v in _ATTR.findall(node.attrs):
             if k.lower() in ("class", "id", "role"):
                 out += ["c:" + p for p in _PIECE.findall("".join(v).lower())]
-    out.append(f"l:{_level(node.linked / node.n, 0.0, 0.3, 0.8) if node.n else 'x'}:{_level(node.n, 0, 25, 200, 1000)}")
+    if node.tag not in INLINE:
+        out.append(amount(node))
     return out
 
 
@@ -150,69 +164,79 @@ def fit(pages: list[str]) -> dict:
             if x.parent is None:
                 starts[x.y] += 1
             else:
-                moves["#" if x.tag == "#text" else "e"][x.parent.y][x.y] += 1
+                moves[kind(x)][x.parent.y][x.y] += 1
             for f in features(x):
                 seen[x.y][f] += 1
                 total[x.y] += 1
     words = set(seen[0]) | set(seen[1])
-    emit = {f: [math.log((seen[s][f] + 0.5) / (total[s] + 0.5 * len(words))) for s in (0, 1)] for f in words}
+    emit = {f: [math.log((seen[s][f] + 0.1) / (total[s] + 0.1 * len(words))) for s in (0, 1)] for f in words}
     move = {k: [[math.log(c / sum(row)) for c in row] for row in rows] for k, rows in moves.items()}
     return {"emit": {f: b - a for f, (a, b) in emit.items()}, "move": move, "start": math.log(starts[1] / starts[0])}
 
 
-def marginals(nodes: list[Node], model: dict) -> dict[int, float]:
-    """P(article) of each node, by one pass of messages from the leaves to the root and one back. Keys are id(node)."""
-    emit, move = model["emit"], {k: [[math.exp(v) for v in row] for row in rows] for k, rows in model["move"].items()}
-    one = [[0.5, 0.5], [0.5, 0.5]]
-    own, up = {}, {}
+class Potentials:
+    """The fitted potentials in the form that messages use; what is seen of a tag and its attributes is looked up once."""
+
+    def __init__(self, model: dict):
+        self.emit = model["emit"]
+        self.odds = math.exp(model["start"])
+        self.move = {k: tuple(math.exp(v) for row in rows for v in row) for k, rows in model["move"].items()}
+        self.known: dict[tuple[str, str], tuple[float, tuple]] = {}
+
+    def of(self, node: Node) -> tuple[float, tuple]:
+        """(score of tag and attributes, potential towards the parent)."""
+        key = node.tag, node.attrs
+        if (found := self.known.get(key)) is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            seen = sum(self.emit.get(f, 0.0) for f in features(node) if f[0] != "l")
+            found = self.known[key] = seen, self.move.get(kind(node), (0.5, 0.5, 0.5, 0.5))
+        return found
+
+
+def marginals(nodes: list[Node], model: Potentials) -> None:
+    """Sets p, P(article), of each node by one pass of messages from the leaves to the root and one back."""
     for x in reversed(nodes):
-        s = sum(emit.get(f, 0.0) for f in features(x))
-        s = max(-30.0, min(30.0, s))
-        a, b = (math.exp(-s), 1.0) if s > 0 else (1.0, math.exp(s))
+        seen, m = model.of(x)
+        if x.tag != "#text" and x.tag not in INLINE:
+            seen += model.emit.get(amount(x), 0.0)
+        if seen > 0:
+            a, b = math.exp(-min(seen, 30.0)), 1.0
+        else:
+            a, b = 1.0, math.exp(max(seen, -30.0))
         for c in x.children:
-            ca, cb = up[id(c)]
-            a, b = a * ca, b * cb
+            a *= c.ua
+            b *= c.ub
             z = a + b
-            a, b = a / z, b / z
-        own[id(x)] = a, b
-        m = move.get("#" if x.tag == "#text" else "e", one)
-        up[id(x)] = m[0][0] * a + m[0][1] * b, m[1][0] * a + m[1][1] * b
-    down, out = {}, {}
-    odds = math.exp(model["start"])
+            a /= z
+            b /= z
+        x.a, x.b, x.m = a, b, m
+        x.ua, x.ub = m[0] * a + m[1] * b, m[2] * a + m[3] * b
+    nodes[0].da, nodes[0].db = 1 / (1 + model.odds), model.odds / (1 + model.odds)
     for x in nodes:
-        da, db = down.get(id(x), (1 / (1 + odds), odds / (1 + odds)))
-        a, b = own[id(x)]
-        pa, pb = a * da, b * db
-        out[id(x)] = pb / (pa + pb)
+        pa, pb = x.a * x.da, x.b * x.db
+        x.p = pb / (pa + pb)
         for c in x.children:
-            ua, ub = up[id(c)]
-            qa, qb = pa / ua, pb / ub  # all that x knows but what c told it
-            z = qa + qb
-            m = move.get("#" if c.tag == "#text" else "e", one)
-            down[id(c)] = (qa * m[0][0] + qb * m[1][0]) / z, (qa * m[0][1] + qb * m[1][1]) / z
-    return out
+            qa, qb = pa / c.ua, pb / c.ub  # all that x knows but what c told it
+            z, m = qa + qb, c.m
+            c.da, c.db = (qa * m[0] + qb * m[2]) / z, (qa * m[1] + qb * m[3]) / z
 
 
-def extract(html: str | None, model: dict) -> str:
+def extract(html: str | None, model: Potentials) -> str:
     """The article's blocks in page order, joined by newlines."""
     if not html:
         return ""
     root = parse(html)
     nodes = order(root)
-    measure(nodes)
-    hidden = set()
     for x in nodes:
-        if x.tag in RAW or x.tag == "form" or (x.parent is not None and id(x.parent) in hidden):
-            hidden.add(id(x))
-    shown = [x for x in nodes if id(x) not in hidden]
-    for x in shown:
-        x.children = [c for c in x.children if id(c) not in hidden]
+        x.children = [c for c in x.children if c.tag not in RAW and c.tag != "form"]
+    shown = order(root)
     measure(shown)
-    p = marginals(shown, model)
+    marginals(shown, model)
     blocks, now = [], []
 
     def close():
-        if now and (text := _SPACES.sub(" ", "".join(now)).strip()):
+        if now and (text := " ".join("".join(now).split())):
             blocks.append(text)
         now.clear()
 
@@ -222,7 +246,7 @@ def extract(html: str | None, model: dict) -> str:
         if ends:
             close()
         elif x.text is not None:
-            if p[id(x)] >= 0.5 or x.n == 0:
+            if x.p >= 0.5 or x.n == 0:
                 now.append(x.text)
         elif x.tag == "br":
             now.append(" ")
@@ -247,8 +271,9 @@ def extract_pages(pages: DataFrame, model: dict | None = None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        potentials = Potentials(model)
         for b in batches:
-            text = [extract(x.as_py(), model) for x in b.column(2)]
+            text = [extract(x.as_py(), potentials) for x in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -62,8 +62,8 @@ def _other(kind: str, k: int) -> str:
 def labelled_pages() -> list[str]:
     """Pages of every home with a moving window over what is not article, some with the parts nested in wrappers."""
     out = []
-    for k, ((tag, attrs), turn) in enumerate(product(_HOMES, range(12))):
-        some = [_OTHERS[(k * 5 + turn + i * 7) % len(_OTHERS)] for i in range(6)]
+    for k, ((tag, attrs), turn) in enumerate(product(_HOMES, range(24))):
+        some = [_OTHERS[(turn + i * 5 + k // 24 * 3) % len(_OTHERS)] for i in range(6)]
         rest = [f'<{t} {a} data-y="0">{_other(kind, k + i)}</{t}>' for i, (t, a, kind) in enumerate(some)]
         body = f'<{tag} {attrs} data-y="1">{_article(k)}</{tag}>'
         if turn % 4 == 1:  # something that is no article inside the article's home

@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from .common import table
+from .extraction import extract_pages
+from .lines import line_dedup
+from .mixing import mix
+from .packing import pack
 from .quality import quality_scores
 from .rules import quality_rules
+from .secrets import secret_scan
 from .simhash import simhash_groups
+from .toxicity import toxicity_scores
+from .vectors import vector_groups
+
+
+def op1_line_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return line_dedup(docs)
+
+
+def op2_extract(spark, sf_dir):
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_mix(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_pack(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_vectors(spark, sf_dir):
+    return vector_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_secrets(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_simhash": op4_simhash, "op7_quality_rules": op7_quality_rules, "op10_quality": op10_quality}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_line_dedup, op2_extract, op3_mix, op4_simhash, op5_pack, op6_vectors, op7_quality_rules, op8_secrets, op9_toxicity, op10_quality)
+}
 ORACLE_SQL: dict[str, str] = {}
