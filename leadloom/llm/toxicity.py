@@ -14,11 +14,13 @@ from .quality import calibrate, fitting_sample
 
 #: Bounds of the fitting sample: labelled rows of each class, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8000
-LANDMARKS = 96
+LANDMARKS = 48
 #: Length of the subsequences, and what each further character they span costs.
 ORDER, DECAY = 3, 0.6
 #: A word meets a landmark only if so much of the landmark is a subsequence of it; else the kernel counts as 0.
-LEAST_COMMON = 0.75
+LEAST_COMMON = 0.8
+#: A power of a kernel is a kernel; it sets chance matches further apart from insults.
+POWER = 2
 WIDTHS = (8, 16, 32)
 CACHE_WORDS = 600_000
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -49,7 +51,7 @@ class Kernel:
         for k, t in enumerate(landmarks):
             for j, c in enumerate(t[:31]):
                 self.masks[k, self.code[ord(c)]] |= np.uint32(1 << j)
-            self.need.append(math.ceil(LEAST_COMMON * min(len(t), 31)))
+            self.need.append(min(len(t), max(4, math.ceil(LEAST_COMMON * min(len(t), 31)))))
         self.masks[:, 0] = 0
         self.own = {t: float(self._pairs(*[self._codes([t], 32)] * 2)[0]) ** 0.5 or 1.0 for t in landmarks}
         self.seen: set[str] = set()
@@ -119,15 +121,17 @@ class Kernel:
             at = np.flatnonzero(np.bitwise_count(~v & full) >= self.need[k])
             if not len(at):
                 continue
-            s = codes[at]
-            value = self._pairs(s, np.repeat(self._codes([t], 32), len(at), 0))
-            own = np.sqrt(self._pairs(s, s))
-            # characters that no landmark has still lengthen a word; they count as if each were one more match-free place
-            for a, x in zip(at.tolist(), (value / np.maximum(own * self.own[t], 1e-12)).tolist()):
-                if x > 0.05:
-                    w, p = group[a]
-                    spread = (len(t) / max(len(t), len(p))) ** 0.5
-                    self.hits.setdefault(w, []).append((k, x * spread))
+            value = np.zeros(len(at))
+            mark = self._codes([t], len(t))
+            for wide in {min(width, len(t)), min(width, len(t) + 2)}:  # the word's best stretch of about the landmark's length
+                s = np.lib.stride_tricks.sliding_window_view(codes[at], wide, axis=1)
+                shape = s.shape[:2]
+                s = np.ascontiguousarray(s).reshape(-1, wide)
+                x = self._pairs(s, np.repeat(mark, len(s), 0))
+                value = np.maximum(value, (x / np.maximum(np.sqrt(self._pairs(s, s)) * self.own[t], 1e-12)).reshape(shape).max(1))
+            for a, x in zip(at.tolist(), value.tolist()):
+                if x > 0.2:
+                    self.hits.setdefault(group[a][0], []).append((k, x**POWER))
 
     def vector(self, words: list[str]):
         """The largest kernel with each landmark over a sentence's words; None if all are 0."""
@@ -142,27 +146,49 @@ class Kernel:
         return out
 
 
-def choose_landmarks(pos: list[set[str]], neg: list[set[str]], most: int = LANDMARKS) -> list[str]:
-    """Words, and beginnings that several words share, that mark toxic documents, strongest first."""
+def choose_landmarks(pos: list[list[list[str]]], neg: list[list[list[str]]], most: int = LANDMARKS) -> list[str]:
+    """Words, and beginnings that words share, that mark toxic documents, strongest first.
 
-    def units(words):
-        return {w[:31] for w in words if 3 <= len(w)} | {w[:k] for w in words for k in (5, 6) if len(w) > k}
+    Different pairs of neighbours that a word has are counted, so what near copies of a document share counts once.
+    """
+
+    def units(w):
+        return {w[:k] for k in (4, 5, 6, 31) if len(w) >= min(k, 4)}
+
+    def count(docs):
+        places = {(a, w, b) for d in docs for s in d for a, w, b in zip(["", *s], s, [*s[1:], ""]) if len(w) >= 4}
+        return Counter(u for _, w, _ in places for u in units(w))
 
-    p, n = Counter(u for d in pos for u in units(d)), Counter(u for d in neg for u in units(d))
+    p, n = count(pos), count(neg)
     np_, nn = max(1, len(pos)), max(1, len(neg))
     found = []
     for u, c in p.items():
-        if c >= max(3, 0.004 * np_):
-            a, b = (c + 0.5) / (np_ + 1), (n[u] + 0.5) / (nn + 1)
-            if a > 4 * b:
-                found.append((-(c - n[u] * np_ / nn) * math.log(a / b), len(u), u))
+        a, b = c / np_, (n[u] + 0.5) / nn
+        if c >= max(3, 0.012 * np_) and a > 10 * b:
+            found.append((-(c - n[u] * np_ / nn) * math.log(a / b), len(u), u))
     out: list[str] = []
     for _, _, u in sorted(found):
-        if not any(u.startswith(o) or o.startswith(u) and len(o) - len(u) < 3 for o in out):
+        if not any(u.startswith(o) or o.startswith(u) for o in out):
             out.append(u)
         if len(out) == most:
             break
-    return out
+    words = Counter(w[:31] for d in pos for s in d for w in s if w.startswith(tuple(out))) if out else Counter()
+    return list(dict.fromkeys(_longest(u, words) for u in out))
+
+
+def _longest(stem: str, words: Counter) -> str:
+    """The stem, longer by what nine tenths of the words that begin with it have in common."""
+    own = {w: c for w, c in words.items() if w.startswith(stem)}
+    total = sum(own.values())
+    while True:
+        nexts = Counter()
+        for w, c in own.items():
+            if len(w) > len(stem) and w.startswith(stem):
+                nexts[w[len(stem)]] += c
+        c, n = max(nexts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
+        if n < 0.9 * total or len(stem) == 31:
+            return stem
+        stem += c
 
 
 def fit_svm(x, y, weight, ridge: float = 1e-2, rounds: int = 40):
@@ -190,14 +216,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold_of=None, rows: int = S
     Sentences of clean documents are clean; in a toxic document, the sentences that meet a landmark well are
     toxic. Landmarks with a character put in stand as toxic sentences too, so gaps are learnt.
     """
+    fold_of = F.lit(True) if fold_of is None else fold_of
+    sample = fitting_sample(docs, labels, "toxic", rows, fold_of)
+    got = sorted((r for r in sample.select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if r.text), key=lambda r: (r.doc_id, r.text))
+    share = labels.where(fold_of & F.col("toxic").isNotNull()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    return fit_rows([(r.y, r.text) for r in got], share)
+
+
+def fit_rows(rows: list[tuple[int, str]], share: float | None) -> dict:
+    """The model from (label, text) rows; share is that of toxic rows among all labelled ones."""
     import numpy as np
 
-    sample = fitting_sample(docs, labels, "toxic", rows, F.lit(True) if fold_of is None else fold_of)
-    got = sorted((r for r in sample.select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if r.text), key=lambda r: (r.doc_id, r.text))
-    parsed = [(r.y, sentence_words(r.text)) for r in got]
-    landmarks = choose_landmarks([{w for s in d for w in s} for y, d in parsed if y], [{w for s in d for w in s} for y, d in parsed if not y])
+    parsed = [(y, sentence_words(t)) for y, t in dict.fromkeys(rows)]
+    landmarks = choose_landmarks([d for y, d in parsed if y], [d for y, d in parsed if not y])
     if not landmarks:
-        share = (sum(y for y, _ in parsed) + 0.5) / (len(parsed) + 1) if parsed else 0.5
+        share = min(max(share, 1e-3), 1 - 1e-3) if share is not None else 0.5
         return {"landmarks": [], "w": [], "offset": 0.0, "slope": 0.0, "shift": math.log(share / (1 - share))}
     kernel = Kernel(landmarks)
     spoilt = [t[:i] + c + t[i:] for t in landmarks if len(t) > 4 for i in range(1, len(t)) for c in "-*"]
@@ -211,7 +244,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold_of=None, rows: int = S
         vectors = [v for s in d if (v := kernel.vector(s)) is not None]
         best.append(vectors)
         for v in vectors:
-            if not label or v.max() >= 0.6:
+            if not label or v.max() >= 0.5:
                 x.append(v)
                 y.append(1.0 if label else -1.0)
                 weight.append(1.0)
@@ -228,6 +261,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, fold_of=None, rows: int = S
     w = whiten @ w
     top = [max([offset, *(float(v @ w) + offset for v in vs)]) for vs in best]
     slope, shift = calibrate(top, [label for label, _ in parsed])
+    if slope and share:  # calibrate weighs the classes alike; back to how often they occur
+        shift += math.log(share / (1 - share))
     return {"landmarks": landmarks, "w": w.tolist(), "offset": offset, "slope": slope, "shift": shift}
 
 
