@@ -19,7 +19,7 @@ from .vectors import vector_groups
 
 def op1_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return line_dedup(docs)
+    return line_dedup(docs, report=True)
 
 
 def op2_extract(spark, sf_dir):
