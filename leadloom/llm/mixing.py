@@ -53,7 +53,7 @@ def sainte_lague(rows: DataFrame, group: list[str], weight: str, seats: str, ord
     seats between those two bounds are ranked, about two for each row.
     """
     w = Window.partitionBy(*group)
-    share = lambda sign: F.col(weight) / F.col("__sum") * F.greatest(F.col(seats) + sign * F.col("__n") / 2, F.lit(0.0))
+    share = lambda sign: F.col(weight) / F.nullif(F.col("__sum"), F.lit(0.0)) * F.greatest(F.col(seats) + sign * F.col("__n") / 2, F.lit(0.0))
     d = rows.withColumns({"__sum": F.sum(weight).over(w), "__n": F.count("*").over(w)})
     d = d.withColumns({"__lo": F.greatest(F.floor(share(-1) - 0.5), F.lit(0)), "__hi": F.ceil(share(1) + 0.5)}).fillna(0, ["__lo", "__hi"])
     tries = d.withColumn("__k", F.explode(F.sequence("__lo", F.greatest("__hi", "__lo"))))  # the first stands for the lower bound

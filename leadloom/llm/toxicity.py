@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_crc
-from .quality import calibrate, fitting_sample
+from .quality import fitting_sample
 
 #: Bounds of the fitting sample: labelled rows of each class, and characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8000
@@ -41,7 +41,8 @@ class Kernel:
     def __init__(self, landmarks: list[str]):
         import numpy as np
 
-        self.landmarks = landmarks
+        # landmarks begin words, and what begins a word counts: the mark of a word's begin is a character
+        landmarks = self.landmarks = ["^" + t[:30] for t in landmarks]
         chars = sorted({c for t in landmarks for c in t})[:250]
         self.code = np.zeros(0x110000, np.uint8)
         for i, c in enumerate(chars, 1):
@@ -99,7 +100,8 @@ class Kernel:
         self.seen.update(new)
         pieces: list[tuple[str, str]] = []
         for w in new:  # a longer word is met piece by piece
-            pieces += [(w, w)] if len(w) <= WIDTHS[-1] else [(w, w[i : i + WIDTHS[-1]]) for i in range(0, len(w) - 15, 16)]
+            x = "^" + w
+            pieces += [(w, x)] if len(x) <= WIDTHS[-1] else [(w, x[i : i + WIDTHS[-1]]) for i in range(0, len(x) - 15, 16)]
         lo = 0
         for width in WIDTHS:
             group = [p for p in pieces if lo < len(p[1]) <= width]
@@ -153,7 +155,7 @@ def choose_landmarks(pos: list[list[list[str]]], neg: list[list[list[str]]], mos
     """
 
     def units(w):
-        return {w[:k] for k in (4, 5, 6, 31) if len(w) >= min(k, 4)}
+        return {w[:k] for k in (3, 4, 5, 6, 30) if len(w) >= min(k, 4)}
 
     def count(docs):
         places = {(a, w, b) for d in docs for s in d for a, w, b in zip(["", *s], s, [*s[1:], ""]) if len(w) >= 4}
@@ -163,8 +165,8 @@ def choose_landmarks(pos: list[list[list[str]]], neg: list[list[list[str]]], mos
     np_, nn = max(1, len(pos)), max(1, len(neg))
     found = []
     for u, c in p.items():
-        a, b = c / np_, (n[u] + 0.5) / nn
-        if c >= max(3, 0.012 * np_) and a > 10 * b:
+        a, b = (c - 2 * c**0.5) / np_, (n[u] + 1) / nn  # at least, at most
+        if a > 10 * b:
             found.append((-(c - n[u] * np_ / nn) * math.log(a / b), len(u), u))
     out: list[str] = []
     for _, _, u in sorted(found):
@@ -172,7 +174,7 @@ def choose_landmarks(pos: list[list[list[str]]], neg: list[list[list[str]]], mos
             out.append(u)
         if len(out) == most:
             break
-    words = Counter(w[:31] for d in pos for s in d for w in s if w.startswith(tuple(out))) if out else Counter()
+    words = Counter(w[:30] for d in pos for s in d for w in s if w.startswith(tuple(out))) if out else Counter()
     return list(dict.fromkeys(_longest(u, words) for u in out))
 
 
@@ -186,7 +188,7 @@ def _longest(stem: str, words: Counter) -> str:
             if len(w) > len(stem) and w.startswith(stem):
                 nexts[w[len(stem)]] += c
         c, n = max(nexts.items(), key=lambda x: (x[1], x[0]), default=("", 0))
-        if n < 0.9 * total or len(stem) == 31:
+        if n < 0.9 * total or len(stem) == 30:
             return stem
         stem += c
 
@@ -231,7 +233,7 @@ def fit_rows(rows: list[tuple[int, str]], share: float | None) -> dict:
     landmarks = choose_landmarks([d for y, d in parsed if y], [d for y, d in parsed if not y])
     if not landmarks:
         share = min(max(share, 1e-3), 1 - 1e-3) if share is not None else 0.5
-        return {"landmarks": [], "w": [], "offset": 0.0, "slope": 0.0, "shift": math.log(share / (1 - share))}
+        return {"landmarks": [], "w": [], "offset": 0.0, "slope": [0.0] * 3, "shift": math.log(share / (1 - share))}
     kernel = Kernel(landmarks)
     spoilt = [t[:i] + c + t[i:] for t in landmarks if len(t) > 4 for i in range(1, len(t)) for c in "-*"]
     kernel.learn({w for _, d in parsed for s in d for w in s} | set(spoilt) | set(landmarks))
@@ -259,18 +261,44 @@ def fit_rows(rows: list[tuple[int, str]], share: float | None) -> dict:
             weight[y == sign] /= weight[y == sign].sum()
     w, offset = fit_svm(x @ whiten, y, weight * 100)
     w = whiten @ w
-    top = [max([offset, *(float(v @ w) + offset for v in vs)]) for vs in best]
-    slope, shift = calibrate(top, [label for label, _ in parsed])
-    if slope and share:  # calibrate weighs the classes alike; back to how often they occur
+    seen = np.array([pooled([float(v @ w) + offset for v in vs], len(d), offset) for vs, (_, d) in zip(best, parsed)])
+    slope, shift = fit_logistic(seen, np.array([label for label, _ in parsed], float))
+    if share:  # the classes weighed alike in the fit; back to how often they occur
         shift += math.log(share / (1 - share))
     return {"landmarks": landmarks, "w": w.tolist(), "offset": offset, "slope": slope, "shift": shift}
 
 
+def pooled(values: list[float], sentences: int, offset: float) -> list[float]:
+    """What a document's sentences show: the largest value, and how many are toxic, as a logarithm and as a share."""
+    toxic = sum(v > 0 for v in values)
+    return [max([offset, *values]), math.log1p(toxic), toxic / max(1, sentences)]
+
+
+def fit_logistic(x, y, ridge: float = 1.0, rounds: int = 50):
+    """(slopes, offset) of a logistic curve, by Newton steps with a ridge on scaled features; the classes weigh alike."""
+    import numpy as np
+
+    if len(set(y.tolist())) < 2:
+        return [0.0] * x.shape[1], 0.0
+    scale = np.maximum(x.std(0), 1e-9)
+    a = np.c_[x / scale, np.ones(len(x))]
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    reg = np.diag([ridge] * x.shape[1] + [1e-6])
+    beta = np.zeros(a.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + reg, a.T @ (weight * (y - p)) - reg @ beta)
+        beta = beta + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-8:
+            break
+    return (beta[:-1] / scale).tolist(), float(beta[-1])
+
+
 _kernels: dict[tuple, Kernel] = {}
 
 
 def score_texts(texts: list[str | None], model: dict) -> list[float]:
-    """The score of each whole text: its most toxic sentence's, calibrated."""
+    """The score of each whole text, pooled from its sentences."""
     import numpy as np
 
     w, key = np.array(model["w"]), tuple(model["landmarks"])
@@ -282,11 +310,11 @@ def score_texts(texts: list[str | None], model: dict) -> list[float]:
     if kernel:
         kernel.learn({x for d in parsed for s in d for x in s})
     for d in parsed:
-        top = model["offset"]
+        values = []
         for s in d:
             if kernel and any(x in kernel.hits for x in s) and (v := kernel.vector(s)) is not None:
-                top = max(top, float(v @ w) + model["offset"])
-        z = model["slope"] * top + model["shift"]
+                values.append(float(v @ w) + model["offset"])
+        z = sum(a * b for a, b in zip(model["slope"], pooled(values, len(d), model["offset"]))) + model["shift"]
         out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
     return out
 
