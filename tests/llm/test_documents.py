@@ -318,6 +318,7 @@ def test_scores_held_out(score, label, least, spark):
 
 def test_line_dedup(make, odd):
     base = "The quick brown fox jumps over the lazy dog near the old quiet harbour while many people wait for morning boats to come home again and talk"
+    base = base + " " + " ".join(f"{w}{i}" for i in range(10) for w in ("harbour", "weather", "people", "morning", "village"))
     near = base.replace("lazy", "sleepy")
     far = "Completely different words stand here in a line that shares nothing with any other line of this small table"
     docs = make([(1, f"{base}\nshort line\n{far}"), (2, f"{base.upper()}\nshort line\nunique text of the second document is here"), (3, f"  {near} \n{far}\n{far}"), (4, None), (5, f"{far}\nshort line")])
