@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import record_queries, site_queries
+
+QUERIES: dict = {**site_queries.QUERIES, **record_queries.QUERIES}
+ORACLE_SQL: dict = {**site_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
