@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ SLACK = 4
 #: Pieces that one task packs in a round.
 TASK_ROWS = 20_000
 #: Words whose ids a Python worker remembers; beyond, it forgets all and starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 _MARK = "\x01"
 _TAIL = ".,;:!?"
 
@@ -28,7 +29,7 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Token ids of whole texts. The tokenizer drops white space, so a text's ids are its words' ids in a row,
-    and each distinct word is encoded once."""
+    and each distinct word is encoded once; the ids of known words stand one after the other in one array."""
 
     made: dict[str, Encoder] = {}
 
@@ -39,8 +40,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.starts, self.lengths, self.ids = array("q"), array("i"), array("I")
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -58,6 +63,12 @@ class Encoder:
             return stem, word[len(stem) :]
         return (word,)
 
+    def _add(self, word: str, ids: bytes) -> None:
+        self.place[word] = len(self.starts)
+        self.starts.append(len(self.ids))
+        self.lengths.append(len(ids) // 4)
+        self.ids.frombytes(ids)
+
     def _encode(self, words: list[str]) -> None:
         import numpy as np
 
@@ -66,23 +77,45 @@ class Encoder:
             some = plain[i : i + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(ids == self.mark)
-            for w, s, e in zip(some, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]):
-                self.cache[w.encode()] = ids[s:e].tobytes()
+            raw = ids.tobytes()
+            for w, s, e in zip(some, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]):
+                self._add(w, raw[s:e])
         for w in set(words) - set(plain):
-            self.cache[w.encode()] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; a null text has none."""
-        words = [(t or "").encode().split() for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        new = set().union(*words) - self.cache.keys() if words else set()
-        if new:
-            split = {w: self.parts(w.decode()) for w in new}
-            self._encode(list({p for ps in split.values() for p in ps if p.encode() not in self.cache}))
+            self._add(w, np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+
+    def _raw(self, word: str) -> bytes:
+        k = self.place[word]
+        return self.ids[self.starts[k] : self.starts[k] + self.lengths[k]].tobytes()
+
+    def encode(self, texts) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; a null text has none. texts: a list or Arrow array.
+
+        Words are split and made distinct by Arrow, looked up once each, and their ids gathered with numpy.
+        """
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        words = pc.ascii_split_whitespace(texts.fill_null(""))
+        ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        known, code = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        if new := [w for w in known if w not in self.place]:
+            split = {w: self.parts(w) for w in new}
+            self._encode(list({p for ps in split.values() for p in ps if p not in self.place}))
             for w, ps in split.items():
-                self.cache[w] = b"".join(self.cache[p.encode()] for p in ps)
-        return [b"".join(map(self.cache.__getitem__, w)) for w in words]
+                if w not in self.place:
+                    self._add(w, b"".join(map(self._raw, ps)))
+        at = np.fromiter(map(self.place.__getitem__, known), np.int64, len(known))[code]
+        starts, lengths, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.lengths, np.int32), np.frombuffer(self.ids, np.uint32)
+        n = lengths[at]
+        sums = np.r_[0, np.cumsum(n, dtype=np.int64)]
+        found = ids[np.repeat(starts[at] - sums[:-1], n) + np.arange(sums[-1])] if len(at) else ids[:0]
+        cuts = sums[ends].tolist()
+        return [found[s:e].tobytes() for s, e in zip(cuts, cuts[1:])]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -95,9 +128,9 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
         encoder = Encoder.of(path)
         for b in batches:
             out = []
-            for k in range(0, b.num_rows, 128):
-                some = b.slice(k, 128)
-                for doc, raw in zip(some.column(0).to_pylist(), encoder.encode(some.column(1).to_pylist())):
+            for k in range(0, b.num_rows, 2048):
+                some = b.slice(k, 2048)
+                for doc, raw in zip(some.column(0).to_pylist(), encoder.encode(some.column(1))):
                     raw += b"\0\0\0\0"
                     for i in range(0, len(raw), 4 * capacity):
                         cut = raw[i : i + 4 * capacity]
