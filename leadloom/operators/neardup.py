@@ -40,11 +40,33 @@ def greedy_keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return kept if kept is not None else nodes.select("id")
 
 
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once for each row; a lambda would evaluate it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(text: Column, n: int) -> Column:
     """Distinct n-word shingles of lower-case words; a shorter text is one shingle."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    many = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
-    return F.when(F.size(words) < n, F.array(F.concat_ws(" ", words))).otherwise(F.array_distinct(many))
+
+    def of(w: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.concat_ws(" ", *[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) < n, F.array(F.concat_ws(" ", w))).otherwise(F.array_distinct(many))
+
+    return _let(words(text), of)
+
+
+def trigrams(text: Column) -> Column:
+    """Distinct character trigrams of lower-case text with white space as single spaces; a shorter text is one."""
+
+    def of(c: Column) -> Column:
+        many = F.transform(F.sequence(F.lit(0), F.size(c) - 3), lambda i: F.concat(F.get(c, i), F.get(c, i + 1), F.get(c, i + 2)))
+        return F.when(F.size(c) < 3, F.array(F.concat_ws("", c))).otherwise(F.array_distinct(many))
+
+    return _let(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), ""), of)
 
 
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:

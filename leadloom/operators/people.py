@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import constants as K
 from leadloom.functions.exprs import company_key, profile_url
 
-from .neardup import greedy_keep_first
+from .neardup import greedy_keep_first, settled
 
 
 def title_tier(title: Column) -> Column:
@@ -81,7 +81,8 @@ def coordination_hold(ranked: DataFrame, last_contact: DataFrame, today, window_
 
 def coordination_hold_exact(ranked: DataFrame, small: int = 6) -> DataFrame:
     """(person_id) kept in the run where people may answer to several keys: the sequential rule, as a graph."""
-    keys = ranked.where(F.coalesce(F.col("headcount") <= small, F.lit(False))).select("person_id", F.row_number().over(Window.orderBy(F.desc("score"), "person_id")).alias("pos"), F.explode("keys").alias("key"))
+    placed = ranked.where(F.coalesce(F.col("headcount") <= small, F.lit(False))).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "person_id")))
+    keys = settled(placed.select("person_id", "pos", F.explode("keys").alias("key")), "hold")
     other = keys.select("key", F.col("pos").alias("b"))
     pairs = keys.select("key", F.col("pos").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
     nodes = keys.select(F.col("pos").alias("id"), "person_id").distinct()

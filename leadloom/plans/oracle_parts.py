@@ -66,7 +66,7 @@ PEOPLE = f"""{COMPANIES}, people AS (
   LEFT JOIN companies c USING (company_id))"""
 
 SEND_EVENTS = """send_events AS (
-  SELECT event_id, user_id AS profile, ts, CASE event_type WHEN 'view' THEN 'attempting' WHEN 'signup' THEN 'sent' WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'dm_sent' END AS status,
+  SELECT event_id, user_id * 16 + event_id % 16 AS profile, ts, CASE event_type WHEN 'view' THEN 'attempting' WHEN 'signup' THEN 'sent' WHEN 'click' THEN 'accepted' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'dm_sent' END AS status,
          '<' || event_id || '@relay.example>' AS message_id, event_id % 17 = 0 AS dry_run, 'u' || user_id || '@example.com' AS address
   FROM events)"""
 

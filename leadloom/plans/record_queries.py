@@ -290,24 +290,20 @@ def word_shingle_pairs(s, d):
 
 
 def _opening(text):
-    return F.array_join(F.slice(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), 1, 7), " ")
+    return F.array_join(F.slice(N.words(text), 1, 7), " ")
 
 
 @query(f"SELECT opening, count(*) AS n, min(doc_id) AS first_id FROM (SELECT doc_id, array_to_string(({_WORDS})[1:7], ' ') AS opening FROM documents WHERE len({_WORDS}) >= 7) GROUP BY opening HAVING count(*) > 1")
 def shared_openings(s, d):
     """Messages that share their first seven words, as groups; a group is a row, not its pairs."""
-    m = X.messages(s, d).where(F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")) >= 7)
+    m = X.messages(s, d).where(F.size(N.words(F.col("text"))) >= 7)
     return m.groupBy(_opening(F.col("text")).alias("opening")).agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where("n > 1")
 
 
 @query()
 def char_trigram_dedup(s, d):
     """Messages kept in order of id when one goes if its character trigrams are over 0.85 alike to a kept one's."""
-    text = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
-    m = X.messages(s, d).where("text is not null").select("id", text.alias("text"))
-    m = m.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 2, F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(3))))).alias("feature"))
-    del text, grams
+    m = X.messages(s, d).where("text is not null").select("id", F.explode(N.trigrams(F.col("text"))).alias("feature"))
     pairs = N.similar_pairs(m, 0.85)
     return N.greedy_keep_first(X.messages(s, d).select("id"), pairs)
 

@@ -110,7 +110,7 @@ def send_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, profile, ts, status, message_id, dry_run, address)."""
     status = F.create_map(*[F.lit(x) for x in ("view", "attempting", "signup", "sent", "click", "accepted", "error", "failed", "purchase", "dm_sent")])
     return table(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("profile"), F.col("ts").cast("timestamp").alias("ts"), status[F.col("event_type")].alias("status"),
+        "event_id", (F.col("user_id") * 16 + F.col("event_id") % 16).alias("profile"), F.col("ts").cast("timestamp").alias("ts"), status[F.col("event_type")].alias("status"),
         F.concat(F.lit("<"), F.col("event_id").cast("string"), F.lit("@relay.example>")).alias("message_id"), (F.col("event_id") % 17 == 0).alias("dry_run"),
         F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("address"),
     )
