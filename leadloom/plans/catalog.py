@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import record_queries, site_queries
+from . import page_queries, record_queries, site_queries
 
-QUERIES: dict = {**site_queries.QUERIES, **record_queries.QUERIES}
-ORACLE_SQL: dict = {**site_queries.ORACLE_SQL, **record_queries.ORACLE_SQL}
+QUERIES: dict = {**site_queries.QUERIES, **record_queries.QUERIES, **page_queries.QUERIES}
+ORACLE_SQL: dict = {**site_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **page_queries.ORACLE_SQL}

@@ -49,7 +49,7 @@ def test_best_contact_order(spark):
     best = lambda r: contacts.pick_best_contact(spark.createDataFrame(r, "domain string, email string")).first().best_email
     assert best(rows) == "amy.li@ab.com" and best(rows[::-1]) == "amy.li@ab.com"
     assert best(rows[:1] + rows[3:]) == "info@ab.com" and best(rows[3:]) == "our@gmail.com"
-    assert best([("abgroup.com", "jim.b@ab.ae"), ("abgroup.com", "jim.a@zz.ae")]) == "jim.b@ab.ae"
+    assert best([("abcgroup.com", "jim.b@abc.ae"), ("abcgroup.com", "jim.a@zz.ae")]) == "jim.b@abc.ae"
 
 
 LEAD = "domain string, seq long, vertical string, intake string, email_class string, score long, hotel_volume string, traffic_tier string, traffic_score long, branches int"
