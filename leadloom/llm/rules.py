@@ -168,8 +168,9 @@ def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> li
         .withColumn("h", F.xxhash64("doc_id", F.lit(11))).orderBy("h", "doc_id").limit(rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # rows bounds what is broadcast
-    stats = text_statistics(sample).where(~base_failed()).select("h", "y", *FEATURES)
-    return learn_rules([r.asDict() for r in stats.collect()])
+    # what fails the base rules goes after the collect: as a filter, it would be pushed below the join, to all documents
+    stats = text_statistics(sample).select("h", "y", base_failed().alias("failed"), *FEATURES)
+    return learn_rules([r.asDict() for r in stats.collect() if not r.failed])
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
