@@ -349,3 +349,54 @@ def test_line_dedup_brute_force(spark, sf):
                 assert kept[line] == 0 or first[n] == doc
             else:
                 first[n] = doc
+
+
+def test_line_dedup_links(spark, sf):
+    """Every pair of lines within edit similarity 0.8 is found, in small and large buckets."""
+    import random
+
+    from leadloom.llm import lines as ll
+
+    rng = random.Random(6)
+    vocabulary = [f"{rng.choice('abcdefgh') * rng.randint(1, 3)}{i}" for i in range(60)]
+    rows = []
+    for k in range(220):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice((5, 6, 7, 9, 10, 11, 14, 20, 30)))]
+        if k % 20 == 0:
+            base = ["a", "b"] * (len(base) // 2) + base[:1]
+        rows.append(base)
+        for _ in range(k % 3):
+            w = list(base)
+            for _ in range(rng.randint(1, max(1, len(w) // 5))):
+                i, what = rng.randrange(len(w)), rng.random()
+                w[i : i + 1] = [rng.choice(vocabulary)] if what < 0.5 else [w[i], rng.choice(vocabulary)] if what < 0.75 else []
+            rows.append(w)
+    # one large bucket: the same long words, other short ones
+    rows += [["extraordinarily", "uncharacteristic"] + [rng.choice("abcdefghijkl") for _ in range(5)] for _ in range(80)]
+    texts = sorted({" ".join(r) for r in rows if len(r) >= 5})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    label = list(range(len(texts)))
+    for i, a in enumerate(texts):
+        for j in range(i):
+            p, q = a.split(), texts[j].split()
+            most = max(len(p), len(q)) // 5
+            if abs(len(p) - len(q)) <= most and label[i] != label[j] and distance(p, q) <= most:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    got = {r.doc_id: r.text for r in line_dedup(docs).collect()}
+    assert got == {i: t if label[i] == i else "" for i, t in enumerate(texts)}
+    assert max(r["size"] for r in ll.bucket_members(*_found(ll, docs)).collect()) > ll.SMALL_BUCKET
+
+
+def _found(ll, docs):
+    found = ll.line_keys(ll.document_lines(docs))
+    return found, ll.distinct_lines(found)
