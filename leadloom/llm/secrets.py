@@ -17,21 +17,21 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_VALUE = 12
 #: What the Markov models judge.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 #: Bound of the fitting sample: documents, those with the smallest seeded hashes.
 SAMPLE_ROWS = 4000
-#: A candidate is a secret if its log-likelihood ratio is above this in all, and above 0.5 a character.
+#: A stretch of a candidate is a secret if its log-likelihood ratio is above this in all, and above 0.5 a character.
 LEAST_RATIO, LEAST_MEAN = 12.0, 0.5
 _FIRST, _CODES = ord("+"), ord("z") - ord("+") + 1
 
 
-def matches(text: Column, pattern: str, kind: int, passes=None) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, kind, end), in code points.
+def matches(text: Column, pattern: str, kind: int, passes=None, strings: bool = False) -> Column:
+    """Leftmost non-overlapping matches as an array of (start, kind, end), in code points; strings adds the match as s.
 
     Starts are summed from the lengths of what stands between matches, so the text is split only where one is.
     """
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(f"array<struct<start:int,kind:int,end:int{',s:string' if strings else ''}>>")
 
     def spans(m, gaps):
         zero = F.struct(F.lit(0).alias("at"), none.alias("found"))
@@ -41,7 +41,7 @@ def matches(text: Column, pattern: str, kind: int, passes=None) -> Column:
         def step(a, x):
             start = a["at"] + F.char_length(x["g"])
             end = start + F.char_length(x["m"])
-            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), *([x["m"].alias("s")] if strings else []))
             ok = F.lit(True) if passes is None else passes(x["m"])
             return F.struct(end.alias("at"), F.when(ok, F.concat(a["found"], F.array(one))).otherwise(a["found"]).alias("found"))
 
@@ -88,33 +88,87 @@ def log_ratios(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[float]:
     return out
 
 
-def log_ratio(string: Column, ratios: list[float]) -> Column:
-    """The sum over neighbouring characters; the table is a literal, so each look-up is by place."""
+def pair_ratios(string: Column, ratios: list[float]) -> Column:
+    """The ratio of each two neighbouring characters; the table is a literal, so each look-up is by place."""
     lookup = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    code = lambda c: F.ascii(c) - _FIRST
-    return let(
-        F.split(string, ""),
-        lambda c: F.aggregate(
-            F.sequence(F.lit(0), F.size(c) - 2), F.lit(0.0), lambda a, i: a + F.coalesce(F.get(lookup, code(F.get(c, i)) * _CODES + code(F.get(c, i + 1))), F.lit(0.0))
-        ),
-    )
+    codes = F.transform(F.split(string, ""), lambda c: F.ascii(c) - _FIRST)
+    return let(codes, lambda c: F.transform(
+        F.when(F.size(c) > 1, F.sequence(F.lit(0), F.size(c) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.coalesce(F.get(lookup, F.get(c, i) * _CODES + F.get(c, i + 1)), F.lit(0.0))
+    ))
+
+
+def stretches(r: Column) -> Column:
+    """(first, last) of the places of r with the highest sums; one ends where the sum is used up or LEAST_RATIO below its top."""
+    none = F.array().cast("array<struct<first:int,last:int>>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(0).alias("begin"), F.lit(0.0).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), none.alias("found"))
+
+    def ended(a):
+        secret = (a["best"] > LEAST_RATIO) & (a["best"] > LEAST_MEAN * (a["last"] - a["first"] + 1))
+        return F.when(secret, F.concat(a["found"], F.array(F.struct(a["first"].alias("first"), a["last"].alias("last"))))).otherwise(a["found"])
+
+    def step(a, x):
+        total = a["sum"] + x
+        begin = F.when(a["sum"] == 0, a["i"]).otherwise(a["begin"])
+        top = total > a["best"]
+        best = F.greatest(total, a["best"])
+        end = (total <= 0) | (best - total >= LEAST_RATIO)
+        after = {"i": a["i"] + 1, "sum": F.when(end, 0.0).otherwise(total), "begin": begin, "best": F.when(end, 0.0).otherwise(best)}
+        after |= {"first": F.when(top, begin).otherwise(a["first"]), "last": F.when(top, a["i"]).otherwise(a["last"]), "found": F.when(end, ended(a)).otherwise(a["found"])}
+        return F.struct(*[v.alias(k) for k, v in after.items()])
+
+    some = F.aggregate(r, F.lit(0.0), lambda a, x: a + F.greatest(x, F.lit(0.0))) > LEAST_RATIO
+    return F.when(some, F.aggregate(r, zero, step, ended)).otherwise(none)
+
+
+def random_spans(string: Column, start: Column, ratios: list[float]) -> Column:
+    """Spans of the random stretches of a string at start, in whole parts between / = _ and -.
+
+    A stretch is widened to both ends of the parts it lies in; a first or last part goes if under half of it is random.
+    """
+
+    def span(x):
+        first, end = x["first"], x["last"] + 2
+        inside = F.substring(string, first + 1, end - first)
+        lead, tail = (F.char_length(F.regexp_extract(inside, p, 0)) for p in ("^[^/=_-]*", "[^/=_-]*$"))
+        back = F.char_length(F.regexp_extract(F.substring(string, F.lit(1), first), "[^/=_-]*$", 0))
+        on = F.char_length(F.regexp_extract(F.substring(string, end + 1, F.char_length(string)), "^[^/=_-]*(={1,2}$)?", 0))
+        crosses = lead < F.char_length(inside)
+        begin = F.when(crosses & (lead < back), first + lead + 1).otherwise(first - back)
+        finish = F.when(crosses & (tail < on), end - tail - 1).otherwise(end + on)
+        return F.struct((start + begin).alias("start"), F.lit(3).alias("kind"), (start + finish).alias("end"))
+
+    spans = F.transform(let(pair_ratios(string, ratios), stretches), span)
+    return F.array_distinct(F.filter(spans, lambda x: x["start"] < x["end"]))
+
+
+def outside(runs: Column, base: Column) -> Column:
+    """The parts (start, s) of the runs (start, end, s) that no base span covers."""
+
+    def cut(m):
+        part = lambda begin, end: F.struct(begin.alias("start"), F.substring(m["s"], begin - m["start"] + 1, end - begin).alias("s"))
+        zero = F.struct(m["start"].alias("at"), F.array().cast("array<struct<start:int,s:string>>").alias("parts"))
+        hits = F.sort_array(F.filter(base, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+        def step(a, b):
+            parts = F.when(b["start"] > a["at"], F.concat(a["parts"], F.array(part(a["at"], b["start"])))).otherwise(a["parts"])
+            return F.struct(F.greatest(a["at"], b["end"]).alias("at"), parts.alias("parts"))
+
+        return F.aggregate(hits, zero, step, lambda a: F.when(a["at"] < m["end"], F.concat(a["parts"], F.array(part(a["at"], m["end"])))).otherwise(a["parts"]))
+
+    return F.flatten(F.transform(runs, cut))
 
 
 def find_secrets(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, found) for each row of docs (doc_id, text): found has the spans (start, kind, end) in order.
 
-    Base spans all stay; a candidate of the Markov models that touches one is left out. Null text: empty.
+    Base spans all stay; the Markov models judge what of a candidate is outside them. Null text: empty.
     """
     ratios = log_ratios(docs, rows)
     text = F.col("text")
-
-    def secret(m: Column) -> Column:
-        return let(log_ratio(m, ratios), lambda r: (r > LEAST_RATIO) & (r > LEAST_MEAN * (F.char_length(m) - 1)))
-
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("base", base_spans(text)).withColumn("more", matches(text, CANDIDATE, 3, secret))
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return d.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", free)).alias("found"))
+    d = d.withColumn("base", base_spans(text)).withColumn("runs", matches(text, CANDIDATE, 3, strings=True))
+    more = let(F.struct("runs", "base"), lambda x: F.flatten(F.transform(outside(x["runs"], x["base"]), lambda m: random_spans(m["s"], m["start"], ratios))))
+    return d.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(F.concat("base", more)).alias("found"))
 
 
 def spans_text(spans: Column) -> Column:

@@ -400,3 +400,29 @@ def test_line_dedup_links(spark, sf):
 def _found(ll, docs):
     found = ll.line_keys(ll.document_lines(docs))
     return found, ll.distinct_lines(found)
+
+
+
+def test_secrets_short_and_joined(spark, sf):
+    """Keys behind a path or a name, beside a hex run and of 12 to 19 characters; counts by length are printed."""
+    import random
+    import string
+
+    rng = random.Random(8)
+    key = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    rows, want = [], {}
+    forms = {"plain": "see {} here", "path": "see /another-ordinary-directory/{} here", "name": "see name-of-the-ordinary-thing={} here"}
+    for n in (12, 14, 16, 19, 24, 32):
+        for form, text in forms.items():
+            for _ in range(30):
+                k, i = key(n), 400000 + len(rows)
+                rows.append((i, text.format(k)))
+                want[i] = (n, form, f"random:{text.index('{')}:{text.index('{') + n}")
+    mixed = "Zq8Kx2LmZp0Rt7VwYbNcJ" + "0123456789abcdef0123"
+    rows.append((500000, f"see {mixed} here"))
+    docs = load(spark, sf).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan(docs).where("doc_id >= 400000").collect()}
+    hits = Counter((n, form) for i, (n, form, s) in want.items() if s in got[i])
+    print({n: [hits[n, form] for form in forms] for n in (12, 14, 16, 19, 24, 32)})
+    assert all(hits[n, form] >= 24 for n in (16, 19, 24, 32) for form in forms)
+    assert got[500000] == ["random:4:25", "hex:25:45"]
