@@ -108,10 +108,12 @@ def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """Whole documents as often as the mix takes them: taken / size copies, the fraction by a seeded draw.
 
     Columns as given; documents without words are taken by no mix and go. Rows that repeat a doc_id share the
-    draw of the first.
+    draw of the first. A row without doc_id is a document of its own: its source and text are its key.
     """
-    taken = mix(docs, seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
+    docs_columns, key = docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
+    docs = docs.withColumn("__key", key)
+    taken = mix(docs.select(F.col("__key").alias("doc_id"), "source", "text"), seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 20)) / (1 << 20)
-    copies = stored(taken.select("doc_id", F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
-    both = docs.join(copies, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    return both.select(*docs.columns)
+    copies = stored(taken.select(F.col("doc_id").alias("__key"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
+    both = docs.join(copies, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+    return both.select(*docs_columns)

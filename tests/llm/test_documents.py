@@ -402,6 +402,12 @@ def _found(ll, docs):
     return found, ll.distinct_lines(found)
 
 
+def test_mix_keeps_rows_without_doc_id(odd, make):
+    rows = [(None if i % 3 == 0 else i, f"w{i} some words of text") for i in range(60)]
+    got = Counter(r.text for r in mixed_documents(make(rows)).collect())
+    assert set(got) == {t for _, t in rows} and max(got.values()) <= 2
+    assert "a b c d e f g" in {r.text for r in mixed_documents(odd).where("doc_id is null").collect()}
+
 
 def test_secrets_short_and_joined(spark, sf):
     """Keys behind a path or a name, beside a hex run and of 12 to 19 characters; counts by length are printed."""
