@@ -318,9 +318,9 @@ def message_shape_check(s, d):
 
 @query(f"WITH {_SHINGLES}, c AS (SELECT f FROM sh GROUP BY f HAVING count(*) > 1) SELECT (SELECT count(*) FROM c) > 0 AS refused")
 def reject_batch_if_dupes(s, d):
-    m = X.messages(s, d).select("id", F.explode(N.shingles(F.col("text"), 3)).alias("feature")).distinct()
-    n = m.groupBy("feature").agg(F.count("*").alias("n")).where("n > 1")
-    return n.agg((F.count("*") > 0).alias("refused"))
+    """Refused if two messages are alike above 0.35, or share an opening of more than six words."""
+    hits = word_shingle_pairs(s, d).select(F.lit(1).alias("hit")).limit(1).union(shared_openings(s, d).select(F.lit(1).alias("hit")).limit(1))
+    return hits.agg((F.count("*") > 0).alias("refused"))
 
 
 @query(r"SELECT doc_id AS id, CASE WHEN NOT starts_with(text, 'The') THEN 'greeting' WHEN regexp_matches(lower(text), 'price|cost|\$') THEN 'money' WHEN NOT contains(text, 'th') THEN 'link' WHEN regexp_matches(lower(text), 'token') THEN 'banned' END AS drop_reason FROM documents")

@@ -145,3 +145,16 @@ def test_every_query_has_unique_columns_and_sql_names(spark):
     assert set(sql) <= set(q) and len(q) > 60
     df = entry.entry(spark)
     assert len(set(df.columns)) == len(df.columns) and df.count() > 0
+
+
+def test_reject_batch_needs_a_pair(spark, tmp_path):
+    """A phrase in common is no duplicate; a pair above 0.35 or a shared opening of seven words is."""
+    from leadloom.plans.catalog import QUERIES
+
+    a = "our new plant in the north opened last week and we saw your note on pumps"
+    b = "somebody at the fair told me that we saw your big stand near hall nine"
+    c = "our new plant in the north opened " + " ".join(f"x{i}" for i in range(40))
+    d = "somebody at the fair told me that we saw your big stand near hall ten"
+    for k, (texts, want) in enumerate((((a, b), False), ((a, c), True), ((b, d), True), ((a,), False))):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        assert [tuple(r) for r in QUERIES["reject_batch_if_dupes"](spark, f"{tmp_path}/{k}").collect()] == [(want,)]
