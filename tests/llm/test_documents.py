@@ -351,11 +351,56 @@ def test_line_dedup_brute_force(spark, sf):
                 first[n] = doc
 
 
-def test_line_dedup_links(spark, sf):
-    """Every pair of lines within edit similarity 0.8 is found, in small and large buckets."""
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_by_definition():
     import random
 
-    from leadloom.llm import lines as ll
+    from leadloom.llm.line_prints import edit_distance
+
+    rng = random.Random(1)
+    for _ in range(2000):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(14))] for _ in range(2))
+        assert edit_distance(a[:], b[:]) == _distance(a, b)
+
+
+def test_line_prints_by_definition():
+    import numpy as np
+    import xxhash
+
+    from leadloom.llm.line_prints import Lines, parities
+
+    rng = np.random.default_rng(2)
+    long = " ".join(f"W{i}" for i in rng.integers(0, 400, 3000))
+    x = Lines(["A  b\tc D e f\nx y\r\n\none two three four five", "", "été À b c d e\n" + long], 5)
+    lines = ["a b c d e f", "one two three four five", "été à b c d e", long.lower()]
+    assert x.text.tolist() == [0, 0, 2, 2] and x.pos.tolist() == [0, 3, 0, 1] and x.lid == [xxhash.xxh3_128_digest(s.encode()) for s in lines]
+    code: dict = {}
+    prints = x.simhash()
+    line, keys = x.keys(8, np.zeros(0, np.uint64))
+    for k, s in enumerate(lines):
+        words = s.split(" ")
+        assert [code.setdefault(w, int(c)) for w, c in zip(words, x.words(k))] == x.words(k).tolist()
+        votes = np.unpackbits(x.words(k).view(np.uint8).reshape(-1, 8), axis=1).sum(0)
+        assert (np.unpackbits(prints[k : k + 1].view(np.uint8)) == (2 * votes > len(words))).all()
+        assert len(set(keys[line == k].tolist())) == (line == k).sum() == min(8, len(set(zip(words, words[1:]))))
+    assert len(set(code.values())) == len(code)
+    for _ in range(200):  # an edit changes two parities at most
+        a = rng.integers(0, 1 << 32, 20).astype(np.uint32)
+        b = np.delete(a, 3) if rng.random() < 0.5 else np.where(np.arange(20) == 5, rng.integers(0, 1 << 32), a).astype(np.uint32)
+        p, q = parities([a, b])
+        assert np.bitwise_count(p ^ q).sum() <= 2
+
+
+def _varied_lines():
+    import random
 
     rng = random.Random(6)
     vocabulary = [f"{rng.choice('abcdefgh') * rng.randint(1, 3)}{i}" for i in range(60)]
@@ -371,35 +416,54 @@ def test_line_dedup_links(spark, sf):
                 i, what = rng.randrange(len(w)), rng.random()
                 w[i : i + 1] = [rng.choice(vocabulary)] if what < 0.5 else [w[i], rng.choice(vocabulary)] if what < 0.75 else []
             rows.append(w)
-    # one large bucket: the same long words, other short ones
+    # one large group: the same long words, other short ones
     rows += [["extraordinarily", "uncharacteristic"] + [rng.choice("abcdefghijkl") for _ in range(5)] for _ in range(80)]
-    texts = sorted({" ".join(r) for r in rows if len(r) >= 5})
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted({" ".join(r) for r in rows if len(r) >= 5})
+
 
-    def distance(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
+@pytest.mark.parametrize("tile", [1024, 16])
+def test_line_dedup_links(spark, monkeypatch, tile):
+    """Of all pairs of lines within edit similarity 0.8, by brute force, 0.97 end in one group; none else does."""
+    from leadloom.llm import lines as ll
 
+    monkeypatch.setattr(ll, "TILE", tile)
+    monkeypatch.setattr(ll, "SAMPLE", 1 if tile == 16 else 16)
+    texts = _varied_lines()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = [t.split() for t in texts]
+    most = lambda p, q: max(len(p), len(q)) // 5
+    pairs = [(i, j) for i, p in enumerate(words) for j, q in enumerate(words[:i]) if abs(len(p) - len(q)) <= most(p, q) and _distance(p, q) <= most(p, q)]
+    rows = docs.select(docs.doc_id.alias("doc"), "text", *[c.alias(k) for k, c in ll.row_key().items()])
+    found = ll.line_rows(rows, 5, 5, frequent=ll.frequent_keys(rows, 5)).cache()
+    lid = {r.doc: bytes(r.lid) for r in found.select("doc", "lid").collect()}
+    comp = {bytes(r.node): bytes(r.component) for r in ll.line_components(rows, found, 5, 0.8).collect()}
+    group = [comp.get(lid[i], lid[i]) for i in range(len(texts))]
+    assert len(pairs) > 200 and sum(group[i] == group[j] for i, j in pairs) >= 0.97 * len(pairs)
     label = list(range(len(texts)))
-    for i, a in enumerate(texts):
-        for j in range(i):
-            p, q = a.split(), texts[j].split()
-            most = max(len(p), len(q)) // 5
-            if abs(len(p) - len(q)) <= most and label[i] != label[j] and distance(p, q) <= most:
-                old, new = max(label[i], label[j]), min(label[i], label[j])
-                label = [new if x == old else x for x in label]
+    for i, j in pairs:
+        old, new = max(label[i], label[j]), min(label[i], label[j])
+        label = [new if x == old else x for x in label]
+    by: dict = {}
+    assert all(by.setdefault(g, n) == n for g, n in zip(group, label))
+    keep = {g: i for i, g in reversed(list(enumerate(group)))}
     got = {r.doc_id: r.text for r in line_dedup(docs).collect()}
-    assert got == {i: t if label[i] == i else "" for i, t in enumerate(texts)}
-    assert max(r["size"] for r in ll.bucket_members(*_found(ll, docs)).collect()) > ll.SMALL_BUCKET
-
-
-def _found(ll, docs):
-    found = ll.line_keys(ll.document_lines(docs))
-    return found, ll.distinct_lines(found)
+    assert got == {i: t if keep[group[i]] == i else "" for i, t in enumerate(texts)}
+    found.unpersist()
+
+
+def test_line_dedup_rows(spark, make):
+    """Rows that repeat a doc_id, rows without one, equal rows, clashing names."""
+    a, b, c = ("one line of text stands here", "another line of words is there", "a third line that nobody repeats")
+    docs = make([(5, f"{a}\n{b}"), (5, f"{c}\n{a}"), (6, f"{b}\nx"), (6, f"{b}\nx"), (None, f"{a}\n{a}"), (None, "its own line of some words")])
+    got = Counter((r.doc_id, r.text) for r in line_dedup(docs).collect())
+    kept_first = (5, f"{a}\n{b}") in got
+    assert got == Counter([(5, f"{a}\n{b}"), (5, c)] if kept_first else [(5, b), (5, f"{c}\n{a}")]) + Counter([(6, "x"), (6, "x"), (None, ""), (None, "its own line of some words")])
+    names = ("r1", "r2", "row", "gone", "kept", "cut", "removed", "keep", "spot", "lid", "__doc", "a.b", "n_removed")
+    wide = spark.createDataFrame([(1, f"{a}\n{b}", *[1] * len(names)), (2, f"{a}\nx", *[2] * len(names))], ["doc_id", "text", *names])
+    out = line_dedup(wide)
+    assert out.columns == wide.columns and sorted(tuple(r) for r in out.collect()) == [(1, f"{a}\n{b}", *[1] * len(names)), (2, "x", *[2] * len(names))]
+    few = line_dedup(make([(1, "go home\nx"), (2, "Go  home\ny")]), exact_words=2)
+    assert {r.doc_id: r.text for r in few.collect()} == {1: "go home\nx", 2: "y"}
 
 
 def test_mix_keeps_rows_without_doc_id(odd, make):
