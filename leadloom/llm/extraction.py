@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from .html_pages import labelled_pages
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*(?:>|\Z)", re.S)
+#: A quotation mark opens a value only behind an equals sign, as in the HTML standard; possessive, so that no page is slow.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _PIECE = re.compile(r"[a-z]+")
 
 #: Fixed by the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title select head".split())
+RAW = frozenset("script style noscript template iframe object svg textarea title select button head".split())
 _RAW_TEXT = frozenset("script style textarea title noscript iframe".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -109,7 +110,10 @@ def amount(node: Node) -> str:
     if not n:
         return "l:x"
     share = node.linked / n
-    return f"l:{0 if share == 0 else 1 if share <= 0.3 else 2 if share <= 0.8 else 3}:{0 if n <= 25 else 1 if n <= 200 else 2 if n <= 1000 else 3}"
+    step = 0 if n <= 25 else 1 if n <= 200 else 2 if n <= 1000 else 3
+    if node.tag == "form":  # to fill in, or around a whole page
+        return f"l:form:{step}"
+    return f"l:{0 if share == 0 else 1 if share <= 0.3 else 2 if share <= 0.8 else 3}:{step}"
 
 
 def kind(node: Node) -> str:
@@ -124,7 +128,9 @@ def features(node: Node) -> list[str]:
     """
     if node.tag == "#text" or node.tag in INLINE and not node.attrs:
         return []
-    out = [] if node.tag in INLINE else ["g:" + node.tag]
+    out = [] if node.tag in INLINE or node.tag == "form" else ["g:" + node.tag]
+    if node.tag in ("div", "section") and not any(k.lower() in ("class", "id", "role") for k, *_ in _ATTR.findall(node.attrs)):
+        out.append("c:")
     if node.attrs:
         for k, *v in _ATTR.findall(node.attrs):
             if k.lower() in ("class", "id", "role"):
@@ -229,7 +235,7 @@ def extract(html: str | None, model: Potentials) -> str:
     root = parse(html)
     nodes = order(root)
     for x in nodes:
-        x.children = [c for c in x.children if c.tag not in RAW and c.tag != "form"]
+        x.children = [c for c in x.children if c.tag not in RAW]
     shown = order(root)
     measure(shown)
     marginals(shown, model)

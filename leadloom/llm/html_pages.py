@@ -20,6 +20,16 @@ def _links(n: int, k: int) -> str:
     return "".join(f'<li><a href="/{i}">{_FEW[(i + k) % len(_FEW)]}</a></li>' for i in range(n))
 
 
+def _plain(k: int) -> str:
+    """An article without blocks of its own, with a single paragraph, or of links."""
+    n = 6 + (k * 13) % 180
+    if k % 3 == 0:
+        return f"{_text(n, k)}<br><br>{_text(n // 2 + 4, k + 1)}" if k % 2 else _text(n, k)
+    if k % 3 == 1:
+        return f"<p>{_text(n, k)}</p>"
+    return f"<h1>{_text(4, k)}</h1><ul>" + "".join(f"<li><a href='/{i}'>{_text(5 + (i + k) % 9, k + i)}</a></li>" for i in range(3 + k % 5)) + f"</ul><p>{_text(12, k)}</p>"
+
+
 def _article(k: int) -> str:
     """The article's inside: heading, paragraphs long and short, a list, a quotation, a table now and then."""
     parts = [f"<h1>{_text(6, k)}</h1>", f"<p><b>{_text(9, k)}<br>"] if k % 2 else [f"<h1>{_text(6, k)}</h1>", f"<p>{_text(18, k)}</p>"]
@@ -37,13 +47,14 @@ def _article(k: int) -> str:
 
 
 #: (tag, attributes) that hold an article.
-_HOMES = (("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("section", 'class="post-body entry"'), ("div", 'class="article-text"'), ("div", ""))
+_HOMES = (("article", ""), ("main", ""), ("div", 'class="content"'), ("div", 'id="main-content"'), ("section", 'class="post-body entry"'), ("div", 'class="article-text"'), ("div", ""), ("div", 'id="wrap"'), ("div", ""))
 #: (tag, attributes, kind of inside) that hold none.
 _OTHERS = (
     ("nav", "", "links"), ("ul", 'class="menu"', "links"), ("header", "", "short"), ("header", 'class="site-header"', "links"), ("footer", "", "short"), ("footer", 'id="footer"', "links"),
     ("div", 'class="ad"', "text"), ("div", 'class="advert banner"', "text"), ("aside", "", "text"), ("aside", 'class="sidebar"', "links"), ("div", 'id="sidebar"', "text"), ("div", 'class="related"', "links"),
     ("div", 'class="cookie-notice"', "text"), ("div", 'class="notice"', "text"), ("div", 'id="consent" role="dialog"', "text"), ("section", 'class="comments"', "comments"), ("div", 'id="comments"', "comments"), ("ol", 'class="comment-list"', "comments"),
     ("form", "", "form"), ("div", 'class="newsletter subscribe"', "form"), ("div", 'class="share social"', "links"), ("div", 'class="breadcrumb"', "links"), ("div", 'class="promo sponsored"', "text"), ("div", 'class="popup modal"', "text"),
+    ("div", "", "links"),
 )
 
 
@@ -65,11 +76,14 @@ def labelled_pages() -> list[str]:
     for k, ((tag, attrs), turn) in enumerate(product(_HOMES, range(24))):
         some = [_OTHERS[(turn + i * 5 + k // 24 * 3) % len(_OTHERS)] for i in range(6)]
         rest = [f'<{t} {a} data-y="0">{_other(kind, k + i)}</{t}>' for i, (t, a, kind) in enumerate(some)]
-        body = f'<{tag} {attrs} data-y="1">{_article(k)}</{tag}>'
+        inside = _plain(k) if turn % 5 == 3 or not attrs and turn % 2 else _article(k)
+        body = f'<{tag} {attrs} data-y="1">{inside}</{tag}>'
         if turn % 4 == 1:  # something that is no article inside the article's home
             body = f'<{tag} {attrs} data-y="1">{_article(k)}{rest.pop()}<p>{_text(12, k)}</p></{tag}>'
         page = "".join(rest[:3]) + body + "".join(rest[3:])
         if turn % 3 == 0:
             page = f'<div class="wrapper">{page}</div>'
+        if turn % 7 == 2:  # a form around the whole page
+            page = f'<form id="page" method="post">{page}</form>'
         out.append(f"<!DOCTYPE html><html lang='en'><head><title>{_text(4, k)}</title></head><body>{page}</body></html>")
     return out

@@ -85,3 +85,52 @@ def test_extract_odd(spark):
     assert got[1] == ("u", "", 0) and got[2] == (None, "", 0) and got[4][1] == "cut off" and got[5][1] == "A b <i>"
     assert all(len(t) == n for _, t, n in got.values()) and len(got) == 7
     assert extract_pages(df.limit(0)).count() == 0
+
+
+def test_extract_plain_articles():
+    """Text straight in a div or in body, one paragraph, a form around the page, quotation marks in values, formulas."""
+    model = Potentials(fit(labelled_pages()))
+    around = "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>home</a></li><li><a href='/a'>about us</a></li></ul></nav>%s<footer>&copy; 2024 firm, all rights</footer></body></html>"
+    for n in (5, 10, 24):
+        t = " ".join(["some plain words about the harbour and its boats"] * n)
+        for page in (f"<div>{t}</div>", f"<div><p>{t}</p></div>", t, f"<article><p>{t}</p></article>", f"<form id='aspnetForm'><div class='content'><p>{t}</p></div></form>"):
+            assert extract(around % page, model) == t, (n, page[:30])
+        assert extract(around % f"<div>{t}<br><br>{t}</div>", model) == f"{t} {t}"
+        assert extract(around % f"<article><h1>x</h1><p class=x title=Bob's>{t}</p></article>", model) == f"x\n{t}"
+        assert extract(around % f"<article><p>{t} <math><mi>abc</mi></math></p></article>", model) == f"{t} abc"
+
+
+def test_marginals_by_enumeration():
+    """The two passes give the marginals that a sum over all states of all nodes gives."""
+    import itertools
+    import math
+
+    from leadloom.llm.extraction import INLINE, amount, marginals, measure, order, parse
+
+    model = Potentials(fit(labelled_pages()))
+    for page in ("<div class='content'><p>some text</p><ul><li><a href=x>y</a></ul></div>", "<nav>a</nav><div>b<p>c</p></div>", "<form><p>x</p></form><article>words</article>"):
+        nodes = order(parse(page))
+        measure(nodes)
+        marginals(nodes, model)
+        at = {id(x): i for i, x in enumerate(nodes)}
+        emit, total, on = [], 0.0, [0.0] * len(nodes)
+        for x in nodes:
+            seen = model.of(x)[0] + (model.emit.get(amount(x), 0.0) if x.tag != "#text" and x.tag not in INLINE else 0.0)
+            emit.append(seen)
+        for states in itertools.product((0, 1), repeat=len(nodes)):
+            p = model.odds if states[0] else 1.0
+            for i, x in enumerate(nodes):
+                p *= math.exp(emit[i]) if states[i] else 1.0
+                if x.parent is not None:
+                    p *= model.of(x)[1][2 * states[at[id(x.parent)]] + states[i]]
+            total += p
+            for i, s in enumerate(states):
+                on[i] += p * s
+        assert all(abs(x.p - v / total) < 1e-9 for x, v in zip(nodes, on))
+
+
+def test_vectors_of_any_size(spark):
+    """Components whose squares vanish or overflow count as what they are."""
+    rows = [(1, [1e-200, 0.0], 1), (2, [0.0, 1e-200], 1), (3, [1.0, 0.0], 1), (4, [1e200, 1e190], 1), (5, [5e-324, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (3, 1), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (3, 1)}
