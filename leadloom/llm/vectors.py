@@ -37,6 +37,13 @@ def codebook(x, k: int, rounds: int = 12):
     return words
 
 
+def scaled(x):
+    """Rows times powers of two, so that squares neither vanish nor overflow; cosines stay the same to the bit."""
+    import numpy as np
+
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def distances(x, words):
     import numpy as np
 
@@ -100,7 +107,7 @@ def vector_links(unique: DataFrame, threshold: float) -> DataFrame:
     import numpy as np
 
     for dim in {r.dim for r in sample}:
-        x = np.array([r.embedding for r in sample if r.dim == dim], float)
+        x = scaled(np.array([r.embedding for r in sample if r.dim == dim], float))
         books[dim] = fit_index(x / np.linalg.norm(x, axis=1, keepdims=True), n, threshold)
 
     def index(frames):
@@ -110,7 +117,7 @@ def vector_links(unique: DataFrame, threshold: float) -> DataFrame:
             probes = pd.Series([[0]] * len(f), index=f.index, dtype=object)
             for dim, rows in f.groupby("dim").groups.items():
                 if dim in books:  # a length that the sample lacks has one cell
-                    x = np.array(f.loc[rows, "embedding"].tolist(), float)
+                    x = scaled(np.array(f.loc[rows, "embedding"].tolist(), float))
                     found = visit(x / np.linalg.norm(x, axis=1, keepdims=True), books[dim]["books"], books[dim]["visits"])
                     for r, p in zip(rows, found.tolist()):
                         probes.at[r] = p
@@ -136,7 +143,7 @@ def vector_links(unique: DataFrame, threshold: float) -> DataFrame:
 
         def side(asks):
             s = f[f["asks"] == asks]
-            x = np.array(s["embedding"].tolist(), float).reshape(len(s), -1)
+            x = scaled(np.array(s["embedding"].tolist(), float).reshape(len(s), -1))
             return s, x, np.sqrt((x**2).sum(1))
 
         (a, xa, na), (b, xb, nb) = side(True), side(False)
