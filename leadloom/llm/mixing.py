@@ -10,10 +10,8 @@ from .common import WORD, stored
 WEIGHTS = (5, 2, 1)
 #: Words of a block, fewer where the smallest target would have under 64 blocks.
 BLOCK_WORDS = 64
-#: Words of a shard at least, and shards of a source at most.
-SHARD_WORDS, MAX_SHARDS = 1 << 17, 4096
-#: A prime above any number of blocks in a shard: block k comes at place (k * STRIDE + seed) mod n.
-STRIDE = (1 << 31) - 1
+#: Words of a shard at least, and shards of a source at most: beyond, shards grow, each still one task's sort.
+SHARD_WORDS, MAX_SHARDS = 1 << 17, 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -73,7 +71,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0,
     the words of the document inside blocks taken, at most twice its size for most = 2. Reruns agree; rows that
     repeat a doc_id count each; a null source is a source; without words all is 0; an empty table gives no rows.
     """
-    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sizes = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     targets = stored(source_targets(sizes, weights, total, most), "mix-targets")
     words, least = targets.agg(F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
     block = int(max(1, min(BLOCK_WORDS, (least or 0) // 64)))
@@ -83,21 +81,23 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0,
     )
     dealt = (
         sizes.withColumn("key", source_key()).drop("source").join(quotas.drop("source"), "key")
-        .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed)), "shards"))
+        .withColumn("shard", F.pmod("draw", "shards"))
     )
     shards = stored(dealt.groupBy("key", "shard", "seats_of_source").agg(F.sum("size").alias("shard_size")), "mix-shards")
     shards = stored(
         sainte_lague(shards.withColumn("w", F.col("shard_size").cast("double")), ["key"], "w", "seats_of_source", ["shard"]).select("key", "shard", "shard_size", "quota"), "mix-shard-quotas"
     )
-    order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size")
-    placed = dealt.withColumn("end", F.sum("size").over(order)).join(shards, ["key", "shard"])
-    n = F.ceil(F.col("shard_size") / block)
-    placed = placed.withColumn("n", F.greatest(n, F.lit(1))).withColumn("q", F.least("quota", 2 * F.col("n"))).withColumn("begin", F.col("end") - F.col("size"))
-    placed = placed.withColumns({"full": F.floor(F.col("q") / F.col("n")), "once": F.col("q") % F.col("n"), "shift": F.pmod(F.xxhash64("key", "shard", F.lit(seed)), "n")})
+    order = Window.partitionBy("key", "shard").orderBy(F.xxhash64("draw"), "doc_id", "size")
+    n = F.greatest(F.ceil(F.col("shard_size") / block), F.lit(1))
+    shards = shards.withColumn("n", n).withColumn("q", F.least("quota", 2 * F.col("n"))).withColumns({"full": F.floor(F.col("q") / F.col("n")), "once": (F.col("q") % F.col("n")).cast("int")})
+    # the blocks taken once more are those whose hash is up to that of the last of them in hash order
+    drawn = F.sort_array(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda k: F.xxhash64("key", "shard", k, F.lit(seed))))
+    shards = stored(shards.withColumn("last", F.when(F.col("once") > 0, F.get(drawn, F.col("once") - 1))), "mix-draws")
+    placed = dealt.withColumn("end", F.sum("size").over(order)).join(shards, ["key", "shard"]).withColumn("begin", F.col("end") - F.col("size"))
 
     def inside(k: Column) -> Column:
         words = F.least(F.col("end"), (k + 1) * block) - F.greatest(F.col("begin"), k * block)
-        return F.when((k * STRIDE + F.col("shift")) % F.col("n") < F.col("once"), words).otherwise(F.lit(0).cast("long"))
+        return F.when(F.xxhash64("key", "shard", k, F.lit(seed)) <= F.col("last"), words).otherwise(F.lit(0).cast("long"))
 
     more = F.aggregate(F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block)), F.lit(0).cast("long"), lambda a, k: a + inside(k))
     taken = F.when(F.col("size") == 0, F.lit(0)).otherwise(F.col("full") * F.col("size") + more).cast("long")
@@ -107,13 +107,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = 1.5, most: float = 2.0,
 def mixed_documents(docs: DataFrame, seed: int = 42) -> DataFrame:
     """Whole documents as often as the mix takes them: taken / size copies, the fraction by a seeded draw.
 
-    Columns as given; documents without words are taken by no mix and go. Rows that repeat a doc_id share the
+    Columns as given, whatever their names; documents without words are taken by no mix and go. Rows that repeat a doc_id share the
     draw of the first. A row without doc_id is a document of its own: its source and text are its key.
     """
-    docs_columns, key = docs.columns, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text"))
-    docs = docs.withColumn("__key", key)
-    taken = mix(docs.select(F.col("__key").alias("doc_id"), "source", "text"), seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("source", "text")).alias("mix_key")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), key)
+    taken = mix(rows.select(F.col("mix_key").alias("doc_id"), "mix_row.source", "mix_row.text"), seed=seed).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size")).where("taken > 0")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(seed + 2)), F.lit(1 << 20)) / (1 << 20)
-    copies = stored(taken.select(F.col("doc_id").alias("__key"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("__copies")).where("__copies > 0"), "mix-copies")
-    both = docs.join(copies, "__key").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
-    return both.select(*docs_columns)
+    copies = stored(taken.select(F.col("doc_id").alias("mix_key"), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias("copies")).where("copies > 0"), "mix-copies")
+    return rows.join(copies, "mix_key").select("mix_row", F.explode(F.sequence(F.lit(1), "copies"))).select("mix_row.*")
