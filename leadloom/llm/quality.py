@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from .common import doc_crc
 
-#: Bounds of the fitting sample: labelled rows of each class, and bytes of each taken into the sample.
+#: Bound of the fitting sample: labelled rows of each class; their whole texts count.
 SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 4096
 DICT_BYTES = 65536
 #: Texts are compressed in pieces of so many bytes, so that the dictionary and not the text itself is what helps.
 PIECE = 768
 
 
 def fitting_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, fold_of, seed: int = 11):
-    """At most rows labelled texts of each class, those with the smallest seeded hashes, with doc_id."""
-    found = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of).select("doc_id", F.col(label).cast("int").alias("y"))
-    found = found.dropDuplicates(["doc_id"]).withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    """At most rows labelled texts of each class, those with the smallest seeded hashes, with doc_id.
+
+    A doc_id with several labels has the largest of them.
+    """
+    found = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fold_of).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    found = found.withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
     chosen = None
     for y in (0, 1):
         part = found.where(F.col("y") == y).orderBy("h", "doc_id").limit(rows)
@@ -98,12 +100,12 @@ def calibrate(x, y, rounds: int = 60) -> tuple[float, float]:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, fold_of=None, rows: int = SAMPLE_ROWS) -> dict:
-    """The model, from at most rows labelled texts of each class and SAMPLE_BYTES of each text.
+    """The model, from at most rows labelled texts of each class, whole.
 
     One half of the sample makes the dictionaries, the other the calibration.
     """
     fold_of = F.lit(True) if fold_of is None else fold_of
-    sample = fitting_sample(docs, labels, "quality", rows, fold_of).select("doc_id", "y", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
+    sample = fitting_sample(docs, labels, "quality", rows, fold_of).select("doc_id", "y", "text")
     got = sorted((r for r in sample.collect() if r.text), key=lambda r: (r.doc_id, r.text))
     build, hold = got[::2], got[1::2] or got
     dictionaries = train_dictionaries([(r.text, r.y) for r in build])

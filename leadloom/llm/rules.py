@@ -162,9 +162,12 @@ def rejected_by(rules: list[list[Condition]]) -> Column:
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[list[Condition]]:
-    """The decision list, from the statistics of at most rows labelled documents that pass the base rules."""
+    """The decision list, from the statistics of at most rows labelled documents that pass the base rules.
+
+    A doc_id with several labels has the largest of them.
+    """
     chosen = (
-        labels.where("quality is not null and doc_id is not null").select("doc_id", F.col("quality").cast("int").alias("y")).dropDuplicates(["doc_id"])
+        labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("y"))
         .withColumn("h", F.xxhash64("doc_id", F.lit(11))).orderBy("h", "doc_id").limit(rows)
     )
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # rows bounds what is broadcast

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .common import doc_crc
 from .quality import fitting_sample
 
-#: Bounds of the fitting sample: labelled rows of each class, and characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 1500, 8000
+#: Bound of the fitting sample: labelled rows of each class; their whole texts count.
+SAMPLE_ROWS = 1500
 LANDMARKS = 48
 #: Length of the subsequences, and what each further character they span costs.
 ORDER, DECAY = 3, 0.6
@@ -213,14 +213,14 @@ def fit_svm(x, y, weight, ridge: float = 1e-2, rounds: int = 40):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold_of=None, rows: int = SAMPLE_ROWS) -> dict:
-    """The model, from at most rows labelled texts of each class and SAMPLE_CHARS of each.
+    """The model, from at most rows labelled texts of each class, whole.
 
     Sentences of clean documents are clean; in a toxic document, the sentences that meet a landmark well are
     toxic. Landmarks with a character put in stand as toxic sentences too, so gaps are learnt.
     """
     fold_of = F.lit(True) if fold_of is None else fold_of
     sample = fitting_sample(docs, labels, "toxic", rows, fold_of)
-    got = sorted((r for r in sample.select("doc_id", "y", F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect() if r.text), key=lambda r: (r.doc_id, r.text))
+    got = sorted((r for r in sample.select("doc_id", "y", "text").collect() if r.text), key=lambda r: (r.doc_id, r.text))
     share = labels.where(fold_of & F.col("toxic").isNotNull()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
     return fit_rows([(r.y, r.text) for r in got], share)
 
