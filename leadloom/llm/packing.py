@@ -193,7 +193,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     Each round deals the underfull bins anew to tasks of about task_rows pieces, packs each task's bins as
     items by best fit, and emits the nearly full ones; fewer tasks remain from round to round. It ends when one
-    task is left or a round saves under one bin in 200. Null and empty texts are one piece of the closing
+    task is left or a round saves no bin. Null and empty texts are one piece of the closing
     token; repeated rows are packed each; a null doc_id stays null; an empty table gives no rows.
     """
     pieces = stored(token_pieces(docs, tokenizer, capacity).withColumn("bin", F.monotonically_increasing_id()), "pack-pieces")
@@ -215,7 +215,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         done = done.unionByName(packed.where(F.col("space") <= slack))
         open_ = packed.where(F.col("space") > slack)
         rows, left = open_.agg(F.count("*"), F.count_if(F.col("offset") == 0)).first()
-        if tasks == 1 or left > 0.995 * bins:
+        if tasks == 1 or left >= bins:
             break
         bins = left
     return done.unionByName(open_).select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), "offset")
