@@ -39,6 +39,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with underscores behind it that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def doc_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 

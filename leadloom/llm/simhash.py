@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_labels, stored
+from .common import connected_components, local_labels, stored, unused
 
 #: Rows of a tile; a bucket with more is cut into tiles and worked on pair of tiles by pair.
 TILE_ROWS = 4096
@@ -36,7 +36,7 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp) of each row; fp is the unsigned fingerprint's bits as a long. Whole texts, null: no word."""
+    """(doc_id, fp, th) of each row; fp is the unsigned fingerprint's bits as a long, th the text's hash. Whole texts, null: no word."""
 
     def run(batches):
         import numpy as np
@@ -44,9 +44,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
 
         for b in batches:
             fp = np.fromiter((fingerprint(x.as_py(), words) for x in b.column(1)), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "th"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).mapInArrow(run, "doc_id long, fp long, th long")
 
 
 def block_masks(radius: int, agree: int) -> list[int]:
@@ -129,6 +129,14 @@ def similar_fingerprints(fps: DataFrame, radius: int = 4, tile_rows: int = TILE_
     return usual.union(hot).groupBy("unit", "i", "j").applyInPandas(work, "a long, b long")
 
 
+def fingerprint_components(found: DataFrame, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(fp, component_id) of the distinct fingerprints of found (doc_id, fp); null where no row reached has a doc_id."""
+    fps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-rep")
+    links = similar_fingerprints(fps.where("rep is not null"), radius, tile_rows)
+    comp = stored(connected_components(links), "simhash-cc")
+    return stored(fps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "simhash-named")
+
+
 def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs (doc_id, text; further columns are ignored).
 
@@ -138,17 +146,29 @@ def simhash_groups(docs: DataFrame, words: int = 4, radius: int = 4, tile_rows:
     an empty table gives no rows.
     """
     found = stored(fingerprints(docs, words), "simhash-fp")
-    fps = stored(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-rep")
-    links = similar_fingerprints(fps.where("rep is not null"), radius, tile_rows)
-    comp = stored(connected_components(links), "simhash-cc")
-    named = stored(
-        fps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id")),
-        "simhash-named",
-    )
+    named = fingerprint_components(found, radius, tile_rows)
     return found.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id is its group's component_id; rows without doc_id stay. Columns as given."""
-    gone = simhash_groups(docs, words, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(stored(gone, "simhash-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs for each group: the first by doc_id, then text hash. Columns as given.
+
+    Rows that repeat a doc_id with other texts are judged by their own texts; of rows equal in doc_id and text one
+    stays. Rows without doc_id stay all. Null and empty texts are one group.
+    """
+    found = stored(fingerprints(docs, words).where("doc_id is not null"), "simhash-fp")
+    rows = found.join(fingerprint_components(found, radius), "fp").groupBy("component_id", "doc_id", "th").agg(F.count("*").alias("n"))
+    rows = stored(rows, "simhash-rows")
+    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    marked = rows.join(first, "component_id").where((F.struct("doc_id", "th") != F.col("first")) | (F.col("n") > 1))
+    a, b, c = (unused(docs, x) for x in ("near_id", "near_hash", "near_again"))
+    marked = stored(marked.select(F.col("doc_id").alias(a), F.col("th").alias(b), (F.struct("doc_id", "th") == F.col("first")).alias(c)), "simhash-marked")
+    key = (F.col("doc_id").cast("long") == F.col(a)) & (F.xxhash64("text") == F.col(b))
+    out = docs.join(marked, key, "left_anti")
+    if marked.where(F.col(c)).isEmpty():
+        return out
+    # rows equal in doc_id and text, of which one stays; what else differs in them is picked by its hash
+    repeated = docs.join(marked.where(F.col(c)), key, "left_semi")
+    names = [F.col(f"`{x}`") for x in docs.columns]
+    one = repeated.groupBy("doc_id", "text").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return out.unionByName(one.select("row.*"))

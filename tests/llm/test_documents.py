@@ -88,7 +88,10 @@ def test_simhash_odd(odd, make):
     got = {(r.doc_id, r.component_id) for r in simhash_groups(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (5, 5), (None, 5), (None, 1)} <= got
     assert near_dedup(odd).columns == odd.columns
-    assert sorted(r.doc_id for r in near_dedup(odd).where("doc_id is not null").collect()) == [1, 4, 5, 5, 6, 7]
+    assert sorted(r.doc_id for r in near_dedup(odd).where("doc_id is not null").collect()) == [1, 4, 5, 6, 7]
+    # a doc_id with two texts: each is judged by itself
+    docs = make([(1, "one text of some words"), (2, "one text of some words"), (2, "nothing of it is like the other text"), (3, "a third")])
+    assert sorted((r.doc_id, r.text) for r in near_dedup(docs).collect()) == [(1, "one text of some words"), (2, "nothing of it is like the other text"), (3, "a third")]
     assert simhash_groups(make([])).count() == 0
 
 
@@ -153,6 +156,48 @@ def test_mix_odd(odd, make):
     assert source_targets(mix(make([(1, "")])).selectExpr("'s' source", "size")).count() == 1
 
 
+def test_mix_rows_and_names(spark, make):
+    """Rows without doc_id are dealt by their texts; the blocks taken once more are not one run; names may clash."""
+    docs = make([(None, f"w{i} " + "word " * (5 + i % 90), "x") for i in range(3000)])
+    got = mix(docs).collect()
+    assert sum(r.taken for r in got) == pytest.approx(1.5 * sum(r["size"] for r in got), rel=0.01) and len({r.taken / r["size"] for r in got}) > 50
+    one = [r.taken for r in sorted(mix(make([(i, "word " * 64, "x") for i in range(200)])).collect(), key=lambda r: r.doc_id)]
+    assert len(set(one)) > 1
+    wide = spark.createDataFrame([(1, "a b c", "s", 1, 2, 3)], ["doc_id", "text", "source", "mix_key", "__copies", "copies"])
+    assert mixed_documents(wide).columns == wide.columns and mixed_documents(wide).count() >= 1
+
+
+def test_labels_that_differ(make, labels):
+    """A doc_id with several labels has the largest, whatever the order of rows."""
+    docs = make([(i, f"{'good' if i % 2 else 'bad'} text number {i} " * 20) for i in range(40)])
+    rows = [(i, i % 2, 0) for i in range(40)] + [(i, 0, 0) for i in range(20)]
+    a, b = ({r.doc_id: r.score for r in quality_scores(docs, labels(x)).collect()} for x in (rows, rows[::-1]))
+    assert a == b
+
+
+def test_subsequence_kernel_by_definition():
+    """The kernel of two words is the sum over common subsequences of DECAY to the length both take up."""
+    import itertools
+
+    import numpy as np
+
+    from leadloom.llm.toxicity import DECAY, ORDER, Kernel
+
+    def brute(s, t):
+        total = 0.0
+        for i in itertools.combinations(range(len(s)), ORDER):
+            for j in itertools.combinations(range(len(t)), ORDER):
+                if [s[x] for x in i] == [t[x] for x in j]:
+                    total += DECAY ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
+        return total
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 4, (12, 7)).astype(np.uint8)
+    got = Kernel._pairs(np.repeat(words, 12, 0), np.tile(words, (12, 1))).reshape(12, 12)
+    assert np.allclose(got, [[brute(a, b) for b in words] for a in words])
+    assert np.linalg.eigvalsh(got).min() > -1e-9
+
+
 def test_best_fit_brute_force():
     import random
 
