@@ -92,3 +92,48 @@ RAMP = ((5, 8), (10, 12), (15, 15), (None, 18))
 DAILY_MAX, WEEKLY_MAX = 20, 90
 SAMPLE_SIZE = 100
 PENDING_DAYS = 21
+
+# ---- fixed values: mailboxes that are no person's ----------------------------
+ROLE_MAILBOXES = (
+    "info contact hello inquiries enquiries enquiry support admin office general careers career hr jobs recruit recruitment "
+    "marketing press media pr comms sales bookings booking reservations reservation appointments appointment frontdesk reception "
+    "manager operations banqueting catering events concierge no-reply noreply donotreply gm hd md ceo coo cfo cto dir director "
+    "directors management owner founder boss head chief president principal shop store retail spa wellness restaurant bar kitchen "
+    "housekeeping maintenance security groups accounts accounting finance billing invoice invoices webmaster web it helpdesk mail "
+    "email post stay welcome hotel team service services customer customerservice guest guests front desk meetings direktion "
+    "direktor geschaeftsfuehrung empfang buchung anfrage anfragen rezeption verwaltung direction accueil reservationsfr "
+    "renseignements direzione prenotazioni ufficio informazioni ricevimento direccion reservas gerencia gerente recepcion recepce "
+    "rezervace vedeni kancelar recepcja rezerwacje biuro receptie reserveringen kantoor igazgato recepcio foglalas iroda"
+).split()
+# ---- fixed values: names in addresses ----------------------------------------
+NAME_PARTICLES = "de del della di da dos das van von der den ter le la el al bin ibn abu mac mc st san santa do du ten op".split()
+NAME_PLACEHOLDERS = (
+    "ihre ihr deine dein votre vos ton tuo tua su tu vuestro seu sua twoj vas vase din ditt jouw uw eposta epost correo courriel mailadresse adresse"
+).split()
+PLACEHOLDER_HOST = r"^(e?mail|domain|yourdomain|example|exemple|ejemplo|esempio|beispiel|sample|test|demo|placeholder|company|firma|site|website|inbox|xyz|abc)\."
+PLACEHOLDER_PARTS = ("example", "yourname", "yourdomain", "j.doe", "johndoe", "janedoe", "placeholder", "@test.", "@domain.", "@sample.")
+BUSINESS_WORDS = (
+    "clinic", "clinics", "hospital", "polyclinic", "center", "centre", "group", "holding", "real estate", "properties", "restaurant",
+    "cafe", "salon", "spa", "pharmacy", "dental", "medical", "law", "associates", "partners", "insurance", "studio", "academy",
+    "hotel", "resort", "motors", "automotive", "lab", "laboratory",
+)
+# ---- fixed values: whose page a page is ----------------------------------------
+IDENTITY_STOP = (
+    "the and for center centre clinic clinics medical dental dentist hospital group company co llc ltd salon spa beauty hair real estate "
+    "properties restaurant cafe auto car service services trading est establishment riyadh jeddah dubai doha beirut saudi arabia emirates "
+    "uae qatar kuwait bahrain oman مركز مجمع عيادة عيادات طبي الطبي للاسنان الأسنان مستوصف شركة مؤسسة مطعم صالون"
+).split()
+AGGREGATORS = ("booking.com", "expedia.", "tripadvisor.", "hotels.com", "airbnb.", "agoda.", "trivago.", "facebook.com", "instagram.com")
+# ---- fixed values: countries in words -------------------------------------------
+COUNTRY_NAMES = {
+    "AE": "the UAE", "SA": "Saudi Arabia", "QA": "Qatar", "BH": "Bahrain", "KW": "Kuwait", "OM": "Oman", "LB": "Lebanon", "JO": "Jordan", "EG": "Egypt",
+    "ES": "Spain", "IT": "Italy", "FR": "France", "MC": "Monaco", "PT": "Portugal", "GR": "Greece", "DE": "Germany", "AT": "Austria", "CH": "Switzerland",
+    "NL": "the Netherlands", "BE": "Belgium", "LU": "Luxembourg", "CZ": "Czechia", "HU": "Hungary", "HR": "Croatia", "SI": "Slovenia", "ME": "Montenegro",
+    "RS": "Serbia", "AL": "Albania", "MK": "North Macedonia", "BA": "Bosnia and Herzegovina", "TR": "Turkey", "DK": "Denmark", "SE": "Sweden", "NO": "Norway",
+    "FI": "Finland", "IS": "Iceland", "IE": "Ireland", "GB": "the UK", "PL": "Poland", "RO": "Romania", "SK": "Slovakia", "BG": "Bulgaria", "MT": "Malta",
+    "CY": "Cyprus", "EE": "Estonia", "LV": "Latvia", "LT": "Lithuania", "UA": "Ukraine", "MD": "Moldova", "US": "the US", "CA": "Canada", "MX": "Mexico",
+    "BR": "Brazil", "AR": "Argentina", "CL": "Chile", "CO": "Colombia", "PE": "Peru", "AU": "Australia", "NZ": "New Zealand", "JP": "Japan",
+    "KR": "South Korea", "CN": "China", "HK": "Hong Kong", "TW": "Taiwan", "SG": "Singapore", "MY": "Malaysia", "TH": "Thailand", "VN": "Vietnam",
+    "PH": "the Philippines", "ID": "Indonesia", "IN": "India", "PK": "Pakistan", "BD": "Bangladesh", "LK": "Sri Lanka", "IL": "Israel", "ZA": "South Africa",
+    "NG": "Nigeria", "KE": "Kenya", "MA": "Morocco", "TN": "Tunisia", "DZ": "Algeria",
+}

@@ -109,3 +109,62 @@ def phone_digits(c: Column, code: Column) -> Column:
     d = F.regexp_replace(c, "[^0-9]", "")
     full = F.when(c.startswith("+"), d).otherwise(F.concat(code, F.ltrim(d, F.lit("0"))))
     return F.when(F.length(full).between(9, 15), full)
+
+
+def usable_domain(url: Column) -> Column:
+    """The host of a website as written, without scheme, www, path and query; null without a dot, with a space, or of an aggregator."""
+    host = F.trim(F.lower(F.regexp_replace(F.regexp_replace(F.trim(url), r"^(https?://)?(www\.)?", ""), r"[/?].*$", "")))
+    bad = ~F.contains(host, F.lit(".")) | F.contains(host, F.lit(" "))
+    for a in K.AGGREGATORS:
+        bad = bad | F.contains(host, F.lit(a))
+    return F.when(~bad, host)
+
+
+def company_keys(domain: Column, name: Column) -> Column:
+    """What a company answers to: its domain and its name as keys, without repeats and nulls."""
+    return F.array_distinct(F.array_compact(F.array(company_key(domain), company_key(name))))
+
+
+def country_name(code: Column) -> Column:
+    """The country in words; a code that is not known stays."""
+    names = F.create_map(*[F.lit(x) for pair in K.COUNTRY_NAMES.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, F.upper(code)), code)
+
+
+def first_number(text: Column, pattern: str) -> Column:
+    """Group 1 of the pattern, with thousands behind commas, as a number; null if there is none."""
+    return F.nullif(F.replace(F.regexp_extract(F.lower(text), pattern, 1), F.lit(","), F.lit("")), F.lit("")).try_cast("long")
+
+
+def headcount(text: Column) -> Column:
+    """The lower bound in texts such as 11-50 employees; 0 is none."""
+    return F.nullif(first_number(text, r"([0-9,]+)\s*(?:-|–|to)?\s*[0-9,]*\s*employees"), F.lit(0))
+
+
+def degree(text: Column) -> Column:
+    return first_number(text, r"(?:^|[^a-z0-9_])([123])(?:st|nd|rd)(?:[^a-z0-9_]|$)")
+
+
+def mutual_count(text: Column) -> Column:
+    return first_number(text, r"([0-9,]+)\s+(?:other\s+)?mutual")
+
+
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿčďěňřšťůžąćęłńśźżőű", "aaaaaaceeeeiiiinooooouuuuyycdenrstuzacelnszzou"
+
+
+def name_tokens(text: Column) -> Column:
+    """Words of a name: lower case, without accents and apostrophes, split at all else."""
+    plain = F.translate(F.lower(text), _ACCENTED, _PLAIN)
+    plain = F.regexp_replace(F.translate(plain, "'‘’ʼ", ""), "[^a-z0-9]+", " ")
+    return F.filter(F.split(plain, " "), lambda w: w != "")
+
+
+def names_person(label: Column, name: Column) -> Column:
+    """Whether all words of two letters or more of the name stand in the label; never for an empty name."""
+    want = F.filter(name_tokens(name), lambda w: F.length(w) > 1)
+    return F.coalesce((F.size(want) > 0) & (F.size(F.array_except(want, name_tokens(label))) == 0), F.lit(False))
+
+
+def run_base(slug: Column) -> Column:
+    """A run's name without its date and number."""
+    return F.regexp_replace(F.regexp_replace(slug, r"^[0-9]{4}-[0-9]{2}-[0-9]{2}-", ""), r"-[0-9]+$", "")

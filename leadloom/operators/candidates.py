@@ -46,8 +46,8 @@ def ledger_window(ledger: DataFrame, run_id: str, today, days: int | None) -> Da
     return rows if days is None else rows.where(age <= days)
 
 
-def merge_candidates(cands: DataFrame, allowed, sent_domains: DataFrame, sent_slugs: DataFrame, disqualified: DataFrame) -> DataFrame:
-    """cands with drop_reason: country, sent, disqualified, duplicate, or null for the first good row of a domain.
+def merge_candidates(cands: DataFrame, allowed, sent_domains: DataFrame, sent_slugs: DataFrame, disqualified: DataFrame, sourced: DataFrame | None = None) -> DataFrame:
+    """cands with drop_reason: country, sent, disqualified, sourced (if given), duplicate, or null for the first good row of a domain.
 
     Ledgers are sets of keys joined as flags; a row that a ledger or country drops does not claim its domain.
     """
@@ -55,7 +55,10 @@ def merge_candidates(cands: DataFrame, allowed, sent_domains: DataFrame, sent_sl
     c = cands.withColumn("slug", F.replace("domain", F.lit("."), F.lit("-")))
     c = c.join(flag(sent_domains, "domain", "s_domain"), F.col("domain") == F.col("s_domain"), "left").join(flag(sent_slugs, "slug", "s_slug"), F.col("slug") == F.col("s_slug"), "left")
     c = c.join(flag(disqualified, "domain", "d_domain"), F.col("domain") == F.col("d_domain"), "left")
-    bad = F.when(~F.col("country").isin(*allowed), "country").when(F.col("s_domain").isNotNull() | F.col("s_slug").isNotNull(), "sent").when(F.col("d_domain").isNotNull(), "disqualified")
+    bad = F.when(~F.col("country").isin(*allowed) if allowed is not None else F.lit(False), "country").when(F.col("s_domain").isNotNull() | F.col("s_slug").isNotNull(), "sent").when(F.col("d_domain").isNotNull(), "disqualified")
+    if sourced is not None:
+        c = c.join(flag(sourced, "domain", "o_domain"), F.col("domain") == F.col("o_domain"), "left")
+        bad = bad.when(F.col("o_domain").isNotNull(), "sourced")
     c = c.withColumn("bad", bad)
     firsts = c.where("bad is null").groupBy("domain").agg(F.min("seq").alias("first_seq"))
     c = c.join(firsts, "domain", "left")
@@ -69,6 +72,22 @@ def merge_audit(merged: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
+def merge_warnings(merged: DataFrame) -> DataFrame:
+    """(kept, country, stale, country_warning, stale_warning): whether the country rule, or ledgers, took too large a share."""
+    n = merged.agg(
+        F.count_if(F.col("drop_reason").isNull()).alias("kept"), F.count_if(F.col("drop_reason") == "country").alias("country"), F.count_if(F.col("drop_reason").isin("sent", "disqualified", "sourced")).alias("stale")
+    )
+    return n.withColumns({"country_warning": F.col("country") > 0.3 * (F.col("kept") + F.col("country")), "stale_warning": F.col("stale") > 0.5 * (F.col("kept") + F.col("stale"))})
+
+
+def allowed_countries(listed: list[str], worldwide: bool = False, default: tuple[str, ...] = ("AE", "SA", "QA", "BH", "KW")) -> tuple[str, ...] | None:
+    """The codes that may pass, None for all: those listed, all for * or ALL or where the profile is worldwide, else default."""
+    codes = tuple(c.strip().upper() for c in listed if c.strip())
+    if "*" in codes or "ALL" in codes or not codes and worldwide:
+        return None
+    return codes or default
+
+
 def append_once(ledger: DataFrame, rows: DataFrame, key: list[str], order: list) -> DataFrame:
     """The rows to append: the first of each key, by order, that the ledger lacks."""
     new = rows.join(ledger.select(*key).distinct(), key, "left_anti")

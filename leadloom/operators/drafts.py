@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .candidates import suppress
+
 
 def render(leads: DataFrame, openers: DataFrame, template: str, fallback: str, slots: list[str]) -> DataFrame:
     """leads with body: the template with each {slot} replaced by the column; the opener comes from (intake, opener) or is fallback."""
@@ -32,3 +34,11 @@ def plan_batches(drafts: DataFrame, order: str, size: int) -> DataFrame:
     start = start.withColumn("__start", F.coalesce(F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     number = F.col("__start") + F.row_number().over(Window.partitionBy("__range").orderBy(order)) - 1
     return dealt.join(start, "__range").withColumn("batch_index", F.floor(number / size).cast("long")).drop("__range", "__start")
+
+
+def plan_sends(drafts: DataFrame, keys: dict[str, str], ledger: DataFrame, order: str, address: str, cap: int, size: int = 1000) -> DataFrame:
+    """drafts that no ledger key suppresses, the first of each address by order, cap of them, with batch_index."""
+    left = suppress(drafts, keys, ledger, order)
+    first = left.groupBy(address).agg(F.min(order).alias(order))
+    chosen = left.join(first, [address, order]).orderBy(order).limit(cap)
+    return plan_batches(chosen, order, size)

@@ -106,3 +106,80 @@ def select_queue(people: DataFrame, suppressed: DataFrame, state: DataFrame, cap
     p = p.withColumn("reason", reason).drop("s_url", "t_url")
     chosen = p.where("reason is null").orderBy(F.desc("score"), "person_id").limit(cap).select("person_id").withColumn("in_queue", F.lit(True))
     return p.join(chosen, "person_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("in_queue").isNull(), "over cap").otherwise(F.col("reason"))).drop("in_queue")
+
+
+def first_per_keys(rows: DataFrame) -> DataFrame:
+    """(id) kept when ids are taken by rising id and one is held if it shares a key with one kept before. rows: id, key.
+
+    Each round keeps who comes first for all of its keys and holds who shares a key with it, so a firm's rows are
+    grouped and never paired; the result is that of the sequential loop.
+    """
+    left, kept = settled(rows.select("id", "key").distinct(), "first"), None
+    while not left.isEmpty():
+        firsts = left.groupBy("key").agg(F.min("id").alias("first"))
+        ahead = left.join(firsts, "key").groupBy("id").agg(F.min((F.col("id") == F.col("first")).cast("int")).alias("all")).where(F.col("all") == 1).select("id")
+        now = settled(ahead, "first")
+        taken = left.join(now, "id", "left_semi").select("key").distinct()
+        gone = left.join(taken, "key", "left_semi").select("id").distinct()
+        kept = now if kept is None else kept.union(now)
+        left = settled(left.join(gone, "id", "left_anti"), "first")
+    return kept if kept is not None else rows.select("id").distinct()
+
+
+def coordination_hold_keys(ranked: DataFrame, last_contact: DataFrame, today, budget: int | None = None, window_days: int = 14, small: int = 6) -> DataFrame:
+    """(person_id, hold) of ranked (person_id, score, keys, headcount): window, same firm, over cap or null.
+
+    A firm answers to several keys. Of a small firm nobody is asked within window_days of the last contact with any of
+    its keys, and in a run only who shares no key with someone asked before, by score and person_id; who the window
+    holds blocks nobody. The cap comes last, in the same order.
+    """
+    ident = F.struct((-F.col("score")).alias("order"), F.col("person_id").alias("person_id"))
+    small_firms = F.coalesce(F.col("headcount") <= small, F.lit(False))
+    keys = ranked.where(small_firms).select(ident.alias("id"), F.explode("keys").alias("key"))
+    recent = last_contact.groupBy("key").agg(F.max("contacted").alias("contacted")).where(F.datediff(F.lit(today).cast("date"), "contacted") < window_days)
+    held = settled(keys.join(recent, "key", "left_semi").select("id").distinct(), "window")
+    open_ = keys.join(held, "id", "left_anti")
+    kept = first_per_keys(open_)
+    firm = open_.select("id").distinct().join(kept, "id", "left_anti")
+    marks = held.select("id.person_id", F.lit("window").alias("why")).union(firm.select("id.person_id", F.lit("same firm")))
+    out = settled(ranked.join(marks, "person_id", "left").select("person_id", "score", "why"), "hold")
+    if budget is None:
+        return out.select("person_id", F.col("why").alias("hold"))
+    chosen = out.where("why is null").orderBy(F.desc("score"), "person_id").limit(budget).select("person_id", F.lit(True).alias("chosen"))
+    return out.join(chosen, "person_id", "left").select("person_id", F.coalesce("why", F.when(F.col("chosen").isNull(), "over cap")).alias("hold"))
+
+
+def block_people(people: DataFrame, blocked: DataFrame) -> DataFrame:
+    """people none of whose keys is blocked. blocked: key."""
+    hit = people.select("person_id", F.explode("keys").alias("key")).join(blocked.select("key").distinct(), "key", "left_semi").select("person_id").distinct()
+    return people.join(hit, "person_id", "left_anti")
+
+
+def attach_messages(people: DataFrame, messages: DataFrame) -> DataFrame:
+    """people (person_id, pos, url) with message and matched_by: url, position or none.
+
+    messages: file, pos, url, message. Of one URL the last file's message counts; blank messages count for nothing. A
+    person whose URL meets none takes the message of its own position.
+    """
+    good = messages.where(F.trim(F.coalesce("message", F.lit(""))) != "").withColumn("message", F.trim("message"))
+    by_url = good.withColumn("m_url", profile_url(F.col("url"))).where("m_url is not null").groupBy("m_url").agg(F.max_by("message", "file").alias("by_url"))
+    by_pos = good.where("pos is not null").groupBy(F.col("pos").alias("m_pos")).agg(F.max_by("message", "file").alias("by_pos"))
+    p = people.join(by_url, F.col("url") == F.col("m_url"), "left").join(by_pos, F.col("pos") == F.col("m_pos"), "left")
+    how = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_pos").isNotNull(), "position").otherwise("none")
+    return p.select(*people.columns, F.coalesce("by_url", "by_pos").alias("message"), how.alias("matched_by"))
+
+
+def found_profiles(found: DataFrame, companies: DataFrame) -> DataFrame:
+    """found (row_id, found, profile_url, evidence_url, company) with url, company_id and reason: not found, bad url, repeat, no evidence, unknown company or null.
+
+    A URL is claimed by its first row, by row_id, that passes all else. companies: company_id, name.
+    """
+    f = found.withColumns({"url": profile_url(F.col("profile_url")), "key": company_key(F.col("company"))})
+    known = companies.select(company_key(F.col("name")).alias("key"), "company_id").where("key is not null").groupBy("key").agg(F.max("company_id").alias("company_id"))
+    f = f.join(known, "key", "left")
+    bad = F.when(~F.coalesce("found", F.lit(False)), "not found").when(F.col("url").isNull(), "bad url").when(F.coalesce(F.trim("evidence_url"), F.lit("")) == "", "no evidence").when(F.col("company_id").isNull(), "unknown company")
+    f = f.withColumn("bad", bad)
+    firsts = f.where("bad is null").groupBy("url").agg(F.min("row_id").alias("first_row")).select(F.col("url").alias("f_url"), "first_row")
+    f = f.join(firsts, F.col("url") == F.col("f_url"), "left")
+    repeat = F.coalesce(F.col("row_id") > F.col("first_row"), F.lit(False)) & F.coalesce("found", F.lit(False))
+    return f.select("row_id", "url", "company_id", F.when(repeat, "repeat").otherwise(F.col("bad")).alias("reason"))

@@ -316,7 +316,9 @@ def message_shape_check(s, d):
     return X.table(s, d, "conversations").select("conv_id", "turn", F.array_join(N.message_errors(F.col("text"), 280), ",").alias("errors"))
 
 
-@query(f"WITH {_SHINGLES}, c AS (SELECT f FROM sh GROUP BY f HAVING count(*) > 1) SELECT (SELECT count(*) FROM c) > 0 AS refused")
+@query(f"""WITH {_SHINGLES}, n AS (SELECT id, count(*) AS n FROM sh GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.f = y.f AND x.id < y.id GROUP BY 1, 2),
+  o AS (SELECT array_to_string(({_WORDS})[1:7], ' ') AS opening FROM documents WHERE len({_WORDS}) >= 7 GROUP BY 1 HAVING count(*) > 1)
+  SELECT exists(SELECT 1 FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) > 0.35) OR exists(SELECT 1 FROM o) AS refused""")
 def reject_batch_if_dupes(s, d):
     """Refused if two messages are alike above 0.35, or share an opening of more than six words."""
     hits = word_shingle_pairs(s, d).select(F.lit(1).alias("hit")).limit(1).union(shared_openings(s, d).select(F.lit(1).alias("hit")).limit(1))
