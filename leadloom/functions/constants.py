@@ -63,16 +63,16 @@ VOID_TAGS = "meta link img br hr input".split()
 REVIEW_CLAMP = 50_000
 REVIEW_POINTS = ((500, 40), (100, 30), (25, 20), (1, 10))
 TRACKERS = {
-    "clarity": r"clarity\.ms/tag",
     "ga4": r"gtag/js\?id=g-|googletagmanager\.com/gtag",
-    "google_ads": r"""googleadservices\.com|["']aw-\d{6,}""",
     "gtm": r"gtm-[a-z0-9]{4,}|googletagmanager\.com/gtm\.js",
-    "hotjar": r"static\.hotjar\.com|hjid\s*[:=]",
-    "linkedin_insight": r"snap\.licdn\.com|_linkedin_partner_id",
     "meta_pixel": r"""fbq\s*\(\s*["']init["']|connect\.facebook\.net/[^"']*fbevents\.js""",
-    "mixpanel": r"cdn\.mxpnl\.com|mixpanel\.init\s*\(",
+    "google_ads": r"""googleadservices\.com|["']aw-\d{6,}""",
+    "hotjar": r"static\.hotjar\.com|hjid\s*[:=]",
+    "clarity": r"clarity\.ms/tag",
     "segment": r"cdn\.segment\.com|analytics\.load\s*\(",
+    "mixpanel": r"cdn\.mxpnl\.com|mixpanel\.init\s*\(",
     "tiktok": r"analytics\.tiktok\.com",
+    "linkedin_insight": r"snap\.licdn\.com|_linkedin_partner_id",
 }
 CHAT = r"widget\.intercom\.io|embed\.tawk\.to|client\.crisp\.chat|js\.driftt\.com|static\.zdassets\.com|cdn\.livechatinc\.com|code\.tidio\.co"
 HREFLANG = r"""hreflang\s*=\s*["']([a-z]{2})(?:-[a-z0-9]{2,8})*["']"""
@@ -137,3 +137,8 @@ COUNTRY_NAMES = {
     "PH": "the Philippines", "ID": "Indonesia", "IN": "India", "PK": "Pakistan", "BD": "Bangladesh", "LK": "Sri Lanka", "IL": "Israel", "ZA": "South Africa",
     "NG": "Nigeria", "KE": "Kenya", "MA": "Morocco", "TN": "Tunisia", "DZ": "Algeria",
 }
+# ---- fixed values: what a message may not say --------------------------------------
+MONEY = (
+    r"\$|(^|[^a-z0-9_])(price|pricing|priced|fee|fees|retainer|commission|monthly fee|per month|/month|cost|costs|free setup|no monthly|charge|charges|"
+    r"dollar|dollars|usd|invoice|subscription)([^a-z0-9_]|$)"
+)

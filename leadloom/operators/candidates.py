@@ -19,7 +19,9 @@ def parse_unresolved(lines: DataFrame, cap: int) -> DataFrame:
     """(seq, name, country, city, vertical, over_cap) of lines with exactly four fields and a name."""
     p = F.split("line", r"\|")
     ok = lines.select("seq", p.alias("p")).where(F.size("p") == 4).select("seq", *[F.trim(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(("name", "country", "city", "vertical"))]).where("name <> ''")
-    return ok.withColumn("over_cap", F.row_number().over(Window.orderBy("seq")) > cap)
+    # the first cap rows by a sort with a limit, so no task sees all
+    first = ok.select("seq").orderBy("seq").limit(cap).withColumn("inside", F.lit(True))
+    return ok.join(first, "seq", "left").withColumn("over_cap", F.col("inside").isNull()).drop("inside")
 
 
 def ledger_keys(lines: DataFrame) -> DataFrame:

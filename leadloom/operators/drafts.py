@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions import constants as K
+
 from .candidates import suppress
+from .names import is_direct_mailbox
 
 
 def render(leads: DataFrame, openers: DataFrame, template: str, fallback: str, slots: list[str]) -> DataFrame:
@@ -42,3 +45,22 @@ def plan_sends(drafts: DataFrame, keys: dict[str, str], ledger: DataFrame, order
     first = left.groupBy(address).agg(F.min(order).alias(order))
     chosen = left.join(first, [address, order]).orderBy(order).limit(cap)
     return plan_batches(chosen, order, size)
+
+
+def draft_contract(drafts: DataFrame, link: str, banned: str, signature: str) -> DataFrame:
+    """drafts (subject, body, salutation, address, and a column link) with drop_reason, and subject, body and html as sent.
+
+    In order: the address is a person's; the body opens with Hello and the salutation; no money words in body or
+    subject; the link is there; no banned word. Dashes become commas, the word AI in a subject becomes the, and the
+    signature is put behind a body that lacks it. Paragraphs stand between empty lines.
+    """
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s*[—–]\s*", ", "))
+    d = drafts.withColumns({"subject": tidy(F.coalesce("subject", F.lit(""))), "body": tidy(F.coalesce("body", F.lit("")))})
+    money = F.lower("body").rlike(K.MONEY) | F.lower("subject").rlike(K.MONEY)
+    reason = (
+        F.when(~is_direct_mailbox(F.col("address")), "no_direct_email").when(~F.startswith("body", F.concat(F.lit("Hello "), "salutation", F.lit(","))), "salutation")
+        .when(money, "money").when(~F.contains("body", F.col(link)), "no_link").when(F.lower("body").rlike(banned), "banned")
+    )
+    signed = F.when(F.contains("body", F.lit(signature)), F.col("body")).otherwise(F.concat(F.rtrim("body"), F.lit("\n" + signature)))
+    d = d.withColumns({"drop_reason": reason, "subject": F.trim(F.regexp_replace("subject", r"(?i)(^|[^A-Za-z0-9_])ai($|[^A-Za-z0-9_])", "$1the$2")), "body": signed})
+    return d.withColumn("html", F.array_join(F.transform(F.split("body", "\n\n"), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "\n"))

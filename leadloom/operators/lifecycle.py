@@ -100,3 +100,8 @@ def heartbeat(events: DataFrame) -> DataFrame:
     d = events.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") == "failed").alias("failed"))
     verdict = F.when(F.dayofweek("day").isin(1, 7), "not a send day").when(F.col("sent") > F.col("failed"), "sent").when(F.col("failed") > 0, "failures").otherwise("not ok")
     return d.select("day", verdict.alias("verdict"))
+
+
+def reconcile(sent: DataFrame, snapshot: DataFrame, people: DataFrame) -> DataFrame:
+    """(profile, status) of sent profiles that the pending snapshot lacks: accepted where people (profile, degree) has degree 1, else expired."""
+    return sent.join(snapshot.select("profile").distinct(), "profile", "left_anti").join(people, "profile", "left").select("profile", F.when(F.col("degree") == 1, "accepted").otherwise("expired").alias("status"))

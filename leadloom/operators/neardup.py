@@ -14,6 +14,8 @@ def settled(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadloom-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
     path = f"{base}/leadloom-ops/{tag}-{uuid.uuid4().hex}"
@@ -59,6 +61,11 @@ def shingles(text: Column, n: int) -> Column:
     return _let(words(text), of)
 
 
+def message_body(text: Column) -> Column:
+    """A message without its first and last three lines, where it has more than four."""
+    return _let(F.split(text, "\n"), lambda ls: F.when(F.size(ls) > 4, F.array_join(F.slice(ls, 2, F.greatest(F.size(ls) - 4, F.lit(0))), "\n")).otherwise(text))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct character trigrams of lower-case text with white space as single spaces; a shorter text is one."""
 
@@ -69,24 +76,36 @@ def trigrams(text: Column) -> Column:
     return _let(F.split(F.regexp_replace(F.lower(text), r"\s+", " "), ""), of)
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of ids whose sets of features (id, feature) have a Jaccard index above least; a < b.
+def equal_sets(sets: DataFrame) -> DataFrame:
+    """(id, rep, features) of sets (id, items: array): items as sorted 64-bit hashes, and the smallest id with the same ones."""
+    f = sets.select("id", F.array_sort(F.array_distinct(F.transform("items", lambda x: F.xxhash64(x)))).alias("features")).withColumns({"h1": F.xxhash64("features"), "h2": F.xxhash64(F.lit(1), "features")})
+    f = settled(f, "sets")
+    rep = f.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
+    return f.join(rep, ["h1", "h2"]).select("id", "rep", "features")
+
+
+def similar_pairs(classes: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of representatives whose sets have a Jaccard index above least; a < b. classes: equal_sets.
 
-    Two sets above the index share one of each set's rarest features (prefix filter), so only those are
-    joined; the index is then counted on all features of the candidates.
+    Copies stand behind their representative, so a group of copies gives no pairs and no hot features. Two sets
+    above the index share one of each set's rarest features (prefix filter), so only those are joined, as numbers;
+    the index is then counted on the sets of the candidates. Adaptive execution splits a feature that many share.
     """
     from pyspark.sql import Window
 
-    f = settled(sets.distinct(), "similar")
-    freq = f.groupBy("feature").agg(F.count("*").alias("df"))
-    size = f.groupBy("id").agg(F.count("*").alias("n"))
-    ranked = f.join(freq, "feature").join(size, "id").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "feature")))
-    prefix = settled(ranked.where(F.col("rank") <= F.col("n") - F.ceil(least * F.col("n")) + 1).where("df > 1").select("id", "feature", "n"), "similar")
+    f = settled(classes.where("id = rep").select("id", "features"), "similar")
+    flat = f.select("id", F.size("features").alias("n"), F.explode("features").alias("feature"))
+    freq = flat.groupBy("feature").agg(F.count("*").alias("df")).where("df > 1")
+    # a feature of one set comes first in that set's order and joins nothing: only how many there are counts
+    ranked = flat.join(freq, "feature").withColumn("shared", F.count("*").over(Window.partitionBy("id"))).withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "feature")))
+    most = F.col("n") - F.ceil(least * F.col("n")) + 1
+    prefix = settled(ranked.where(F.col("rank") + F.col("n") - F.col("shared") <= most).select("id", "feature", "n"), "similar")
     other = prefix.select("feature", F.col("id").alias("b"), F.col("n").alias("m"))
-    pairs = prefix.withColumnRenamed("id", "a").join(other, "feature").where("a < b").where((F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b", "n", "m").distinct()
-    shared = pairs.join(f.withColumnRenamed("id", "a"), "a").join(f.withColumnRenamed("id", "b"), ["b", "feature"]).groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-    j = F.col("c") / (F.col("n") + F.col("m") - F.col("c"))
-    return shared.where(j > least).select("a", "b", F.round(j, 3).alias("similarity"))
+    pairs = prefix.withColumnRenamed("id", "a").join(other, "feature").where("a < b").where(F.least("n", "m") >= least * F.greatest("n", "m")).select("a", "b").distinct()
+    both = pairs.join(f.select(F.col("id").alias("a"), F.col("features").alias("x")), "a").join(f.select(F.col("id").alias("b"), F.col("features").alias("y")), "b")
+    c = F.size(F.array_intersect("x", "y"))
+    both = both.select("a", "b", c.alias("c"), (F.size("x") + F.size("y") - c).alias("u"))
+    return both.where(F.col("c") / F.col("u") > least).select("a", "b", F.round(F.col("c") / F.col("u"), 3).alias("similarity"))
 
 
 def message_errors(text: Column, most: int) -> Column:

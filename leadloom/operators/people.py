@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadloom.functions import constants as K
 from leadloom.functions.exprs import company_key, profile_url
 
-from .neardup import greedy_keep_first, settled
+from .neardup import settled
 
 
 def title_tier(title: Column) -> Column:
@@ -22,13 +22,20 @@ def reach_mode() -> Column:
     return F.when(F.col("degree") == 1, "direct").when(F.col("open_profile"), "open profile").when(F.col("degree").isin(2, 3), "invite")
 
 
-def qualify_people(people: DataFrame, accept=("T1", "T2"), countries=(), alive_days: int = 90) -> DataFrame:
-    """people with title_tier, reach_mode, alive, route (linkedin, email or drop) and reason."""
-    p = people.withColumns({"title_tier": title_tier(F.col("title")), "reach_mode": reach_mode(), "alive": F.coalesce(F.col("last_activity_days") <= alive_days, F.lit(False))})
+def qualify_people(people: DataFrame, accept=("T1", "T2"), countries=(), alive_days: int = 90, cities=()) -> DataFrame:
+    """people with title_tier, reach_mode, alive, route (linkedin, email or drop) and reason.
+
+    The headline stands in for a blank title where there is such a column. Countries and cities are those of the
+    company; who has neither is dropped where either is asked for, and one of them is enough.
+    """
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("headline")) if "headline" in people.columns else F.col("title")
+    p = people.withColumns({"title_tier": title_tier(title), "reach_mode": reach_mode(), "alive": F.coalesce(F.col("last_activity_days") <= alive_days, F.lit(False))})
     bad_tier = ~F.coalesce(F.col("title_tier").isin(*accept), F.lit(False))
     reason = F.when(bad_tier, F.concat(F.lit("title: tier "), F.coalesce("title_tier", F.lit("none"))))
-    if countries:
-        reason = reason.when(F.col("company_country").isNull(), "geo: no company location").when(~F.col("company_country").isin(*countries), F.concat(F.lit("geo: company in "), "company_country"))
+    if countries or cities:
+        city = F.col("company_city") if "company_city" in people.columns else F.lit(None).cast("string")
+        inside = F.coalesce(F.col("company_country").isin(*countries), F.lit(False)) | F.coalesce(F.lower(city).isin(*[c.lower() for c in cities]), F.lit(False))
+        reason = reason.when(F.col("company_country").isNull() & city.isNull(), "geo: no company location").when(~inside, F.concat(F.lit("geo: company in "), F.coalesce("company_country", city)))
     p = p.withColumn("drop", reason)
     route = F.when(F.col("drop").isNotNull(), "drop").when(F.col("alive") & F.col("reach_mode").isNotNull(), "linkedin").otherwise("email")
     why = F.coalesce(F.col("drop"), F.when(~F.col("alive"), "dormant").when(F.col("reach_mode").isNull(), "unreachable"))
@@ -44,6 +51,24 @@ def score_people(people: DataFrame, alive_days: int = 90) -> DataFrame:
     return people.withColumn("score", tier + alive + reach + F.when(F.col("mutuals") >= 3, 1.0).otherwise(0.0))
 
 
+def score_hooks(people: DataFrame, schools=()) -> DataFrame:
+    """people with hook_score and hooks: a shared school 2, three mutual contacts 1, a recent post 1, news of the company 1.5.
+
+    people: school, mutuals, recent_posts (array), company_signal; a column that is missing gives no hook.
+    """
+    has = lambda c, test: F.coalesce(test(F.col(c)), F.lit(False)) if c in people.columns else F.lit(False)
+    school = F.lit(False)
+    for x in schools:
+        school = school | has("school", lambda c, x=x: F.contains(F.lower(c), F.lit(x.lower())))
+    news = has("company_signal", lambda c: c != "")
+    tests = [(school, 2.0, F.lit("shared-school")), (has("mutuals", lambda c: c >= 3), 1.0, F.lit("mutuals")), (has("recent_posts", lambda c: F.size(c) > 0), 1.0, F.lit("recent-post"))]
+    tests.append((news, 1.5, F.concat(F.lit("timing:"), F.col("company_signal")) if "company_signal" in people.columns else F.lit("timing")))
+    total = F.lit(0.0)
+    for test, points, _ in tests:
+        total = total + F.when(test, points).otherwise(0.0)
+    return people.withColumns({"hook_score": total, "hooks": F.array_compact(F.array(*[F.when(test, name) for test, _, name in tests]))})
+
+
 def canonical(people: DataFrame) -> DataFrame:
     return people.withColumn("url", profile_url(F.col("profile_url")))
 
@@ -62,32 +87,15 @@ def coverage_gap(companies: DataFrame, people: DataFrame, cap: int) -> DataFrame
 
 
 def coordination_hold(ranked: DataFrame, last_contact: DataFrame, today, window_days: int = 14, small: int = 6) -> DataFrame:
-    """ranked (person_id, score, keys, headcount) with hold: window, same firm or null.
-
-    Of a small firm, nobody is asked within window_days of the last contact with any of its keys, and in a run
-    only the first by score and person_id; who the window holds blocks nobody.
-    """
-    keys = ranked.where(F.coalesce(F.col("headcount") <= small, F.lit(False))).select("person_id", "score", F.explode("keys").alias("key"))
-    recent = last_contact.groupBy("key").agg(F.max("contacted").alias("contacted")).where(F.datediff(F.lit(today).cast("date"), "contacted") < window_days)
-    windowed = keys.join(recent, "key", "left_semi").select("person_id").distinct()
-    left = keys.join(windowed, "person_id", "left_anti")
-    firm = left.groupBy("key").agg(F.max(F.struct("score", -F.col("person_id"))).alias("best"), F.count("*").alias("n")).where("n > 1")
-    # with one key a firm's first person is kept; persons with several keys are settled as a graph
-    pairs = left.join(firm, "key").select((-F.col("best.col2")).alias("a"), F.col("person_id").alias("b")).where("a <> b").distinct()
-    gone = pairs.select(F.col("b").alias("person_id")).distinct()
-    out = ranked.join(windowed.withColumn("w", F.lit(True)), "person_id", "left").join(gone.withColumn("g", F.lit(True)), "person_id", "left")
-    return out.withColumn("hold", F.when(F.col("w"), "window").when(F.col("g"), "same firm")).drop("w", "g")
+    """ranked (person_id, score, keys, headcount) with hold: window, same firm or null; see coordination_hold_keys."""
+    return ranked.join(coordination_hold_keys(ranked, last_contact, today, None, window_days, small), "person_id")
 
 
 def coordination_hold_exact(ranked: DataFrame, small: int = 6) -> DataFrame:
-    """(person_id) kept in the run where people may answer to several keys: the sequential rule, as a graph."""
-    placed = ranked.where(F.coalesce(F.col("headcount") <= small, F.lit(False))).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "person_id")))
-    keys = settled(placed.select("person_id", "pos", F.explode("keys").alias("key")), "hold")
-    other = keys.select("key", F.col("pos").alias("b"))
-    pairs = keys.select("key", F.col("pos").alias("a")).join(other, "key").where("a < b").select("a", "b").distinct()
-    nodes = keys.select(F.col("pos").alias("id"), "person_id").distinct()
-    kept = greedy_keep_first(nodes.select("id"), pairs)
-    return nodes.join(kept, "id", "left_semi").select("person_id")
+    """(person_id) kept in the run where people may answer to several keys."""
+    ident = F.struct((-F.col("score")).alias("order"), F.col("person_id").alias("person_id")).alias("id")
+    keys = ranked.where(F.coalesce(F.col("headcount") <= small, F.lit(False))).select(ident, F.explode("keys").alias("key"))
+    return first_per_keys(keys).select("id.person_id")
 
 
 def blocked_keys(domains: DataFrame) -> DataFrame:
@@ -98,12 +106,13 @@ def select_queue(people: DataFrame, suppressed: DataFrame, state: DataFrame, cap
     """people (person_id, url, degree, message, score) with reason: bad url, duplicate, suppressed, in state, reachable, no message, over cap or null."""
     p = people.join(suppressed.select(F.col("url").alias("s_url")).distinct(), F.col("url") == F.col("s_url"), "left")
     p = p.join(state.select(F.col("url").alias("t_url")).distinct(), F.col("url") == F.col("t_url"), "left")
-    nth = F.row_number().over(Window.partitionBy("url").orderBy("person_id"))
+    first = people.where("url is not null").groupBy(F.col("url").alias("f_url")).agg(F.min("person_id").alias("first_id"))
+    p = p.join(first, F.col("url") == F.col("f_url"), "left")
     reason = (
-        F.when(F.col("url").isNull(), "bad url").when(nth > 1, "duplicate").when(F.col("s_url").isNotNull(), "suppressed").when(F.col("t_url").isNotNull(), "in state")
+        F.when(F.col("url").isNull(), "bad url").when(F.col("person_id") > F.col("first_id"), "duplicate").when(F.col("s_url").isNotNull(), "suppressed").when(F.col("t_url").isNotNull(), "in state")
         .when(F.col("degree") == 1, "reachable").when(F.coalesce("message", F.lit("")) == "", "no message")
     )
-    p = p.withColumn("reason", reason).drop("s_url", "t_url")
+    p = p.withColumn("reason", reason).drop("s_url", "t_url", "f_url", "first_id")
     chosen = p.where("reason is null").orderBy(F.desc("score"), "person_id").limit(cap).select("person_id").withColumn("in_queue", F.lit(True))
     return p.join(chosen, "person_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("in_queue").isNull(), "over cap").otherwise(F.col("reason"))).drop("in_queue")
 

@@ -332,3 +332,37 @@ def canonical_values(s, d):
         E.country_name(F.when(k % 3 == 0, "gb").when(k % 3 == 1, "ES").otherwise("XX")).alias("country"), E.run_base(t("2026-07-27-lb-tpa-", n, "x-", n)).alias("base"), E.age_days(age).cast("long").alias("age"),
         E.short_name(name).alias("short"), E.usable_domain(site).alias("site"), E.phone_digits(phone, F.lit("44")).alias("phone"),
     )
+
+
+# ---- scores and drafts ---------------------------------------------------------------------
+_HOOKS = f"""{R._ROUTED}, h AS (SELECT person_id, mutuals, CASE WHEN person_id % 4 = 1 THEN 'The Harbour School of Trade' END AS school, CASE WHEN person_id % 5 = 2 THEN 'new site' WHEN person_id % 5 = 3 THEN '' END AS news, person_id % 6 = 4 AS posts FROM tiered)"""
+
+
+@query(f"""WITH {_HOOKS} SELECT person_id, CASE WHEN school IS NOT NULL THEN 2.0 ELSE 0 END::DOUBLE + CASE WHEN mutuals >= 3 THEN 1 ELSE 0 END + CASE WHEN posts THEN 1 ELSE 0 END + CASE WHEN news <> '' THEN 1.5 ELSE 0 END::DOUBLE AS hook_score,
+  array_to_string(list_filter([CASE WHEN school IS NOT NULL THEN 'shared-school' END, CASE WHEN mutuals >= 3 THEN 'mutuals' END, CASE WHEN posts THEN 'recent-post' END, CASE WHEN news <> '' THEN 'timing:' || news END], lambda x: x IS NOT NULL), ',') AS hooks FROM h""")
+def score_people_hooks(s, d):
+    k = F.col("person_id")
+    p = X.people(s, d).withColumns({
+        "school": F.when(k % 4 == 1, "The Harbour School of Trade"), "company_signal": F.when(k % 5 == 2, "new site").when(k % 5 == 3, ""), "recent_posts": F.when(k % 6 == 4, F.array(F.lit("post"))).otherwise(F.array().cast("array<string>")),
+    })
+    return P.score_hooks(p, ["harbour school"]).select("person_id", "hook_score", F.array_join("hooks", ",").alias("hooks"))
+
+
+_DRAFT = f"""{O.LEADS}, dr AS (SELECT seq, domain, name, 'x.' || vertical || '@' || domain AS address, 'Ms. ' || country AS salutation, CASE WHEN seq % 4 = 0 THEN 'AI for ' || name ELSE 'A word on ai' END AS subject,
+  CASE WHEN seq % 5 = 1 THEN 'Hi' ELSE 'Hello' END || ' Ms. ' || country || ', a word' || chr(10) || chr(10) || CASE WHEN seq % 6 = 2 THEN 'It is free of Charge' ELSE 'It is' END || ' https://' || CASE WHEN seq % 7 = 3 THEN '' ELSE domain END || CASE WHEN seq % 3 = 0 THEN ' by acme' ELSE '' END || CASE WHEN seq % 2 = 0 THEN chr(10) || 'Sent by us' ELSE '' END AS body FROM leads),
+  dg AS (SELECT *, lower(address) AS e, CASE WHEN seq % 2 = 0 THEN body ELSE body || chr(10) || 'Sent by us' END AS signed FROM dr)"""
+
+
+@query(f"""WITH {_DRAFT} SELECT seq, CASE WHEN NOT {DIRECT} THEN 'no_direct_email' WHEN seq % 5 = 1 THEN 'salutation' WHEN {O.like('lower(body)', K.MONEY)} OR {O.like('lower(subject)', K.MONEY)} THEN 'money' WHEN seq % 7 = 3 THEN 'no_link' WHEN seq % 3 = 0 THEN 'banned' END AS drop_reason,
+  trim(regexp_replace(trim(subject), '(?i)(^|[^A-Za-z0-9_])ai($|[^A-Za-z0-9_])', '\\1the\\2', 'g')) AS subject, '<p>' || array_to_string(list_transform(string_split(signed, chr(10) || chr(10)), lambda p: replace(p, chr(10), '<br>')), '</p>' || chr(10) || '<p>') || '</p>' AS html FROM dg""")
+def draft_contract(s, d):
+    from . import site_queries
+
+    n = F.col("seq")
+    t = lambda *x: F.concat(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    lead = site_queries._leads(s, d).select("seq", "domain", t("x.", F.col("vertical"), "@", F.col("domain")).alias("address"), t("Ms. ", F.col("country")).alias("salutation"), "name")
+    body = t(
+        F.when(n % 5 == 1, "Hi").otherwise("Hello"), " ", F.col("salutation"), ", a word\n\n", F.when(n % 6 == 2, "It is free of Charge").otherwise("It is"), " https://", F.when(n % 7 == 3, "").otherwise(F.col("domain")),
+        F.when(n % 3 == 0, " by acme").otherwise(""), F.when(n % 2 == 0, "\nSent by us").otherwise(""),
+    )
+    return drafts.draft_contract(lead.withColumns({"subject": F.when(n % 4 == 0, t("AI for ", F.col("name"))).otherwise("A word on ai"), "body": body}), "domain", "acme", "Sent by us").select("seq", "drop_reason", "subject", "html")

@@ -12,6 +12,7 @@ from leadloom.operators import geo as G
 from leadloom.operators import lifecycle as L
 from leadloom.operators import neardup as N
 from leadloom.operators import people as P
+from leadloom.operators.entities import top_n_per_group
 from leadloom.sources import fixtures as X
 
 from . import oracle_parts as O
@@ -143,9 +144,12 @@ def take_until_quota(s, d):
     return C.take_until(_places(s, d), "pos", "n", 90).select("place", "pos", "n", "before")
 
 
-@query(f"WITH {_PLACES} SELECT place, n FROM by_place WHERE n > 0")
+@query(f"WITH {O.CANDIDATES} SELECT country || '-' || seq % 97 AS place, count(*) FILTER (WHERE linked) AS linked, count(*) FILTER (WHERE NOT linked AND name <> '') AS named FROM candidates GROUP BY 1 HAVING count(*) FILTER (WHERE linked OR (name <> '' AND country <> 'FR')) > 0")
 def sweep_ledger_rows(s, d):
-    return _places(s, d).where("n > 0").select("place", "n")
+    """Places that returned something count as swept; name-only rows count where names are looked up, which is not so for FR."""
+    c = X.candidates(s, d).groupBy(F.concat("country", F.lit("-"), (F.col("seq") % 97).cast("string")).alias("place"))
+    n = c.agg(F.count_if("linked").alias("linked"), F.count_if(~F.col("linked") & (F.col("name") != "")).alias("named"), F.count_if(F.col("linked") | ((F.col("name") != "") & (F.col("country") != "FR"))).alias("some"))
+    return n.where("some > 0").select("place", "linked", "named")
 
 
 @query(f"WITH {_PLACES} SELECT place, pos FROM by_place WHERE place NOT IN (SELECT DISTINCT 'ES-' || vertical FROM candidates)")
@@ -236,7 +240,7 @@ def profile_suppression(s, d):
     return out.select("person_id", F.when(F.col("by_url"), "profile").when(F.col("by_mail"), "email").alias("reason"))
 
 
-_MSG = "CASE WHEN p.person_id % 8 = 5 THEN '' ELSE coalesce(left(d.text, 60), '') END"
+_MSG = "CASE WHEN p.person_id % 8 = 5 THEN '' ELSE coalesce(d.text, '') END"
 
 
 @query(f"""WITH {_SCORED}, q AS (SELECT p.person_id, url, degree, score, {_MSG} AS message FROM scored p LEFT JOIN documents d ON d.doc_id = p.person_id),
@@ -245,14 +249,14 @@ _MSG = "CASE WHEN p.person_id % 8 = 5 THEN '' ELSE coalesce(left(d.text, 60), ''
   SELECT person_id, CASE WHEN why IS NULL AND row_number() OVER (PARTITION BY why ORDER BY score DESC, person_id) > 30 THEN 'over cap' ELSE why END AS reason FROM r""")
 def select_invite_queue(s, d):
     p = _scored(s, d).join(X.messages(s, d), F.col("person_id") == F.col("id"), "left")
-    p = p.withColumn("message", F.when(F.col("person_id") % 8 == 5, "").otherwise(F.coalesce(F.left("text", F.lit(60)), F.lit(""))))
+    p = p.withColumn("message", F.when(F.col("person_id") % 8 == 5, "").otherwise(F.coalesce("text", F.lit(""))))
     q = p.select("person_id", "url", "degree", "score", "message")
     return P.select_queue(q, q.where("person_id % 10 = 3"), q.where("person_id % 11 = 4"), 30).select("person_id", "reason")
 
 
-@query(f"WITH {_ROUTED}, m AS (SELECT doc_id AS id, left(text, 60) AS message FROM documents WHERE doc_id % 4 <> 2) SELECT person_id, message, CASE WHEN message IS NULL THEN 'none' ELSE 'id' END AS matched_by FROM tiered LEFT JOIN m ON id = person_id")
+@query(f"WITH {_ROUTED}, m AS (SELECT doc_id AS id, text AS message FROM documents WHERE doc_id % 4 <> 2) SELECT person_id, message, CASE WHEN message IS NULL THEN 'none' ELSE 'id' END AS matched_by FROM tiered LEFT JOIN m ON id = person_id")
 def attach_messages(s, d):
-    m = X.messages(s, d).where("id % 4 <> 2").select("id", F.left("text", F.lit(60)).alias("message"))
+    m = X.messages(s, d).where("id % 4 <> 2").select("id", F.col("text").alias("message"))
     p = X.people(s, d).join(m, F.col("person_id") == F.col("id"), "left")
     return p.select("person_id", "message", F.when(F.col("message").isNull(), "none").otherwise("id").alias("matched_by"))
 
@@ -260,7 +264,7 @@ def attach_messages(s, d):
 @query(f"WITH {_ROUTED}, g AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY person_id) AS rn FROM tiered WHERE url IS NOT NULL AND company IS NOT NULL AND person_id % 6 <> 1) SELECT person_id, url, company FROM g WHERE rn = 1")
 def found_profile_gate(s, d):
     p = P.canonical(X.people(s, d)).where("company is not null and person_id % 6 <> 1")
-    return P.union_first_wins(p, p.limit(0), "url", "person_id").select("person_id", "url", "company")
+    return top_n_per_group(p.where("url is not null"), ["url"], [F.col("person_id")], 1).select("person_id", "url", "company")
 
 
 @query(f"WITH {_SCORED}, b AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY CASE WHEN person_id % 2 = 0 THEN 0 ELSE 1 END, person_id) AS rn FROM scored WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM scored WHERE person_id % 12 = 7 AND url IS NOT NULL)) SELECT person_id, url, score FROM b WHERE rn = 1")
@@ -274,19 +278,30 @@ def backlog_merge(s, d):
 @query(f"WITH {O.COMPANIES}, k AS (SELECT *, {O.KEY('name')} AS key, row_number() OVER (PARTITION BY {O.KEY('name')} ORDER BY company_id) AS rn FROM companies) SELECT company_id, name, domain, country, headcount::BIGINT AS headcount FROM k WHERE key IS NOT NULL AND rn = 1")
 def companies_from_leads(s, d):
     c = X.companies(s, d).withColumn("key", company_key(F.col("name"))).where("key is not null")
-    return P.union_first_wins(c, c.limit(0), "key", "company_id").select("company_id", "name", "domain", "country", F.col("headcount").cast("long").alias("headcount"))
+    return top_n_per_group(c, ["key"], [F.col("company_id")], 1).select("company_id", "name", "domain", "country", F.col("headcount").cast("long").alias("headcount"))
 
 
 # ---- messages -----------------------------------------------------------------
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
-_SHINGLES = f"sh AS (SELECT DISTINCT doc_id AS id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS f FROM (SELECT doc_id, {_WORDS} AS w FROM documents))"
+_SHINGLES = f"sh AS (SELECT DISTINCT doc_id AS id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS f FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)"
+_CLASSES = f"{_SHINGLES}, sets AS (SELECT id, list_sort(list(f)) AS fs FROM sh GROUP BY id), cls AS (SELECT id, min(id) OVER (PARTITION BY fs) AS rep FROM sets)"
 
 
-@query(f"""WITH {_SHINGLES}, n AS (SELECT id, count(*) AS n FROM sh GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM sh x JOIN sh y ON x.f = y.f AND x.id < y.id GROUP BY 1, 2)
+def _shingle_classes(s, d):
+    m = X.messages(s, d).where(F.size(N.words(F.col("text"))) > 0)
+    return N.equal_sets(m.select("id", N.shingles(F.col("text"), 3).alias("items")))
+
+
+@query(f"""WITH {_CLASSES}, r AS (SELECT sh.* FROM sh JOIN cls ON cls.id = sh.id AND cls.rep = cls.id), n AS (SELECT id, count(*) AS n FROM r GROUP BY id), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM r x JOIN r y ON x.f = y.f AND x.id < y.id GROUP BY 1, 2)
   SELECT a, b, round(c / (p.n + q.n - c), 3) AS similarity FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) > 0.35""")
 def word_shingle_pairs(s, d):
-    m = X.messages(s, d).select("id", F.explode(N.shingles(F.col("text"), 3)).alias("feature"))
-    return N.similar_pairs(m, 0.35)
+    """Pairs of messages with different shingle sets; copies stand behind the first of them, see word_shingle_classes."""
+    return N.similar_pairs(_shingle_classes(s, d), 0.35)
+
+
+@query(f"WITH {_CLASSES} SELECT id, rep FROM cls")
+def word_shingle_classes(s, d):
+    return _shingle_classes(s, d).select("id", "rep")
 
 
 def _opening(text):
@@ -303,9 +318,10 @@ def shared_openings(s, d):
 @query()
 def char_trigram_dedup(s, d):
     """Messages kept in order of id when one goes if its character trigrams are over 0.85 alike to a kept one's."""
-    m = X.messages(s, d).where("text is not null").select("id", F.explode(N.trigrams(F.col("text"))).alias("feature"))
-    pairs = N.similar_pairs(m, 0.85)
-    return N.greedy_keep_first(X.messages(s, d).select("id"), pairs)
+    m = X.messages(s, d).where("text is not null").select("id", N.trigrams(N.message_body(F.col("text"))).alias("items"))
+    classes = N.equal_sets(m)
+    first = classes.where("id = rep").select("id").union(X.messages(s, d).where("text is null").select("id"))
+    return N.greedy_keep_first(first, N.similar_pairs(classes, 0.85))
 
 
 _ERR = "array_to_string(list_filter([CASE WHEN coalesce(trim(text), '') = '' THEN 'empty' END, CASE WHEN length(text) > 280 THEN 'too long' END, CASE WHEN regexp_matches(text, '\\{[a-z_]+\\}|\\[[A-Z ]+\\]') THEN 'placeholder' END], lambda x: x IS NOT NULL), ',')"
@@ -321,7 +337,9 @@ def message_shape_check(s, d):
   SELECT exists(SELECT 1 FROM c JOIN n p ON p.id = a JOIN n q ON q.id = b WHERE c / (p.n + q.n - c) > 0.35) OR exists(SELECT 1 FROM o) AS refused""")
 def reject_batch_if_dupes(s, d):
     """Refused if two messages are alike above 0.35, or share an opening of more than six words."""
-    hits = word_shingle_pairs(s, d).select(F.lit(1).alias("hit")).limit(1).union(shared_openings(s, d).select(F.lit(1).alias("hit")).limit(1))
+    classes = _shingle_classes(s, d)
+    one = lambda df: df.select(F.lit(1).alias("hit")).limit(1)
+    hits = one(classes.where("id <> rep")).union(one(N.similar_pairs(classes, 0.35))).union(one(shared_openings(s, d)))
     return hits.agg((F.count("*") > 0).alias("refused"))
 
 
@@ -435,11 +453,11 @@ def cooldown_intervals(s, d):
     return _ntz(L.cooldowns(X.send_events(s, d)), "starts", "ends")
 
 
-@query(f"WITH {_LIFE} SELECT profile, CASE WHEN profile % 2 = 0 THEN 'accepted' ELSE 'expired' END AS status FROM life WHERE status = 'sent' AND profile % 3 <> 0")
+@query(f"WITH {_LIFE}, {O.PEOPLE} SELECT profile, CASE WHEN degree = 1 THEN 'accepted' ELSE 'expired' END AS status FROM life LEFT JOIN people ON person_id = profile WHERE status = 'sent' AND profile % 3 <> 0")
 def reconcile_pending(s, d):
     state = L.lifecycle_state(X.send_events(s, d)).where("status = 'sent'")
     snapshot = state.where("profile % 3 = 0").select("profile")
-    return state.join(snapshot, "profile", "left_anti").select("profile", F.when(F.col("profile") % 2 == 0, "accepted").otherwise("expired").alias("status"))
+    return L.reconcile(state, snapshot, X.people(s, d).select(F.col("person_id").alias("profile"), "degree"))
 
 
 @query(f"WITH {O.SEND_EVENTS}, x AS (SELECT ts::DATE AS day, count(*) FILTER (WHERE status = 'sent') AS sent, count(*) FILTER (WHERE status = 'failed') AS failed FROM send_events GROUP BY 1) SELECT day, CASE WHEN dayofweek(day) IN (0, 6) THEN 'not a send day' WHEN sent > failed THEN 'sent' WHEN failed > 0 THEN 'failures' ELSE 'not ok' END AS verdict FROM x")

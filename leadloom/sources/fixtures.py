@@ -36,8 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, domain, slug, html): slugs in turn by page_id within a domain, html with a snippet behind."""
-    p = table(spark, sf_dir, "pages").select("page_id", url_host(F.col("url")).alias("domain"), "html")
+    pages = table(spark, sf_dir, "pages")
+    # numbers are given to page_id and domain alone: no html is sorted, and a large host's pages are small rows there
     n = F.row_number().over(Window.partitionBy("domain").orderBy("page_id")) - 1
+    p = pages.select("page_id", "html").join(pages.select("page_id", url_host(F.col("url")).alias("domain")).withColumn("n", n), "page_id")
+    n = F.col("n")
     slug = F.element_at(F.array(*map(F.lit, SLUGS)), (n % len(SLUGS) + 1).cast("int"))
     snippet = F.replace(F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("page_id") % len(SNIPPETS) + 1).cast("int")), F.lit("{h}"), F.col("domain"))
     return p.select("page_id", "domain", slug.alias("slug"), F.concat("html", snippet).alias("html"))

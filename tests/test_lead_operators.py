@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import exprs as E
 from leadloom.operators import candidates as C
-from leadloom.operators import contacts, gates
+from leadloom.operators import contacts, entities, gates, names
 from leadloom.operators import neardup as N
 from leadloom.operators import people as P
 from leadloom.operators.geo import adaptive_cells
@@ -118,8 +118,77 @@ def test_similar_pairs_brute_force(spark):
         return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or {t}
 
     want = {(a, b) for a in texts for b in texts if a < b and len(sh(texts[a]) & sh(texts[b])) > 0.35 * len(sh(texts[a]) | sh(texts[b]))}
-    df = spark.createDataFrame(list(texts.items()), "id long, text string").select("id", F.explode(N.shingles(F.col("text"), 3)).alias("feature"))
-    assert {(r.a, r.b) for r in N.similar_pairs(df, 0.35).collect()} == want
+    df = spark.createDataFrame(list(texts.items()), "id long, text string").select("id", N.shingles(F.col("text"), 3).alias("items"))
+    classes = N.equal_sets(df)
+    rep = {r.id: r.rep for r in classes.collect()}
+    assert rep == {a: min(b for b in texts if sh(texts[b]) == sh(texts[a])) for a in texts}
+    assert {(r.a, r.b) for r in N.similar_pairs(classes, 0.35).collect()} == {(a, b) for a, b in want if rep[a] == a and rep[b] == b}
+
+
+def test_message_body(spark):
+    rows = [("a\nb\nc\nd\ne\nf",), ("a\nb\nc\nd",), ("a\nb\nc\nd\ne",), (None,)]
+    got = [r.b for r in spark.createDataFrame(rows, "t string").select(N.message_body(F.col("t")).alias("b")).collect()]
+    assert got == ["b\nc", "a\nb\nc\nd", "b", None]
+
+
+def test_first_per_keys_equals_the_loop(spark):
+    rng = random.Random(8)
+    for n, k in ((1, 1), (40, 12), (60, 25)):
+        keys = {i: {rng.randrange(k) for _ in range(rng.randint(1, 3))} for i in range(n)}
+        used: set[int] = set()
+        kept = []
+        for i in range(n):
+            if not keys[i] & used:
+                kept.append(i)
+                used |= keys[i]
+        got = P.first_per_keys(spark.createDataFrame([(i, x) for i, xs in keys.items() for x in xs], "id long, key long"))
+        assert sorted(r.id for r in got.collect()) == kept
+
+
+def test_direct_mailboxes(spark):
+    good = ["sarah.jones@x.com", "f.vitek@x.cz", "alvaro.ferrandis@x.es", "a.b.c.info@x.com", " Ann@X.com "]
+    bad = ["hd@x.com", "gm-malta@x.com", "hotel.director@x.com", "front_desk@x.com", "direktion.basel@x.ch", "ann@gmail.com", "ann", "@x.com", "ann@x", "", None, "no-reply@x.com"]
+    df = spark.createDataFrame([(x,) for x in good + bad], "e string")
+    assert [r.d for r in df.select(names.is_direct_mailbox(F.col("e")).alias("d")).collect()] == [True] * len(good) + [False] * len(bad)
+
+
+NAMES = (
+    ("neil.baker@bakertrade.com.au", "Hewitt Trade Services", "", "Neil"), ("todd@toddbrownplumbing.com.au", "Todd Brown Plumbing", "Todd Petrie founded", None),
+    ("sarah@bluegate.com.au", "Blue Gate", "Owner Sarah has 20 years", "Sarah"), ("sarah@bluegate2.com.au", "Blue Gate", "no person here", None),
+    ("budapest@inn.hu", "Inn Buda", "Budapest City centre", None), ("you@email.com", "Whatever", "", None), ("neil.x@live.com", "Firm", "", None), ("m.van.dijk@inn.nl", "Inn", "", None),
+    ("dave.smith@smithplumbing.com.au", "Smith Plumbing", "", "Dave"), ("howard.hotel@living.com", "Howard Hotel", "", None), ("info@anything.com", "Anything", "", None),
+    ("reception.qld@industries.com.au", "Baker", "", None), ("%5b%7bneil.baker@x.org", "X", "", None), ("svenja.fels@parkhaus.de", "Rheinau Parkhaus", "", "Svenja"),
+)
+
+
+def test_names_out_of_addresses(spark):
+    host = lambda e: e.split("@")[1]
+    c = spark.createDataFrame([(host(e), e, b) for e, b, _, _ in NAMES], "domain string, email string, business string")
+    texts = spark.createDataFrame([(host(e), t) for e, _, t, _ in NAMES], "domain string, text string")
+    table = lambda xs: spark.createDataFrame([(x,) for x in xs.split()], "name string")
+    got = names.derive_names(c, table("neil todd sarah dave howard svenja"), table("info reception qld hotel sales"), names.page_names(texts, "domain"))
+    assert {r.email: r.first_name for r in got.collect()} == {e: n for e, _, _, n in NAMES}
+
+
+def test_tables_and_lists(spark, tmp_path):
+    path = str(tmp_path / "leads")
+    entities.write_table(spark.createDataFrame([(1, "r1"), (2, "r2")], "id long, run_id string"), path)
+    entities.write_table(spark.createDataFrame([(3, "r2")], "id long, run_id string"), path)
+    assert sorted((r.id, r.run_id) for r in spark.read.parquet(path).collect()) == [(1, "r1"), (3, "r2")]
+    (tmp_path / "places.txt").write_text("# places\n\nAlba|es|39.7|-0.2|0.15\n")
+    assert [tuple(r) for r in entities.load_places(spark, str(tmp_path / "places.txt")).collect()] == [("Alba", "ES", 39.7, -0.2, 0.15)]
+    for line in ("Alba|es|39.7", "Alba|es|x|1|2"):
+        (tmp_path / "bad.txt").write_text(line + "\n")
+        with pytest.raises(Exception):
+            entities.load_places(spark, str(tmp_path / "bad.txt")).collect()
+    assert C.allowed_countries(["es ", "fr"]) == ("ES", "FR") and C.allowed_countries(["*"]) is None and C.allowed_countries([], True) is None and len(C.allowed_countries([])) == 5
+
+
+def test_people_geo_and_headline(spark):
+    rows = [(1, "", "Owner at X", "ES", None), (2, "CEO", None, None, "Riga"), (3, "CEO", None, None, None), (4, "CEO", "x", "DE", "Bonn")]
+    p = spark.createDataFrame([(*r, 1, False, 3) for r in rows], "person_id long, title string, headline string, company_country string, company_city string, degree int, open_profile boolean, last_activity_days int")
+    got = {r.person_id: r.reason for r in P.qualify_people(p, countries=["ES"], cities=["riga"]).collect()}
+    assert got == {1: None, 2: None, 3: "geo: no company location", 4: "geo: company in DE"}
 
 
 def test_hold_several_keys(spark):
