@@ -480,9 +480,9 @@ def test_line_dedup_links(spark, monkeypatch, tile):
     pairs = [(i, j) for i, p in enumerate(words) for j, q in enumerate(words[:i]) if abs(len(p) - len(q)) <= most(p, q) and _distance(p, q) <= most(p, q)]
     rows = docs.select(docs.doc_id.alias("doc"), "text", *[c.alias(k) for k, c in ll.row_key().items()])
     found = ll.line_rows(rows, 5, 5, frequent=ll.frequent_keys(rows, 5)).cache()
-    lid = {r.doc: bytes(r.lid) for r in found.select("doc", "lid").collect()}
-    comp = {bytes(r.node): bytes(r.component) for r in ll.line_components(rows, found, 5, 0.8).collect()}
-    group = [comp.get(lid[i], lid[i]) for i in range(len(texts))]
+    h = {r.doc: r.h for r in found.select("doc", "h").collect()}
+    comp = {r.node: r.component for r in ll.line_components(rows, found, 5, 0.8).collect()}
+    group = [comp.get(h[i], h[i]) for i in range(len(texts))]
     assert len(pairs) > 200 and sum(group[i] == group[j] for i, j in pairs) >= 0.97 * len(pairs)
     label = list(range(len(texts)))
     for i, j in pairs:
