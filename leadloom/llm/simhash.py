@@ -159,10 +159,12 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     found = stored(fingerprints(docs, words).where("doc_id is not null"), "simhash-fp")
     rows = found.join(fingerprint_components(found, radius), "fp").groupBy("component_id", "doc_id", "th").agg(F.count("*").alias("n"))
     rows = stored(rows, "simhash-rows")
-    first = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    marked = rows.join(first, "component_id").where((F.struct("doc_id", "th") != F.col("first")) | (F.col("n") > 1))
+    # a component's first row has the doc_id that names it, so no component's rows are brought together
+    first = rows.where("doc_id = component_id").groupBy("doc_id").agg(F.min("th").alias("first"))
+    stays = F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("first")), F.lit(False))
+    marked = rows.join(first, "doc_id", "left").withColumn("stays", stays).where("not stays or n > 1")
     a, b, c = (unused(docs, x) for x in ("near_id", "near_hash", "near_again"))
-    marked = stored(marked.select(F.col("doc_id").alias(a), F.col("th").alias(b), (F.struct("doc_id", "th") == F.col("first")).alias(c)), "simhash-marked")
+    marked = stored(marked.select(F.col("doc_id").alias(a), F.col("th").alias(b), F.col("stays").alias(c)), "simhash-marked")
     key = (F.col("doc_id").cast("long") == F.col(a)) & (F.xxhash64("text") == F.col(b))
     out = docs.join(marked, key, "left_anti")
     if marked.where(F.col(c)).isEmpty():
