@@ -496,8 +496,9 @@ def test_line_dedup_links(spark, monkeypatch, tile):
     found.unpersist()
 
 
-def test_line_dedup_rows(spark, make):
-    """Rows that repeat a doc_id, rows without one, equal rows, clashing names."""
+def test_line_dedup_rows(spark, make, monkeypatch):
+    """Rows that repeat a doc_id, rows without one, equal rows, clashing names; places of a line dealt to parts."""
+    monkeypatch.setattr("leadloom.llm.lines.PART", 1)
     a, b, c = ("one line of text stands here", "another line of words is there", "a third line that nobody repeats")
     docs = make([(5, f"{a}\n{b}"), (5, f"{c}\n{a}"), (6, f"{b}\nx"), (6, f"{b}\nx"), (None, f"{a}\n{a}"), (None, "its own line of some words")])
     got = Counter((r.doc_id, r.text) for r in line_dedup(docs).collect())
