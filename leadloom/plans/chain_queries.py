@@ -224,7 +224,7 @@ def verify_entity_page(s, d):
 _RANKED = f"""{R._SCORED}, ks AS (SELECT person_id, score, headcount, list_distinct(list_filter([{O.KEY('company_domain')}, {O.KEY('company')}, 'c' || company_id % 41], lambda x: x IS NOT NULL)) AS keys FROM scored),
   last_contact AS (SELECT {O.KEY('name')} AS key, DATE '2024-02-01' + (company_id % 40)::INTEGER AS contacted FROM companies WHERE company_id % 3 = 0),
   recent AS (SELECT key FROM last_contact GROUP BY key HAVING DATE '{R.TODAY}' - max(contacted) < 14),
-  small AS (SELECT *, headcount <= 6 AND list_has_any(keys, (SELECT list(key) FROM recent)) AS win FROM ks WHERE headcount <= 6),
+  small AS (SELECT *, coalesce(list_has_any(keys, (SELECT list(key) FROM recent)), false) AS win FROM ks WHERE headcount <= 6),
   turn AS (SELECT person_id, keys, row_number() OVER (ORDER BY score DESC, person_id) AS rn FROM small WHERE NOT win)"""
 _LOOP = """loop(i, used, person_id, kept) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::BIGINT, false UNION ALL
   SELECT rn, CASE WHEN list_has_any(used, keys) THEN used ELSE list_concat(used, keys) END, turn.person_id, NOT list_has_any(used, keys) FROM loop JOIN turn ON rn = i + 1)"""
