@@ -90,6 +90,8 @@ TITLE_TIERS = {
 # ---- fixed values: sending --------------------------------------------------
 RAMP = ((5, 8), (10, 12), (15, 15), (None, 18))
 DAILY_MAX, WEEKLY_MAX = 20, 90
+MESSAGE_RAMP = ((5, 8), (10, 12), (None, 20))
+MESSAGE_DAILY_MAX, MESSAGE_WEEKLY_MAX = 20, 100
 SAMPLE_SIZE = 100
 PENDING_DAYS = 21
 
@@ -142,3 +144,23 @@ MONEY = (
     r"\$|(^|[^a-z0-9_])(price|pricing|priced|fee|fees|retainer|commission|monthly fee|per month|/month|cost|costs|free setup|no monthly|charge|charges|"
     r"dollar|dollars|usd|invoice|subscription)([^a-z0-9_]|$)"
 )
+
+# ---- fixed values: pages that name people, in order of preference, and lines of consent banners
+PEOPLE_PAGES = (
+    "leadership", "management", "team", "ourteam", "our-team", "about", "aboutus",
+    "about-us", "people", "staff", "attorneys", "lawyers", "doctors", "physicians",
+    "providers", "owners", "founders", "contact", "contactus", "contact-us",
+)
+BANNER = (
+    r"cookie|consent|consentimiento|consenso|consentement|einwilligung|"
+    r"pol[íi]tica de (cookies|privacidad)|privacy policy|informativa|"
+    r"politique de confidentialit|datenschutz|"
+    r"configuraci[óo]n|aceptar|rechazar|accept all|reject all|accetta|rifiuta|"
+    r"accepter|refuser|akzeptieren|ablehnen|"
+    r"utilizamos|utilizziamo|nous utilisons|wir verwenden|we use cookies|"
+    r"navegaci[óo]n|manage preferences|gestionar preferencias|configurar|"
+    r"recordar determinadas|preferencias del usuario|"
+    r"t[ée]cnicas esenciales|anal[íi]ticas|publicitarias|personalizaci[óo]n necesari"
+)
+#: Parts of a page that show no text.
+HIDDEN_TAGS = ("script", "style", "head", "noscript", "svg")

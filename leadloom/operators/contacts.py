@@ -9,14 +9,25 @@ from leadloom.functions import constants as K
 from leadloom.functions.exprs import deobfuscate, on_domain, root_domain
 
 
-def page_emails(html: Column) -> Column:
-    """Distinct lower-case addresses in a page: written ones, disguised ones, and mailto targets."""
+def _tidy(email: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(email), "^(%20)+", ""), r"^\.+", "")
+
+
+def written_emails(html: Column) -> Column:
+    """Addresses in a page's text, plain or disguised, by place; repeats stay."""
     clean = F.replace(F.regexp_replace(deobfuscate(html), "%[0-9A-Fa-f]{2}", " "), F.lit("\u00a0"), F.lit(" "))
-    written = F.regexp_extract_all(clean, F.lit(K.EMAIL), F.lit(0))
+    return F.transform(F.regexp_extract_all(clean, F.lit(K.EMAIL), F.lit(0)), _tidy)
+
+
+def linked_emails(html: Column) -> Column:
+    """Targets of a page's mailto links, by place; repeats stay."""
     target = lambda x: F.regexp_replace(F.regexp_replace(x, "%40", "@"), "%2[eE]", ".")
-    linked = F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?i)" + K.MAILTO), F.lit(1)), target), lambda x: x.contains("@"))
-    tidy = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), "^(%20)+", ""), r"^\.+", "")
-    return F.array_distinct(F.transform(F.concat(written, linked), tidy))
+    return F.transform(F.filter(F.transform(F.regexp_extract_all(html, F.lit("(?i)" + K.MAILTO), F.lit(1)), target), lambda x: x.contains("@")), _tidy)
+
+
+def page_emails(html: Column) -> Column:
+    """Distinct lower-case addresses in a page: written ones, disguised ones, and mailto targets."""
+    return F.array_distinct(F.concat(written_emails(html), linked_emails(html)))
 
 
 def harvest_emails(pages: DataFrame) -> DataFrame:
@@ -55,6 +66,26 @@ def bucket_contacts(emails: DataFrame, most: int = 12) -> DataFrame:
     return c.groupBy("domain", "bucket").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("email")), ",").alias("emails"))
 
 
+def bucket_contacts_first_seen(pages: DataFrame, most: int = 12, least: int = 200) -> DataFrame:
+    """(domain, bucket, rn, email): personal, role, offdomain and freemail lists of at most most each, as first seen.
+
+    Pages under least characters are left out; the others are read by slug, then page_id, all written addresses before
+    all mailto targets. A role counts before the host of an address, unlike in bucket_contacts; a local part of two
+    characters is enough.
+    """
+    named = lambda part: lambda x: F.struct(F.lit(part).alias("part"), x.alias("email"))
+    both = F.concat(F.transform(written_emails(F.col("html")), named(0)), F.transform(linked_emails(F.col("html")), named(1)))
+    e = pages.where(F.char_length("html") >= least).select("domain", "slug", "page_id", F.posexplode(both).alias("at", "x")).select("domain", "slug", "page_id", "at", "x.*")
+    e = e.groupBy("domain", "email").agg(F.min(F.struct("part", "slug", "page_id", "at")).alias("first"))
+    local, dom = F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+    junk = (F.size(F.split("email", "@")) != 2) | (F.char_length(local) < 2) | local.isin(*K.PLACEHOLDER_LOCALS)
+    for p in K.JUNK:
+        junk = junk | F.col("email").rlike(p)
+    bucket = F.when(local.isin(*K.ROLE_LOCALS), "role").when(dom.isin(*K.FREEMAIL), "freemail").when(root_domain(F.col("email")) != root_domain(F.col("domain")), "offdomain").otherwise("personal")
+    rn = F.row_number().over(Window.partitionBy("domain", "bucket").orderBy("first")).cast("long")
+    return e.where(~junk).withColumn("bucket", bucket).select("domain", "bucket", rn.alias("rn"), "email").where(F.col("rn") <= most)
+
+
 def harvest_phones(pages: DataFrame, most: int = 6) -> DataFrame:
     """(domain, rn, phone): wa.me targets, then tel: links, 9 to 15 digits, by page; at most most for a domain."""
     digits = lambda x: F.regexp_replace(x, "[^0-9]", "")

@@ -46,11 +46,11 @@ def campaign_days(daily: DataFrame) -> DataFrame:
     return daily.where("n > 0").withColumn("campaign_day", F.row_number().over(Window.orderBy("day")).cast("long"))
 
 
-def ramp_cap(day: Column) -> Column:
+def ramp_cap(day: Column, ramp=K.RAMP, most: int = K.DAILY_MAX) -> Column:
     out = F.lit(0)
-    for through, cap in reversed(K.RAMP):
+    for through, cap in reversed(ramp):
         hit = F.lit(True) if through is None else day <= through
-        out = F.when(hit, F.least(F.lit(cap), F.lit(K.DAILY_MAX))).otherwise(out)
+        out = F.when(hit, F.least(F.lit(cap), F.lit(most))).otherwise(out)
     return out.cast("long")
 
 
@@ -105,3 +105,56 @@ def heartbeat(events: DataFrame) -> DataFrame:
 def reconcile(sent: DataFrame, snapshot: DataFrame, people: DataFrame) -> DataFrame:
     """(profile, status) of sent profiles that the pending snapshot lacks: accepted where people (profile, degree) has degree 1, else expired."""
     return sent.join(snapshot.select("profile").distinct(), "profile", "left_anti").join(people, "profile", "left").select("profile", F.when(F.col("degree") == 1, "accepted").otherwise("expired").alias("status"))
+
+
+def outcomes(states: DataFrame, now: DataFrame, snapshot: DataFrame, people: DataFrame, minutes: int = 5, days: int = K.PENDING_DAYS) -> DataFrame:
+    """(profile, status, since) of states as they stand at now (one row: now).
+
+    Attempts of minutes or older are unknown. A sent one that snapshot (profile) still lists is withdrawn once it is
+    older than days; one that it lacks is accepted if people (profile, degree) say degree 1, else expired.
+    """
+    s = states.join(F.broadcast(now))  # one row
+    s = s.join(snapshot.select("profile").distinct().withColumn("listed", F.lit(True)), "profile", "left").join(people.select("profile", "degree"), "profile", "left")
+    age = lambda unit, n: F.col("now") - F.expr(f"INTERVAL {n} {unit}")
+    status = F.when((F.col("status") == "attempting") & (F.col("since") <= age("MINUTES", minutes)), "unknown")
+    sent = F.when(F.col("listed"), F.when(F.col("since") < age("DAYS", days), "withdrawn").otherwise("sent")).when(F.col("degree") == 1, "accepted").otherwise("expired")
+    return s.select("profile", status.when(F.col("status") == "sent", sent).otherwise(F.col("status")).alias("status"), "since")
+
+
+def sender_days(events: DataFrame, status: str = "sent") -> DataFrame:
+    """(address, day, n, week, campaign_day) for each sender and day with events of status: its sends, those of it and the
+    six dates before, and how many such days there were, this one included."""
+    d = events.where(F.col("status") == status).groupBy("address", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("address").orderBy(F.unix_date("day"))
+    return d.withColumns({"week": F.sum("n").over(w.rangeBetween(-6, 0)), "campaign_day": F.row_number().over(w).cast("long")})
+
+
+def message_room(today: Column, week: Column, cap: Column) -> Column:
+    """Messages left today: by the day's cap and by the week's, which have no part in the invites' limits."""
+    return F.greatest(F.lit(0).cast("long"), F.least(cap - today, K.MESSAGE_WEEKLY_MAX - week))
+
+
+def sender_facts(events: DataFrame, hours: int = 48) -> DataFrame:
+    """A row for each sender and day with events: sent, breaker (a failure that day), cooldown (a failure of an earlier
+    day, hours or less before the day began), backlog (attempts so far less sends), queue_date (last day with attempts),
+    queued (attempts of the day that are no dry runs)."""
+    count = lambda c: F.count_if(c)
+    d = events.groupBy("address", F.to_date("ts").alias("day")).agg(
+        count(F.col("status") == "sent").alias("sent"), F.max(F.when(F.col("status") == "failed", F.col("ts"))).alias("failure"),
+        count(F.col("status") == "attempting").alias("attempts"), count((F.col("status") == "attempting") & ~F.col("dry_run")).alias("queued"),
+    )
+    w = Window.partitionBy("address").orderBy("day")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    cooling = F.max("failure").over(before) + F.expr(f"INTERVAL {hours} HOURS") > F.col("day").cast("timestamp")
+    return d.select(
+        "address", "day", "sent", F.col("failure").isNotNull().alias("breaker"), F.coalesce(cooling, F.lit(False)).alias("cooldown"),
+        F.greatest(F.lit(0), F.sum(F.col("attempts") - F.col("sent")).over(so_far)).alias("backlog"), F.max(F.when(F.col("attempts") > 0, F.col("day"))).over(so_far).alias("queue_date"), "queued",
+    )
+
+
+def heartbeat_rules(facts: DataFrame) -> DataFrame:
+    """facts with verdict, the first rule that holds, and ok. Sundays and Saturdays are no send days; no supply is no fault."""
+    fine = (("not a send day", F.dayofweek("day").isin(1, 7)), ("cooldown", F.col("cooldown")), ("sent", F.col("sent") > 0), ("no supply", F.col("backlog") == 0), ("breaker", F.col("breaker")))
+    bad = (("no queue", F.col("queue_date").isNull()), ("stale queue", F.col("queue_date") != F.col("day")), ("empty queue", F.col("queued") == 0))
+    verdict = F.coalesce(*[F.when(test, name) for name, test in fine + bad], F.lit("silent failure"))
+    return facts.withColumn("verdict", verdict).withColumn("ok", F.col("verdict").isin(*[name for name, _ in fine]))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leadloom.functions import constants as K
 from leadloom.functions.exprs import visible_text
 
 NAME = r"(?:^|[^A-Za-z])([A-Z][a-z]+) [A-Z][a-z]+"
@@ -39,6 +40,34 @@ def page_digest(pages: DataFrame, most_pages: int = 3, per_page: int = 1200, lea
     return p.withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy("page_id")).cast("long")).where(F.col("rn") <= most_pages)
 
 
+def page_lines(html: Column) -> Column:
+    """The lines of a page's text: tags end a line, hidden parts go, common entities are decoded, blanks are single."""
+    for tag in K.HIDDEN_TAGS:
+        html = F.regexp_replace(html, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    t = F.regexp_replace(html, "<[^>]+>", "\n")
+    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), ("\u00a0", " ")):
+        t = F.replace(t, F.lit(code), F.lit(char))
+    return F.transform(F.split(F.regexp_replace(t, r"[ \t\r\f\x0B]+", " "), "\n"), lambda x: F.trim(x))
+
+
+def people_digest(pages: DataFrame, most_pages: int = 3, per_page: int = 1200, total: int = 3600, least: int = 80) -> DataFrame:
+    """(domain, rn, page_id, slug, text): text of a site's pages that name people, in the order of PEOPLE_PAGES.
+
+    Lines under three characters, consent banners and lines of an earlier page go; a page that then has under least
+    characters goes, though its lines count as seen. Texts are cut to per_page, and to total over the site.
+    """
+    place = F.coalesce(*[F.when(F.lower("slug").startswith(k), i) for i, k in enumerate(K.PEOPLE_PAGES)])
+    lines = pages.withColumn("place", place).where("place is not null").select("domain", "place", "page_id", "slug", F.posexplode(page_lines(F.col("html"))).alias("at", "line"))
+    lines = lines.where((F.char_length("line") >= 3) & ~F.col("line").rlike("(?iu)" + K.BANNER))
+    seen = F.row_number().over(Window.partitionBy("domain", F.lower("line")).orderBy("place", "page_id", "at"))
+    whole = lines.withColumn("k", seen).where("k = 1").groupBy("domain", "place", "page_id", "slug").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("ls"))
+    p = whole.withColumn("text", F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).where(F.char_length("text") >= least)
+    order = Window.partitionBy("domain").orderBy("place", "page_id")
+    used = F.coalesce(F.sum(F.least(F.char_length("text"), F.lit(per_page))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    p = p.withColumns({"rn": F.row_number().over(order).cast("long"), "used": used}).where((F.col("rn") <= most_pages) & (F.col("used") < total))
+    return p.select("domain", "rn", "page_id", "slug", F.left("text", F.least(F.lit(per_page), F.lit(total) - F.col("used")).cast("int")).alias("text"))
+
+
 def repeat_failures(failures: DataFrame) -> DataFrame:
     """(run, failed, repeated): domains that fail in a run, and how many of them failed in an earlier one. failures: run, domain."""
     f = failures.select("run", "domain").distinct()

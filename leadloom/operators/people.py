@@ -192,3 +192,26 @@ def found_profiles(found: DataFrame, companies: DataFrame) -> DataFrame:
     f = f.join(firsts, F.col("url") == F.col("f_url"), "left")
     repeat = F.coalesce(F.col("row_id") > F.col("first_row"), F.lit(False)) & F.coalesce("found", F.lit(False))
     return f.select("row_id", "url", "company_id", F.when(repeat, "repeat").otherwise(F.col("bad")).alias("reason"))
+
+
+def select_messages(leads: DataFrame, states: DataFrame, suppressed: DataFrame, cap: int, most: int = 1000) -> DataFrame:
+    """(lead_id, profile, verdict, via, rn) of leads (lead_id, url, score, open_profile, message).
+
+    verdict is the first rule that rejects, or null; a profile's leads behind its first good one (by lead_id) are
+    duplicates. states (profile, accepted, messaged, closed) and suppressed (profile) have canonical URLs, a row for each.
+    Good leads go by score, then lead_id: rn is set for the first cap of them, and the others are over cap.
+    """
+    x = leads.withColumn("profile", profile_url(F.col("url"))).join(states, "profile", "left").join(suppressed.select("profile", F.lit(True).alias("barred")), "profile", "left")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    text = F.trim(F.coalesce("message", F.lit("")))
+    rules = (("no profile", F.col("profile").isNull()), ("suppressed", yes("barred")), ("already messaged", yes("messaged")), ("not messageable", yes("closed")),
+             ("no consent", ~yes("accepted") & ~yes("open_profile")), ("empty message", text == ""), ("long message", F.char_length(text) > most))
+    x = x.withColumn("verdict", F.coalesce(*[F.when(test, name) for name, test in rules]))
+    first = F.min(F.when(F.col("verdict").isNull(), F.col("lead_id"))).over(Window.partitionBy(F.coalesce("profile", F.col("lead_id").cast("string"))))
+    x = x.withColumn("verdict", F.when(F.col("profile").isNotNull() & (F.col("lead_id") > first), "duplicate").otherwise(F.col("verdict")))
+    x = x.select("lead_id", "profile", "score", "verdict", F.when(yes("accepted"), "accepted").when(yes("open_profile"), "open profile").alias("via"))
+    top = x.where("verdict is null").orderBy(F.desc("score"), "lead_id").limit(cap)
+    top = top.select("lead_id", F.row_number().over(Window.orderBy(F.desc("score"), "lead_id")).cast("long").alias("rn"))  # cap rows
+    x = x.join(F.broadcast(top), "lead_id", "left")
+    verdict = F.coalesce("verdict", F.when(F.col("rn").isNull(), "over cap"))
+    return x.select("lead_id", "profile", verdict.alias("verdict"), F.when(verdict.isNull(), F.col("via")).alias("via"), "rn")

@@ -34,3 +34,26 @@ def page_yield(candidates: DataFrame, sites: DataFrame) -> DataFrame:
 def target_shortfall(qualified_share: DataFrame, target: int) -> DataFrame:
     """(needed, shortfall) for a target of good leads. qualified_share: one row of n_in and n_kept."""
     return qualified_share.select("n_in", "n_kept", F.ceil(F.lit(target) * F.col("n_in") / F.col("n_kept")).cast("long").alias("needed")).withColumn("short", F.col("n_in") < F.col("needed"))
+
+
+def funnel_by_run(flags: DataFrame, stages: list[str]) -> DataFrame:
+    """(run, step, stage, n, ratio): rows of flags (run, and a boolean for each stage) that are in a stage, and over the stage before."""
+    n = flags.groupBy("run").agg(*[F.count_if(F.col(c)).alias(c) for c in stages])
+    steps = F.array(*[F.struct(F.lit(i).cast("long").alias("step"), F.lit(c).alias("stage"), F.col(c).alias("n")) for i, c in enumerate(stages)])
+    long = n.select("run", F.inline(steps))
+    before = F.lag("n").over(Window.partitionBy("run").orderBy("step"))
+    return long.withColumn("ratio", F.round(F.col("n") / F.nullif(before, F.lit(0)), 4))
+
+
+def target_plan(counts: DataFrame, target: int, survival: float, quota: int) -> DataFrame:
+    """(n_kept, needed, candidates, short): good leads that a target of sends needs, three candidates for each of them
+    (quota at least), and whether n_kept of counts is too few."""
+    needed = F.ceil(F.lit(target) / F.lit(survival)).cast("long")
+    return counts.select("n_kept", needed.alias("needed"), F.greatest(F.lit(quota).cast("long"), 3 * needed).alias("candidates"), (F.col("n_kept") < needed).alias("short"))
+
+
+def score_survival(scored: DataFrame) -> DataFrame:
+    """(n, survived, correlation) of traffic_score and whether a lead was kept (drop_reason is null)."""
+    kept = F.col("drop_reason").isNull().cast("double")
+    c = F.round(F.corr(F.col("traffic_score").cast("double"), kept), 4)
+    return scored.agg(F.count("*").alias("n"), F.sum(kept).cast("long").alias("survived"), c.alias("correlation"))

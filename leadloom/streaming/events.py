@@ -53,12 +53,35 @@ def append_once_sink(ledger_path: str, key: str) -> Callable[[DataFrame, int], N
     return write
 
 
-STAGE = {"attempting": 0, "failed": 0, "sent": 1, "dm_sent": 2, "accepted": 3}
+def late_rows_sink(seen_path: str, late_path: str, ts: str = "ts", late: str = "1 day") -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that writes to late_path the rows that lie more than late before the newest row of earlier batches.
 
+    Each batch's newest time is kept in seen_path. Both folders have a part for each batch, which a batch that is run
+    again replaces, so nothing is written twice. Rows without a time are not late.
+    """
 
-def lifecycle(events: DataFrame, expire_minutes: int = 5) -> DataFrame:
-    """(profile, status, since) updates: a state for each profile that no event moves back; an attempt that nothing
-    follows within expire_minutes becomes unknown by an event-time timeout."""
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = None
+        try:
+            newest = spark.read.schema("newest timestamp, batch long").parquet(seen_path).where(F.col("batch") < number).agg(F.max("newest")).first()[0]
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        batch.agg(F.max(ts).cast("timestamp").alias("newest")).write.mode("overwrite").parquet(f"{seen_path}/batch={number}")
+        if newest is not None:
+            rows = batch.where(F.col(ts) < F.lit(newest) - F.expr(f"INTERVAL {late}"))
+            rows.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+
+    return write
+
+
+STAGE = {"attempting": 0, "failed": 0, "sent": 1, "withdrawn": 1, "dm_sent": 2, "accepted": 3}
+
+
+def lifecycle(events: DataFrame, expire_minutes: int = 5, pending_days: int = 21) -> DataFrame:
+    """(profile, status, since) updates: a state for each profile that no event moves back. By event-time timeouts an
+    attempt that nothing follows within expire_minutes becomes unknown, and a sent one after pending_days withdrawn."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key, frames, state: GroupState):
@@ -66,16 +89,18 @@ def lifecycle(events: DataFrame, expire_minutes: int = 5) -> DataFrame:
 
         status, since = state.get if state.exists else (None, 0)
         if state.hasTimedOut:
-            state.update(("unknown", since))
-            yield pd.DataFrame({"profile": [key[0]], "status": ["unknown"], "since": [since]})
+            status = "withdrawn" if status == "sent" else "unknown"
+            state.update((status, since))
+            yield pd.DataFrame({"profile": [key[0]], "status": [status], "since": [since]})
             return
         rows = sorted((int(t), s) for f in frames for t, s in zip(f["micros"], f["status"]))
         for t, s in rows:
             if status is None or status == "unknown" or STAGE.get(s, 0) > STAGE.get(status, 0):
                 status, since = s, t
         state.update((status, since))
-        if status == "attempting":
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, since // 1000 + expire_minutes * 60_000))
+        wait = {"attempting": expire_minutes * 60_000, "sent": pending_days * 86_400_000}.get(status)
+        if wait:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, since // 1000 + wait))
         yield pd.DataFrame({"profile": [key[0]], "status": [status], "since": [since]})
 
     e = events.withWatermark("ts", "1 minute").withColumn("micros", F.unix_micros("ts"))

@@ -54,3 +54,22 @@ def test_lifecycle_never_moves_back(spark, tmp_path):
     last = run(S.lifecycle(src), "life", "update", tmp_path, spark).groupBy("profile").agg(F.max(F.when(F.col("status") == "accepted", 1).otherwise(0)).alias("a")).collect()
     e = table(spark, SF, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("a")).collect()
     assert {(r.profile, r.a) for r in last} == {(r.user_id, r.a) for r in e}
+
+
+def test_late_rows_are_set_aside(spark, tmp_path):
+    rows = lambda *ts: spark.createDataFrame([(t,) for t in ts], "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
+    sink = S.late_rows_sink(str(tmp_path / "seen"), str(tmp_path / "late"))
+    sink(rows("2024-01-10 00:00:00", "2024-01-01 00:00:00"), 0)
+    for _ in range(2):
+        sink(rows("2024-01-09 00:00:00", "2024-01-08 23:59:59", None), 1)
+    sink(rows("2024-01-20 00:00:00"), 2)
+    assert [str(r.ts) for r in spark.read.schema("ts timestamp").parquet(str(tmp_path / "late")).collect()] == ["2024-01-08 23:59:59"]
+
+
+def test_sent_ones_are_withdrawn_after_their_days(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i, (day, who) in enumerate((("2024-01-01", 1), ("2024-03-01", 2), ("2024-04-01", 3))):
+        one = spark.createDataFrame([(i, day, who, "sent", 0.0, "")], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        one.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = run(S.lifecycle(S.read_events(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)), "waiting", "update", tmp_path, spark)
+    assert {(r.profile, r.status) for r in got.collect()} >= {(1, "sent"), (1, "withdrawn"), (2, "sent"), (2, "withdrawn"), (3, "sent")}
