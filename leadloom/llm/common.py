@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,6 +49,11 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_field(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of df with one more column."""
+    return StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))])
+
+
 def doc_crc(col: str = "doc_id") -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary"))
 
