@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame
 from .common import unused, with_field
 
 #: Chunks, and pairs of pieces, that a Python worker remembers; beyond, it forgets all and starts anew.
-CACHE_CHUNKS, CACHE_PAIRS = 600_000, 400_000
+CACHE_CHUNKS, CACHE_PAIRS = 600_000, 800_000
 #: Positions whose matches are found in one scan of the automaton, and such scans held for one text.
 SCAN, SCANS = 1024, 8
 #: Rows whose ids are built before they leave the worker.
 ROWS = 256
-_SPACE, _LATIN = "▁", "A-Za-zÀ-ɏ"
+_SPACE, _LATIN, _NONE = "▁", "A-Za-zÀ-ɏ", float("-inf")
 
 
 def default_pieces() -> str:
@@ -25,16 +25,16 @@ def default_pieces() -> str:
 
 def merged(symbols: str, score: dict[str, float]) -> list[str]:
     """The pieces of a short string by definition: neighbours whose union has the best score are merged, leftmost first."""
-    parts = list(symbols)
-    while len(parts) > 1:
-        best, at = None, -1
-        for i, (a, b) in enumerate(zip(parts, parts[1:])):
-            s = score.get(a + b)
-            if s is not None and (best is None or s > best):
-                best, at = s, i
-        if best is None:
-            break
+    parts, get = list(symbols), score.get
+    scores = [get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+    while scores and (best := max(scores)) != _NONE:
+        at = scores.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del scores[at]
+        if at:
+            scores[at - 1] = get(parts[at - 1] + parts[at], _NONE)
+        if at < len(scores):
+            scores[at] = get(parts[at] + parts[at + 1], _NONE)
     return parts
 
 
@@ -83,8 +83,10 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         reached = [s for s in self.ids if len(s) == 1 or merged(s, self.score) == [s]]
         for s in reached:
-            self.automaton.add_word(s, len(s))
+            self.automaton.add_word(s, self.ids[s])
         self.automaton.make_automaton()
+        # a character that is no piece goes as a piece of its own, numbered behind the others
+        self.sizes, self.n = [len(p.id_to_piece(i)) for i in range(p.get_piece_size())], p.get_piece_size()
         self.longest = max(map(len, reached))
         # merges never cross a place where no piece has such two characters beside each other: before a space mark if none
         # goes on to it from another character, and between Latin letters and others if none has both
@@ -97,7 +99,7 @@ class PieceModel:
         self.by_bytes = all(map(p.is_byte, self.bytes))
         self.unknown, self.end = p.unk_id(), p.eos_id().to_bytes(4, "little")
         self.known = Chunks(self._chunk)
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     @classmethod
     def of(cls, path: str) -> PieceModel:
@@ -105,29 +107,37 @@ class PieceModel:
             cls.made[path] = cls(path)
         return cls.made[path]
 
-    def compatible(self, a: str, b: str) -> bool:
+    def string(self, piece: int) -> str:
+        return self.library.id_to_piece(piece) if piece < self.n else chr(piece - self.n)
+
+    def compatible(self, a: int, b: int, key: int) -> bool:
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        found = self.pairs[a, b] = merged(a + b, self.score) == [a, b]
+        one, two = self.string(a), self.string(b)
+        found = self.pairs[key] = merged(one + two, self.score) == [one, two]
         return found
 
     def _scan(self, text: str, first: int) -> list[list[int]]:
-        """The ends of the pieces that begin at each of SCAN positions from first, nearest first."""
-        n = min(SCAN, len(text) - first)
+        """The pieces that begin at each of SCAN positions from first, shortest first."""
+        n, sizes = min(SCAN, len(text) - first), self.sizes
         found: list[list[int]] = [[] for _ in range(n)]
-        for last, size in self.automaton.iter(text, first, min(first + n + self.longest, len(text))):
-            at = last + 1 - size - first
-            if at < n:
-                found[at].append(last + 1)
+        if n == len(text):
+            for last, piece in self.automaton.iter(text):
+                found[last + 1 - sizes[piece]].append(piece)
+        else:
+            for last, piece in self.automaton.iter(text, first, min(first + n + self.longest, len(text))):
+                at = last + 1 - sizes[piece] - first
+                if at < n:
+                    found[at].append(piece)
         return found
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a chunk; a character that is no piece stands for itself."""
-        size, pairs = len(text), self.pairs
+    def split(self, text: str) -> list[int]:
+        """The pieces of a chunk."""
+        size, sizes, n, pairs = len(text), self.sizes, self.n, self.pairs
         scans = {0: self._scan(text, 0)}
         near = scans[0]
 
-        def ends(at: int) -> list[int]:
+        def far(at: int) -> list[int]:
             k = at // SCAN
             if k not in scans:
                 if len(scans) >= SCANS:
@@ -136,50 +146,56 @@ class PieceModel:
             return scans[k][at - k * SCAN]
 
         failed = bytearray(size // 8 + 1)
-        pieces: list[str] = []
-        # for each piece, which of the ends at its place it has
+        tried_again = False
+        pieces: list[int] = []
+        # for each piece, which of those that begin at its place it is
         choices: list[int] = []
-        at, choice, before = 0, None, None
+        at, choice, before = 0, -1, -1
         while at < size:
-            some = near[at] if at < SCAN else ends(at)
-            some = some or [at + 1]
-            choice = len(some) - 1 if choice is None else choice
-            while choice >= 0:
-                end = some[choice]
-                piece = text[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1:
-                    if before is None:
-                        break
-                    good = pairs.get((before, piece))
-                    if self.compatible(before, piece) if good is None else good:
-                        break
+            some = (near[at] if at < SCAN else far(at)) or [n + ord(text[at])]
+            if choice == -1:
+                choice = len(some)
+            while choice:
+                piece = some[choice - 1]
+                if tried_again:
+                    end = at + (sizes[piece] if piece < n else 1)
+                    if failed[end >> 3] >> (end & 7) & 1:
+                        choice -= 1
+                        continue
+                if before < 0:
+                    break
+                key = before << 21 | piece
+                good = pairs.get(key)
+                if self.compatible(before, piece, key) if good is None else good:
+                    break
                 choice -= 1
-            if choice >= 0:
+            if choice:
                 pieces.append(piece)
                 choices.append(choice)
-                at, choice, before = end, None, piece
+                at += sizes[piece] if piece < n else 1
+                choice, before = -1, piece
             elif pieces:
                 failed[at >> 3] |= 1 << (at & 7)
-                at -= len(pieces.pop())
+                tried_again = True
+                piece = pieces.pop()
+                at -= sizes[piece] if piece < n else 1
                 choice = choices.pop() - 1
-                before = pieces[-1] if pieces else None
+                before = pieces[-1] if pieces else -1
             else:
                 raise AssertionError("no sequence of compatible pieces")
         return pieces
 
     def _chunk(self, chunk: str) -> bytes:
-        pieces = self.split(chunk)
-        ids = [self.ids.get(s, -1) for s in pieces]
-        if -1 in ids:
-            out: list[int] = []
-            for i, s in zip(ids, pieces):
-                if i >= 0:
-                    out.append(i)
+        ids = self.split(chunk)
+        if max(ids) >= self.n:
+            pieces, ids = ids, []
+            for i in pieces:
+                if i < self.n:
+                    ids.append(i)
                 elif self.by_bytes:
-                    out.extend(self.bytes[b] for b in s.encode())
-                elif out[-1:] != [self.unknown]:  # neighbours that are unknown are one piece
-                    out.append(self.unknown)
-            ids = out
+                    ids.extend(self.bytes[b] for b in chr(i - self.n).encode())
+                elif ids[-1:] != [self.unknown]:  # neighbours that are unknown are one piece
+                    ids.append(self.unknown)
         return array("i", ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
