@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,35 +13,68 @@ LEAST_DOCS, TOP_TERMS = 3, 200
 FIRST_BYTES = 4
 #: Bits of the filter that names a level's surviving prefixes: fixed, so what tasks are handed does not grow with the data.
 FILTER_BITS = 1 << 24
-#: Counts that a task holds before it hands them on, in entries.
-TASK_COUNTS = 400_000
+#: Documents, and characters beyond the first document, of a block that is parsed at once.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 6_000_000
+#: Counts that a task holds before it adds them up and hands them on, and prefixes it remembers.
+TASK_COUNTS = 500_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between terms.
+NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _block(langs: list, sources: list, texts):
+    """One row of _document_terms: the terms of some documents, each a number, and how often each document has which."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    split = pc.split_pattern_regex(pc.ascii_lower(texts), pattern=NO_TERM)
+    ends = split.offsets.to_numpy()
+    coded = split.flatten().dictionary_encode()
+    terms = coded.dictionary
+    sizes = pc.binary_length(terms).to_numpy()
+    doc = np.repeat(np.arange(len(texts)), np.diff(ends))
+    key, n = np.unique(doc.astype(np.int64) * max(len(terms), 1) + coded.indices.to_numpy(), return_counts=True)
+    doc, term = np.divmod(key, max(len(terms), 1))
+    there = sizes[term] > 0 if len(term) else np.zeros(0, bool)
+    groups: dict = {}
+    of = [groups.setdefault(g, len(groups)) for g in zip(langs, sources)]
+    return [g[0] for g in groups], [g[1] for g in groups], of, terms, doc[there], term[there], n[there], int(sizes.max(initial=0))
 
 
 def _document_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms, counts) of each row: its distinct terms and how often they occur; nulls read as empty."""
+    """Blocks of documents with their terms, split and numbered by Arrow; nulls read as empty.
 
-    def run(batches):
-        from collections import Counter
+    (langs, sources: of the block's groups, group: of each document, terms, and for each document and term of it: doc, term, n;
+    longest: bytes of the longest term). A block has whole documents, up to BLOCK_ROWS or BLOCK_CHARS.
+    """
+    names = ("langs", "sources", "group", "terms", "doc", "term", "n", "longest")
 
+    def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        find = re.compile(TERM).findall
-        lower = {c: c + 32 for c in range(65, 91)}
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                some = b.slice(k, 512)
-                found = [Counter(find(t.translate(lower))) for t in some.column(2).to_pylist()]
-                yield pa.record_batch(
-                    [some.column(0), some.column(1), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))],
-                    names=["lang", "source", "terms", "counts"],
-                )
+            sizes = pc.utf8_length(b.column(2)).to_numpy()
+            start, chars = 0, 0
+            for i in range(b.num_rows + 1):
+                if i == b.num_rows or i - start == BLOCK_ROWS or (i > start and chars + sizes[i] > BLOCK_CHARS):
+                    if i > start:
+                        some = b.slice(start, i - start)
+                        langs, sources, of, terms, doc, term, n, longest = _block(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2))
+                        lists = [one(langs, pa.string()), one(sources, pa.string()), one(of, pa.int32()), one(terms, pa.string())]
+                        lists += [one(x.astype(np.int32), pa.int32()) for x in (doc, term, n)]
+                        yield pa.record_batch([*lists, pa.array([longest], pa.int32())], names=names)
+                    start, chars = i, 0
+                if i < b.num_rows:
+                    chars += sizes[i]
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    return docs.select(*map(empty, ("lang", "source", "text"))).mapInArrow(run, "lang string, source string, terms array<string>, counts array<long>")
+    kinds = ("array<string>",) * 2 + ("array<int>", "array<string>") + ("array<int>",) * 3 + ("int",)
+    return docs.select(*map(empty, ("lang", "source", "text"))).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
 
 
 def _key(lang: str, prefix: bytes) -> bytes:
@@ -53,70 +84,77 @@ def _key(lang: str, prefix: bytes) -> bytes:
 def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> DataFrame:
     """(lang, source, term, n_docs, n) of one level: whole terms of before + 1 to size bytes, and prefixes of longer ones (source, n null).
 
-    Only terms go on whose prefix of before bytes may be alive. A document is one row, so a task counts it once for
-    each of its prefixes, and counts of tasks are added up.
+    Only terms go on whose prefix of before bytes may be alive. A document is whole in one block, so a task counts it once for
+    each of its prefixes, and counts of blocks are added up, first in the task.
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
         import xxhash
 
-        whole: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        prefixes: dict[str, dict[bytes, int]] = {}
-        known: dict[str, dict[bytes, bool]] = {}
-        held = 0
+        known: dict[tuple[str, bytes], bool] = {}
+        held: list = []
 
         def lives(lang: str, prefix: bytes) -> bool:
-            h = xxhash.xxh64_intdigest(_key(lang, prefix), 42)
-            a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
-            return bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
+            found = known.get((lang, prefix))
+            if found is None:
+                if len(known) >= TASK_COUNTS:
+                    known.clear()
+                h = xxhash.xxh64_intdigest(_key(lang, prefix), 42)
+                a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
+                found = known[lang, prefix] = bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
+            return found
+
+        def counted(langs, sources, terms, n_docs, n):
+            return pa.table([langs, sources, terms, pa.array(n_docs, pa.int64()), n], names=["lang", "source", "term", "n_docs", "n"])
 
         def handed_on():
-            rows = [(lang, source, term, *n) for (lang, source), terms in whole.items() for term, n in terms.items()]
-            rows += [(lang, None, prefix, n, None) for lang, some in prefixes.items() for prefix, n in some.items()]
-            whole.clear(), prefixes.clear()
-            types = pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 5, types)], names=["lang", "source", "term", "n_docs", "n"])
+            t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n_docs", "sum"), ("n", "sum")])
+            held.clear()
+            return t.select(["lang", "source", "term", "n_docs_sum", "n_sum"]).rename_columns(["lang", "source", "term", "n_docs", "n"]).to_batches()
 
         for b in batches:
-            for lang, source, terms, counts in zip(*(c.to_pylist() for c in b.columns)):
-                found, some, ok = whole.setdefault((lang, source), {}), prefixes.setdefault(lang, {}), known.setdefault(lang, {})
-                mine = set()
-                for term, n in zip(terms, counts):
-                    term = term.encode()
-                    length = len(term)
-                    if length <= before:
-                        continue
-                    if before:
-                        prefix = term[:before]
-                        go = ok.get(prefix)
-                        if go is None:
-                            go = ok[prefix] = lives(lang, prefix)
-                        if not go:
-                            continue
-                    if length > size:
-                        mine.add(term[:size])
-                    elif term in found:
-                        c = found[term]
-                        c[0] += 1
-                        c[1] += n
-                    else:
-                        found[term] = [1, n]
-                        held += 1
-                for prefix in mine:
-                    some[prefix] = some.get(prefix, 0) + 1
-                held += len(mine)
-                if held > TASK_COUNTS:
-                    # what was added may be less, as prefixes repeat
-                    held = sum(map(len, whole.values())) + sum(map(len, prefixes.values()))
-                    if held > TASK_COUNTS:
-                        yield handed_on()
-                        held = 0
-                if len(ok) > TASK_COUNTS:
-                    ok.clear()
-        yield handed_on()
-
-    found = parsed.where(F.col("longest") > before).select("lang", "source", "terms", "counts").mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
+            for i in range(b.num_rows):
+                langs, sources, of, terms, doc, term, n = (b.column(c)[i].values for c in range(7))
+                raw, of, doc, term, n = terms.cast(pa.binary()), *(x.to_numpy() for x in (of, doc, term, n))
+                sizes = pc.binary_length(raw).to_numpy()
+                languages = list(dict.fromkeys(langs.to_pylist()))
+                lang_of = np.array([languages.index(x) for x in langs.to_pylist()], np.int64)[of]
+                go = sizes[term] > before
+                doc, term, n = doc[go], term[go], n[go]
+                if before and len(term):
+                    part = pc.binary_slice(raw, 0, before).dictionary_encode()
+                    prefixes, which = part.dictionary.to_pylist(), part.indices.to_numpy()
+                    key = lang_of[doc] * len(prefixes) + which[term]
+                    there = np.zeros(len(languages) * len(prefixes), bool)
+                    there[key] = True
+                    good = np.zeros(len(there), bool)
+                    for k in np.flatnonzero(there).tolist():
+                        good[k] = lives(languages[k // len(prefixes)], prefixes[k % len(prefixes)])
+                    go = good[key]
+                    doc, term, n = doc[go], term[go], n[go]
+                whole = sizes[term] <= size
+                key, at = np.unique(of[doc[whole]].astype(np.int64) * len(terms) + term[whole], return_inverse=True)
+                if len(key):
+                    g, t = np.divmod(key, len(terms))
+                    total = np.bincount(at, n[whole]).astype(np.int64)
+                    held.append(counted(langs.take(pa.array(g)), sources.take(pa.array(g)), raw.take(pa.array(t)), np.bincount(at), pa.array(total)))
+                if not whole.all():
+                    part = pc.binary_slice(raw, 0, size).dictionary_encode()
+                    many = len(part.dictionary)
+                    pair = np.unique(doc[~whole].astype(np.int64) * many + part.indices.to_numpy()[term[~whole]])
+                    key, docs = np.unique(lang_of[pair // many] * many + pair % many, return_counts=True)
+                    g, t = np.divmod(key, many)
+                    held.append(counted(pa.array(languages).take(pa.array(g)), pa.nulls(len(g), pa.string()), part.dictionary.take(pa.array(t)), docs, pa.nulls(len(g), pa.int64())))
+                if sum(t.num_rows for t in held) > TASK_COUNTS:
+                    yield from handed_on()
+        if held:
+            yield from handed_on()
+
+    names = ("langs", "sources", "group", "terms", "doc", "term", "n")
+    found = parsed.where(F.col("longest") > before).select(*names).mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
     return found.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
 
 
@@ -140,7 +178,7 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     the level of their length. The survivors go to the tasks as a Bloom filter of fixed size; a prefix it names in error
     is counted at the next level and falls there, so no result depends on it.
     """
-    parsed = stored(_document_terms(docs).withColumn("longest", F.coalesce(F.array_max(F.transform("terms", F.octet_length)), F.lit(0))), "divergence-terms")
+    parsed = stored(_document_terms(docs), "divergence-terms")
     levels, size, before, alive = [], FIRST_BYTES, 0, None
     while True:
         level = stored(_level(parsed, size, before, alive), "divergence-level")
@@ -153,7 +191,7 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     for level in levels[1:]:
         whole = whole.unionByName(level)
     kept = whole.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n_lang")).where(F.col("n_docs") >= least).drop("n_docs")
-    return whole.drop("n_docs").join(kept, ["lang", "term"]), parsed.select("lang", "source").distinct()
+    return whole.drop("n_docs").join(kept, ["lang", "term"]), parsed.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
 
 
 def _share(n, total) -> F.Column:
