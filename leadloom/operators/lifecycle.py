@@ -14,12 +14,17 @@ def local_date(ts: Column, zone: str) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, zone))
 
 
-def lifecycle_state(events: DataFrame) -> DataFrame:
-    """(profile, status, since, n_events): the furthest status a profile has reached, and when first; no event moves it back."""
+def furthest_events(events: DataFrame) -> DataFrame:
+    """(profile, status, ts, event_id, n_events): each profile's event of the furthest status, the first such; no event moves it back."""
     stage = F.coalesce(*[F.when(F.col("status") == s, n) for s, n in STAGE.items()])
     e = events.select("profile", "ts", "event_id", "status", stage.alias("stage"))
-    best = F.max(F.struct("stage", -F.unix_micros("ts"), -F.col("event_id"), "status", "ts"))
-    return e.groupBy("profile").agg(best.alias("b"), F.count("*").alias("n_events")).select("profile", F.col("b.status").alias("status"), F.col("b.ts").alias("since"), "n_events")
+    best = F.max(F.struct("stage", -F.unix_micros("ts"), -F.col("event_id"), "status", "ts", "event_id"))
+    return e.groupBy("profile").agg(best.alias("b"), F.count("*").alias("n_events")).select("profile", "b.status", "b.ts", "b.event_id", "n_events")
+
+
+def lifecycle_state(events: DataFrame) -> DataFrame:
+    """(profile, status, since, n_events): the furthest status a profile has reached, and when first."""
+    return furthest_events(events).select("profile", "status", F.col("ts").alias("since"), "n_events")
 
 
 def expire_attempts(events: DataFrame, now: Column, minutes: int = 5) -> DataFrame:

@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder of the session and read again; a temporary folder only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder of the session; a temporary folder only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leadloom-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
-    path = f"{base}/leadloom-ops/{tag}-{uuid.uuid4().hex}"
+    return f"{base}/leadloom-ops/{tag}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder of the session and read again."""
+    path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def greedy_keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import chain_queries, delivery_queries, page_queries, record_queries, site_queries
+from . import chain_queries, delivery_queries, page_queries, record_queries, site_queries, stream_queries
 
-QUERIES: dict = {**site_queries.QUERIES, **record_queries.QUERIES, **page_queries.QUERIES, **chain_queries.QUERIES, **delivery_queries.QUERIES}
-ORACLE_SQL: dict = {**site_queries.ORACLE_SQL, **record_queries.ORACLE_SQL, **page_queries.ORACLE_SQL, **chain_queries.ORACLE_SQL, **delivery_queries.ORACLE_SQL}
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
+for _part in (site_queries, record_queries, page_queries, chain_queries, delivery_queries, stream_queries):
+    QUERIES.update(_part.QUERIES)
+    ORACLE_SQL.update(_part.ORACLE_SQL)

@@ -29,9 +29,20 @@ def cooldown_sessions(events: DataFrame, gap: str = "48 hours", late: str = "1 d
     return e.select("profile", F.col("session_window.start").alias("starts"), F.col("session_window.end").alias("ends"), "trips")
 
 
-def first_in_watermark(events: DataFrame, late: str = "7 days") -> DataFrame:
-    """The first event of each profile and status within the watermark; older keys are forgotten."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["profile", "status"])
+def first_in_watermark(events: DataFrame, late: str = "7 days", keys: tuple[str, ...] = ("profile", "status")) -> DataFrame:
+    """The first event of each key to arrive; a key is forgotten once the watermark is late past it, so state stays bounded."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
+
+
+def sync_failures(events: DataFrame, ledger_path: str, checkpoint: str, late: str = "7 days"):
+    """A query that appends the first failure of each address to the ledger, and runs until what there is has been read.
+
+    Repeats within the watermark go by state and never reach the ledger join; those after it meet the ledger, which
+    never forgets. events: (event_id, ts, address, status).
+    """
+    first = first_in_watermark(events.where("status = 'failed' and address is not null"), late, ("address",))
+    sink = append_once_sink(ledger_path, "address")
+    return first.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def append_once_sink(ledger_path: str, key: str) -> Callable[[DataFrame, int], None]:
@@ -74,34 +85,3 @@ def late_rows_sink(seen_path: str, late_path: str, ts: str = "ts", late: str = "
             rows.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
 
     return write
-
-
-STAGE = {"attempting": 0, "failed": 0, "sent": 1, "withdrawn": 1, "dm_sent": 2, "accepted": 3}
-
-
-def lifecycle(events: DataFrame, expire_minutes: int = 5, pending_days: int = 21) -> DataFrame:
-    """(profile, status, since) updates: a state for each profile that no event moves back. By event-time timeouts an
-    attempt that nothing follows within expire_minutes becomes unknown, and a sent one after pending_days withdrawn."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, frames, state: GroupState):
-        import pandas as pd
-
-        status, since = state.get if state.exists else (None, 0)
-        if state.hasTimedOut:
-            status = "withdrawn" if status == "sent" else "unknown"
-            state.update((status, since))
-            yield pd.DataFrame({"profile": [key[0]], "status": [status], "since": [since]})
-            return
-        rows = sorted((int(t), s) for f in frames for t, s in zip(f["micros"], f["status"]))
-        for t, s in rows:
-            if status is None or status == "unknown" or STAGE.get(s, 0) > STAGE.get(status, 0):
-                status, since = s, t
-        state.update((status, since))
-        wait = {"attempting": expire_minutes * 60_000, "sent": pending_days * 86_400_000}.get(status)
-        if wait:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, since // 1000 + wait))
-        yield pd.DataFrame({"profile": [key[0]], "status": [status], "since": [since]})
-
-    e = events.withWatermark("ts", "1 minute").withColumn("micros", F.unix_micros("ts"))
-    return e.groupBy("profile").applyInPandasWithState(step, "profile long, status string, since long", "status string, since long", "update", GroupStateTimeout.EventTimeTimeout)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import shutil
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from leadloom.operators.lifecycle import first_failures
 from leadloom.sources.fixtures import table
 from leadloom.streaming import events as S
+from leadloom.streaming import states as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,14 +51,6 @@ def test_append_once_sink_is_idempotent(spark, tmp_path):
     assert led.count() == led.select("profile").distinct().count() == batch.select("profile").distinct().count()
 
 
-def test_lifecycle_never_moves_back(spark, tmp_path):
-    names = F.create_map(*[F.lit(x) for x in ("view", "attempting", "signup", "sent", "click", "accepted", "error", "failed", "purchase", "dm_sent")])
-    src = source(spark, tmp_path).withColumn("status", names[F.col("status")])
-    last = run(S.lifecycle(src), "life", "update", tmp_path, spark).groupBy("profile").agg(F.max(F.when(F.col("status") == "accepted", 1).otherwise(0)).alias("a")).collect()
-    e = table(spark, SF, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "click", 1).otherwise(0)).alias("a")).collect()
-    assert {(r.profile, r.a) for r in last} == {(r.user_id, r.a) for r in e}
-
-
 def test_late_rows_are_set_aside(spark, tmp_path):
     rows = lambda *ts: spark.createDataFrame([(t,) for t in ts], "ts string").select(F.col("ts").cast("timestamp").alias("ts"))
     sink = S.late_rows_sink(str(tmp_path / "seen"), str(tmp_path / "late"))
@@ -66,10 +61,74 @@ def test_late_rows_are_set_aside(spark, tmp_path):
     assert [str(r.ts) for r in spark.read.schema("ts timestamp").parquet(str(tmp_path / "late")).collect()] == ["2024-01-08 23:59:59"]
 
 
-def test_sent_ones_are_withdrawn_after_their_days(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for i, (day, who) in enumerate((("2024-01-01", 1), ("2024-03-01", 2), ("2024-04-01", 3))):
-        one = spark.createDataFrame([(i, day, who, "sent", 0.0, "")], "event_id long, ts string, user_id long, event_type string, value double, props string")
-        one.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = run(S.lifecycle(S.read_events(spark, str(tmp_path / "in"), maxFilesPerTrigger=1)), "waiting", "update", tmp_path, spark)
-    assert {(r.profile, r.status) for r in got.collect()} >= {(1, "sent"), (1, "withdrawn"), (2, "sent"), (2, "withdrawn"), (3, "sent")}
+FACTS = "ts string, profile long, status string, event_id long, listed boolean, degree int"
+
+
+class Feed:
+    """A folder of facts, a file for each call of add, and the query over it, run until all is read."""
+
+    def __init__(self, spark, path, ledger=None, **rules):
+        self.spark, self.path, self.ledger, self.rules = spark, str(path), ledger, rules
+        self.n = 0
+
+    def add(self, *rows):
+        full = [(*r, *(None,) * (6 - len(r))) for r in rows]
+        one = self.spark.createDataFrame(full, FACTS).withColumn("ts", F.col("ts").cast("timestamp"))
+        one.coalesce(1).write.mode("append").parquet(f"{self.path}/in")
+        return self
+
+    def run(self):
+        facts = self.spark.readStream.schema(FACTS.replace("ts string", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(f"{self.path}/in")
+        q = T.started(T.lifecycle_updates(facts, self.ledger, **self.rules), self.path, 2)
+        q.awaitTermination()
+        return {r.profile: (r.status, str(r.since)) for r in T.current(self.spark, self.path).collect()}
+
+    def updates(self):
+        return {(r.profile, r.status) for r in self.spark.read.schema(T.UPDATES).parquet(f"{self.path}/updates/*").collect()}
+
+
+def test_lifecycle_timers_restart_and_order(spark, tmp_path):
+    ledger = T.ledger_facts(None, spark.createDataFrame([(1,), (4,)], "profile long"), spark.createDataFrame([(2, 1), (5, None)], "profile long, degree int"))
+    feed = Feed(spark, tmp_path, ledger, late="1 day")
+    feed.add(("2024-01-01 10:00:00", 1, "attempting", 1), ("2024-01-01 10:00:00", 3, "attempting", 2)).add(("2024-01-01 10:01:00", 1, "sent", 3), ("2024-01-01 09:00:00", 2, "sent", 4))
+    got = feed.run()
+    assert got == {1: ("sent", "2024-01-01 10:01:00"), 2: ("accepted", "2024-01-01 09:00:00"), 3: ("attempting", "2024-01-01 10:00:00")}
+    # the query starts anew from its checkpoint; 3 is unknown by its timer, 1 withdrawn by its own, 4 comes late and in no order
+    feed.add(("2024-01-03 00:00:00", 4, "accepted", 6), ("2024-01-02 12:00:00", 4, "sent", 5)).add(("2024-02-01 00:00:00", None))
+    got = feed.run()
+    assert got == {1: ("withdrawn", "2024-01-01 10:01:00"), 2: ("accepted", "2024-01-01 09:00:00"), 3: ("unknown", "2024-01-01 10:00:00"), 4: ("accepted", "2024-01-03 00:00:00")}
+    # an event moves on what a timer had ended, and none moves it back
+    feed.add(("2024-02-01 00:00:01", 3, "sent", 7), ("2024-02-01 00:00:01", 4, "attempting", 8), ("2024-02-01 00:00:01", 5, "sent", 9, True, 2))
+    got = feed.run()
+    assert got[3] == ("expired", "2024-02-01 00:00:01") and got[4][0] == "accepted" and got[5][0] == "sent"
+
+
+def test_lifecycle_ledger_is_shown_and_forgotten(spark, tmp_path):
+    old = spark.createDataFrame([(7, "2024-01-01 00:00:00", 1, "sent"), (7, "2024-01-02 00:00:00", 2, "dm_sent"), (8, "2024-01-05 00:00:00", 3, "failed")], "profile long, ts string, event_id long, status string")
+    ledger = T.ledger_facts(old.withColumn("ts", F.col("ts").cast("timestamp")))
+    feed = Feed(spark, tmp_path, ledger, late="1 hour", forget_days=30)
+    feed.add(("2024-01-06 00:00:00", None)).add(("2024-01-06 02:00:00", 9, "sent", 4))
+    assert feed.run() == {7: ("dm_sent", "2024-01-02 00:00:00"), 8: ("failed", "2024-01-05 00:00:00"), 9: ("expired", "2024-01-06 02:00:00")}
+    # beyond 30 days the state of 7 is gone, so an attempt is its first event again
+    feed.add(("2024-03-01 00:00:00", None)).add(("2024-03-01 00:00:01", 7, "attempting", 5))
+    assert feed.run()[7] == ("attempting", "2024-03-01 00:00:01")
+    assert {(7, "dm_sent"), (7, "attempting")} <= feed.updates()
+
+
+def test_failures_are_noted_once(spark, tmp_path):
+    e = lambda *rows: spark.createDataFrame(rows, "event_id long, ts string, address string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
+    days = [
+        e((1, "2024-01-01", "a", "failed"), (2, "2024-01-01", "b", "sent")), e((3, "2024-01-02", "a", "failed"), (4, "2024-01-02", "b", "failed"), (9, "2024-01-02", None, "failed")),
+        e((5, "2024-03-01", "c", "failed")), e((8, "2024-03-01", "b", "sent")), e((7, "2024-03-20", "c", "sent")), e((6, "2024-03-21", "a", "failed")),
+    ]
+    for day in days:
+        day.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema(days[0].schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    # state alone forgets a after a week and would note it again; the ledger does not
+    alone = run(S.first_in_watermark(src.where("address is not null"), "7 days", ("address",)), "alone", "append", tmp_path, spark)
+    assert sorted(r.event_id for r in alone.collect()) == [1, 2, 5, 6]
+    for _ in range(2):
+        S.sync_failures(src, str(tmp_path / "ledger"), str(tmp_path / "sync")).awaitTermination()
+    got = {(r.address, r.event_id) for r in spark.read.parquet(str(tmp_path / "ledger")).collect()}
+    batch = reduce(type(days[0]).union, days).where("address is not null")
+    assert got == {(r.address, r.event_id) for r in first_failures(batch).collect()} == {("a", 1), ("b", 4), ("c", 5)}
