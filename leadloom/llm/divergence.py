@@ -14,9 +14,9 @@ FIRST_BYTES = 4
 #: Bits of the filter that names a level's surviving prefixes: fixed, so what tasks are handed does not grow with the data.
 FILTER_BITS = 1 << 24
 #: Documents, and characters beyond the first document, of a block that is parsed at once.
-BLOCK_ROWS, BLOCK_CHARS = 2048, 6_000_000
+BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
 #: Counts that a task holds before it adds them up and hands them on, and prefixes it remembers.
-TASK_COUNTS = 500_000
+TASK_COUNTS = 400_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -85,7 +85,7 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
     """(lang, source, term, n_docs, n) of one level: whole terms of before + 1 to size bytes, and prefixes of longer ones (source, n null).
 
     Only terms go on whose prefix of before bytes may be alive. A document is whole in one block, so a task counts it once for
-    each of its prefixes, and counts of blocks are added up, first in the task.
+    each of its prefixes; counts are added up in the task, and a key has a row for each task that met it.
     """
 
     def run(batches):
@@ -107,13 +107,19 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
                 found = known[lang, prefix] = bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
             return found
 
-        def counted(langs, sources, terms, n_docs, n):
-            return pa.table([langs, sources, terms, pa.array(n_docs, pa.int64()), n], names=["lang", "source", "term", "n_docs", "n"])
+        groups: dict[tuple[str, str | None], int] = {}
+
+        def counted(of: list, g, terms, n_docs, n):
+            g = np.array([groups.setdefault(x, len(groups)) for x in of], np.int32)[g]
+            return pa.table([pa.array(g), terms, pa.array(n_docs, pa.int64()), n], names=["g", "term", "n_docs", "n"])
 
         def handed_on():
-            t = pa.concat_tables(held).group_by(["lang", "source", "term"]).aggregate([("n_docs", "sum"), ("n", "sum")])
+            t = pa.concat_tables(held).group_by(["g", "term"]).aggregate([("n_docs", "sum"), ("n", "sum")])
             held.clear()
-            return t.select(["lang", "source", "term", "n_docs_sum", "n_sum"]).rename_columns(["lang", "source", "term", "n_docs", "n"]).to_batches()
+            langs, sources = (pa.array([x[i] for x in groups], pa.string()) for i in (0, 1))
+            for b in t.to_batches(max_chunksize=50_000):
+                of = b.column("g")
+                yield pa.record_batch([langs.take(of), sources.take(of), b.column("term"), b.column("n_docs_sum"), b.column("n_sum")], names=["lang", "source", "term", "n_docs", "n"])
 
         for b in batches:
             for i in range(b.num_rows):
@@ -140,22 +146,21 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
                 if len(key):
                     g, t = np.divmod(key, len(terms))
                     total = np.bincount(at, n[whole]).astype(np.int64)
-                    held.append(counted(langs.take(pa.array(g)), sources.take(pa.array(g)), raw.take(pa.array(t)), np.bincount(at), pa.array(total)))
+                    held.append(counted(list(zip(langs.to_pylist(), sources.to_pylist())), g, raw.take(pa.array(t)), np.bincount(at), pa.array(total)))
                 if not whole.all():
                     part = pc.binary_slice(raw, 0, size).dictionary_encode()
                     many = len(part.dictionary)
                     pair = np.unique(doc[~whole].astype(np.int64) * many + part.indices.to_numpy()[term[~whole]])
                     key, docs = np.unique(lang_of[pair // many] * many + pair % many, return_counts=True)
                     g, t = np.divmod(key, many)
-                    held.append(counted(pa.array(languages).take(pa.array(g)), pa.nulls(len(g), pa.string()), part.dictionary.take(pa.array(t)), docs, pa.nulls(len(g), pa.int64())))
+                    held.append(counted([(x, None) for x in languages], g, part.dictionary.take(pa.array(t)), docs, pa.nulls(len(g), pa.int64())))
                 if sum(t.num_rows for t in held) > TASK_COUNTS:
                     yield from handed_on()
         if held:
             yield from handed_on()
 
     names = ("langs", "sources", "group", "terms", "doc", "term", "n")
-    found = parsed.where(F.col("longest") > before).select(*names).mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    return parsed.where(F.col("longest") > before).select(*names).mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
 
 
 def _filter(survivors: DataFrame) -> bytes:
@@ -171,7 +176,9 @@ def _filter(survivors: DataFrame) -> bytes:
 
 
 def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, term, n) of all terms that stand in at least least documents of their language, (lang, source) of all groups).
+    """((lang, source, term, n, n_lang, first) of all terms that stand in at least least documents of their language, (lang, source) of all groups).
+
+    n: occurrences in the group, n_lang: in the language; first: one row of each term of a language has it true.
 
     Terms are refined as byte prefixes, level by level: a level counts the distinct documents of each prefix and
     hands the prefixes that reach least to the next one, which looks only at terms behind them. Whole terms are counted exactly at
@@ -183,15 +190,20 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     while True:
         level = stored(_level(parsed, size, before, alive), "divergence-level")
         levels.append(level.where("source is not null"))
-        survivors = level.where(F.col("source").isNull() & (F.col("n_docs") >= least))
+        prefixes = level.where("source is null").groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
+        survivors = stored(prefixes.where(F.col("n_docs") >= least), "divergence-prefixes")
         if survivors.isEmpty():
             break
         alive, before, size = _filter(survivors), size, 2 * size
     whole = levels[0]
     for level in levels[1:]:
         whole = whole.unionByName(level)
-    kept = whole.groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n_lang")).where(F.col("n_docs") >= least).drop("n_docs")
-    return whole.drop("n_docs").join(kept, ["lang", "term"]), parsed.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
+    # one shuffle by term serves the counts of its sources and of its language
+    w = Window.partitionBy("lang", "term")
+    counts = whole.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
+    counts = counts.withColumns({"docs": F.sum("n_docs").over(w), "n_lang": F.sum("n").over(w), "first": F.min("source").over(w) == F.col("source")}).where(F.col("docs") >= least)
+    groups = parsed.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
+    return counts.select("lang", "source", "term", "n", "n_lang", "first"), groups
 
 
 def _share(n, total) -> F.Column:
@@ -231,7 +243,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_T
     counts, groups = frequent_terms(docs, least)
     counts = stored(counts, "divergence-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    langs = counts.groupBy("lang").agg(F.count_distinct("term").alias("v"), F.sum("n").alias("lang_total"))
+    langs = counts.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     g = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "v", "lang_total"])
     many = F.count("*").over(Window.partitionBy("lang"))
     g = g.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * many / BLOCK_CELLS))).withColumn("whole", F.col("total") + F.col("v"))
