@@ -126,6 +126,16 @@ IDENTITY_STOP = (
     "uae qatar kuwait bahrain oman مركز مجمع عيادة عيادات طبي الطبي للاسنان الأسنان مستوصف شركة مؤسسة مطعم صالون"
 ).split()
 AGGREGATORS = ("booking.com", "expedia.", "tripadvisor.", "hotels.com", "airbnb.", "agoda.", "trivago.", "facebook.com", "instagram.com")
+# ---- fixed values: countries' phone codes, and their mobile numbers as (prefix behind the code, digits in all) ----
+PHONE_CODES = {"AE": "971", "SA": "966", "QA": "974", "BH": "973", "KW": "965", "LB": "961"}
+MOBILE_RULES = {
+    "LB": (("3", 10), ("70", 11), ("71", 11), ("76", 11), ("78", 11), ("79", 11), ("81", 11)),
+    "AE": (("5", 12),),
+    "SA": (("5", 12),),
+    "QA": (("3", 11), ("5", 11), ("6", 11), ("7", 11)),
+    "BH": (("3", 11),),
+    "KW": (("5", 11), ("6", 11), ("9", 11)),
+}
 # ---- fixed values: countries in words -------------------------------------------
 COUNTRY_NAMES = {
     "AE": "the UAE", "SA": "Saudi Arabia", "QA": "Qatar", "BH": "Bahrain", "KW": "Kuwait", "OM": "Oman", "LB": "Lebanon", "JO": "Jordan", "EG": "Egypt",

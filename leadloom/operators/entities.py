@@ -94,18 +94,24 @@ def identity_tokens(name: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*K.IDENTITY_STOP)))
 
 
-def verify_entity_pages(names: DataFrame, pages: DataFrame, hits: DataFrame, least: int = 2, directory: str | None = None) -> DataFrame:
+def page_text(html: Column) -> Column:
+    """A page in lower case without scripts, styles and tags."""
+    html = F.lower(html)
+    for tag in ("script", "style"):
+        html = F.regexp_replace(html, rf"(?s)<{tag}.*?</{tag}>", " ")
+    return F.regexp_replace(html, "<[^>]+>", " ")
+
+
+def verify_entity_pages(names: DataFrame, pages: DataFrame, hits: DataFrame, least: int = 2, directory: str | None = None, key: str = "host") -> DataFrame:
     """hits (name_id, pos, host) with verdict: directory, generic (too few words), no page, unproven, or verified.
 
     names: name_id, name; pages: host, html. A page proves a name if least of its identity words stand in the visible
     text and one in the title or the host. Of a name's hits the first verified by pos has best true; a host that
-    is best for several names is kept for the smallest name_id (kept).
+    is best for several names is kept for the smallest name_id (kept). A hit's page is that of its host, or of another key
+    that both tables have.
     """
-    html = F.lower("html")
-    for tag in ("script", "style"):
-        html = F.regexp_replace(html, rf"(?s)<{tag}.*?</{tag}>", " ")
-    p = pages.select("host", F.regexp_replace(html, "<[^>]+>", " ").alias("text"), F.regexp_extract(F.lower("html"), r"(?s)<title[^>]*>(.*?)</title>", 1).alias("title"))
-    d = hits.join(names.select("name_id", identity_tokens(F.col("name")).alias("tokens")), "name_id").join(p, "host", "left")
+    p = pages.select(key, page_text(F.col("html")).alias("text"), F.regexp_extract(F.lower("html"), r"(?s)<title[^>]*>(.*?)</title>", 1).alias("title"))
+    d = hits.join(names.select("name_id", identity_tokens(F.col("name")).alias("tokens")), "name_id").join(p, key, "left")
     shown = F.size(F.filter("tokens", lambda t: F.contains("text", t)))
     strong = F.exists("tokens", lambda t: F.contains("title", t) | F.contains("host", t))
     verdict = F.when(F.col("host").rlike(directory), "directory") if directory else F.when(F.lit(False), "directory")
