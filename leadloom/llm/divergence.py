@@ -16,7 +16,7 @@ FILTER_BITS = 1 << 24
 #: Documents, and characters beyond the first document, of a block that is parsed at once.
 BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
 #: Counts that a task holds before it adds them up and hands them on, and prefixes it remembers.
-TASK_COUNTS = 400_000
+TASK_COUNTS, TASK_PREFIXES = 200_000, 50_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -100,7 +100,7 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
         def lives(lang: str, prefix: bytes) -> bool:
             found = known.get((lang, prefix))
             if found is None:
-                if len(known) >= TASK_COUNTS:
+                if len(known) >= TASK_PREFIXES:
                     known.clear()
                 h = xxhash.xxh64_intdigest(_key(lang, prefix), 42)
                 a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
@@ -120,6 +120,7 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
             for b in t.to_batches(max_chunksize=50_000):
                 of = b.column("g")
                 yield pa.record_batch([langs.take(of), sources.take(of), b.column("term"), b.column("n_docs_sum"), b.column("n_sum")], names=["lang", "source", "term", "n_docs", "n"])
+            pa.default_memory_pool().release_unused()
 
         for b in batches:
             for i in range(b.num_rows):
