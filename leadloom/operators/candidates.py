@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import constants as K
@@ -82,6 +82,22 @@ def merge_warnings(merged: DataFrame) -> DataFrame:
     return n.withColumns({"country_warning": F.col("country") > 0.3 * (F.col("kept") + F.col("country")), "stale_warning": F.col("stale") > 0.5 * (F.col("kept") + F.col("stale"))})
 
 
+REASONS = ("country", "sent", "disqualified", "sourced", "duplicate")
+
+
+def observed_merge(merged: DataFrame, allowed, name: str = "merge") -> tuple[DataFrame, Observation]:
+    """merged as it is, and what is counted while it is written or read for the first time.
+
+    The counts are rows, kept, one for each drop reason, and kept by country of allowed (None: none): those of merge_audit and
+    merge_warnings without another scan of the tables. They are there once an action on the returned table has ended.
+    """
+    seen = Observation(name)
+    reason = F.col("drop_reason")
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(reason.isNull()).alias("kept"), *[F.count_if(reason == r).alias(r) for r in REASONS]]
+    counts += [F.count_if(reason.isNull() & (F.col("country") == c)).alias(f"kept_{c}") for c in allowed or ()]
+    return merged.observe(seen, *counts), seen
+
+
 def allowed_countries(listed: list[str], worldwide: bool = False, default: tuple[str, ...] = ("AE", "SA", "QA", "BH", "KW")) -> tuple[str, ...] | None:
     """The codes that may pass, None for all: those listed, all for * or ALL or where the profile is worldwide, else default."""
     codes = tuple(c.strip().upper() for c in listed if c.strip())

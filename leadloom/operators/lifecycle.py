@@ -70,6 +70,25 @@ def trailing_rate(events: DataFrame, n: int) -> DataFrame:
     return a.select("sample", "accepted", F.when(F.col("sample") >= n, F.round(F.col("accepted") * 100.0 / F.col("sample"), 4)).alias("rate"))
 
 
+def rolling_rates(sends: DataFrame, n: int) -> DataFrame:
+    """(address, event_id, at, accepted, rate) of each sender's sends in the order of ts and event_id, at from 1: the share accepted of the last n, null before the n-th.
+
+    sends: address, event_id, ts, accepted (boolean). Sums are built up from the days' own, so a task sees one sender's day
+    and never a sender's whole past; the sum of the last n is the difference of two running sums, joined by place.
+    """
+    s = sends.withColumn("day", F.to_date("ts"))
+    days = s.groupBy("address", "day").agg(F.count("*").alias("n"), F.count_if("accepted").alias("a"))
+    past = Window.partitionBy("address").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("address", "day", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n0"), F.coalesce(F.sum("a").over(past), F.lit(0)).alias("a0"))
+    own = Window.partitionBy("address", "day").orderBy("ts", "event_id")
+    s = s.withColumns({"i": F.row_number().over(own), "a": F.sum(F.col("accepted").cast("long")).over(own.rowsBetween(Window.unboundedPreceding, 0))})
+    s = s.join(days, ["address", "day"]).select("address", "event_id", "accepted", (F.col("n0") + F.col("i")).alias("at"), (F.col("a0") + F.col("a")).alias("sum"))
+    before = s.select("address", (F.col("at") + n).alias("at"), F.col("sum").alias("out"))
+    last = s.join(before, ["address", "at"], "left")
+    rate = F.when(F.col("at") >= n, F.round((F.col("sum") - F.coalesce("out", F.lit(0))) * 100.0 / n, 4))
+    return last.select("address", "event_id", "at", "accepted", rate.alias("rate"))
+
+
 def cooldowns(events: DataFrame, hours: int = 48) -> DataFrame:
     """(profile, trips, starts, ends): failures block for hours; overlapping blocks are one."""
     w = Window.partitionBy("profile").orderBy("ts", "event_id")
