@@ -126,6 +126,8 @@ IDENTITY_STOP = (
     "uae qatar kuwait bahrain oman مركز مجمع عيادة عيادات طبي الطبي للاسنان الأسنان مستوصف شركة مؤسسة مطعم صالون"
 ).split()
 AGGREGATORS = ("booking.com", "expedia.", "tripadvisor.", "hotels.com", "airbnb.", "agoda.", "trivago.", "facebook.com", "instagram.com")
+# ---- fixed values: a profile's link in free text --------------------------------
+PROFILE_LINK = r"(?i)https?://[^\s)>\]]*linkedin\.com/in/[^\s)>\]]+"
 # ---- fixed values: countries' phone codes, and their mobile numbers as (prefix behind the code, digits in all) ----
 PHONE_CODES = {"AE": "971", "SA": "966", "QA": "974", "BH": "973", "KW": "965", "LB": "961"}
 MOBILE_RULES = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import constants as K
+from leadloom.functions.exprs import profile_url
 
 
 def parse_candidates(lines: DataFrame) -> DataFrame:
@@ -32,6 +33,14 @@ def ledger_keys(lines: DataFrame) -> DataFrame:
     return k.where(~((F.col("key_type") == "email") & (F.contains("key_value", F.lit("smtp-relay")) | F.contains("key_value", F.lit("mailin.fr"))))).distinct()
 
 
+def suppression_keys(lines: DataFrame) -> DataFrame:
+    """Distinct (key_type, key_value) of every e-mail and every profile URL anywhere in free text lines; URLs in canonical form."""
+    one = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("key_type"), x.alias("key_value")))
+    mails = F.transform(F.regexp_extract_all("line", F.lit(K.EMAIL), F.lit(0)), F.lower)
+    urls = F.array_compact(F.transform(F.regexp_extract_all("line", F.lit(K.PROFILE_LINK), F.lit(0)), profile_url))
+    return lines.select(F.explode(F.concat(one("email", mails), one("profile", urls))).alias("k")).select("k.*").distinct()
+
+
 def bounce_keys(lines: DataFrame) -> DataFrame:
     """Distinct (key_type, key_value): an address in the line, else the second field as a domain."""
     ok = lines.where(~F.col("line").rlike("^[#>`-]"))
@@ -74,6 +83,26 @@ def merge_audit(merged: DataFrame) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))
 
 
+def merge_countries(merged: DataFrame, most: int = 8) -> DataFrame:
+    """(country, n, rank) of the rows that the country rule dropped: the most countries by rows, then by code."""
+    n = merged.where("drop_reason = 'country'").groupBy("country").agg(F.count("*").alias("n"))
+    first = n.orderBy(F.desc("n"), "country").limit(most)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "country")).cast("long"))  # at most most rows
+
+
+def source_report(merged: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, verticals, found, kept, dry) of each declared source: its verticals in order, its rows, those that stay; dry without any.
+
+    merged: source, vertical, drop_reason; sources: source. A source that brought nothing is dry too.
+    """
+    n = merged.groupBy("source").agg(
+        F.array_join(F.array_sort(F.collect_set("vertical")), ",").alias("verticals"), F.count("*").alias("found"), F.count_if(F.col("drop_reason").isNull()).alias("kept")
+    )
+    s = sources.select("source").distinct().join(n, "source", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return s.select("source", F.coalesce("verticals", F.lit("")).alias("verticals"), zero("found"), zero("kept"), (F.coalesce("kept", F.lit(0)) == 0).alias("dry"))
+
+
 def merge_warnings(merged: DataFrame) -> DataFrame:
     """(kept, country, stale, country_warning, stale_warning): whether the country rule, or ledgers, took too large a share."""
     n = merged.agg(

@@ -108,6 +108,21 @@ def shared_offdomain(emails: DataFrame) -> DataFrame:
     return off.groupBy("email").agg(F.count("*").alias("n_domains")).where("n_domains >= 2")
 
 
+def clear_shared_offdomain(leads: DataFrame, least: int = 2) -> DataFrame:
+    """leads (domain, email, email_class and more) with the addresses cleared that least leads or more hold and that are on none of theirs.
+
+    Such a lead has no email, the class none, and drop_reason; an address on a lead's own domain stays there and does not count.
+    Case is folded. Holders are counted once for each address, so a shared one that very many leads hold costs one row.
+    """
+    held = leads.withColumn("__mail", F.nullif(F.lower("email"), F.lit(""))).withColumn("__own", F.coalesce(on_domain(F.col("__mail"), F.col("domain")), F.lit(True)))
+    n = held.where(~F.col("__own")).groupBy("__mail").agg(F.count("*").alias("__n")).where(F.col("__n") >= least)
+    d = held.join(n, "__mail", "left")
+    bad = ~F.col("__own") & F.col("__n").isNotNull()
+    reason = F.when(bad, F.concat(F.lit("off-domain address shared by "), F.col("__n").cast("string"), F.lit(" unrelated leads")))
+    out = {"email": F.when(~bad, F.col("email")), "email_class": F.when(bad, "none").otherwise(F.col("email_class")), "drop_reason": reason}
+    return d.withColumns(out).drop("__mail", "__own", "__n")
+
+
 def rank_pages(pages: DataFrame, order: list[str], k: int, least: int = 500) -> DataFrame:
     """(domain, rn, page_id, slug): the first k pages of a site by slug order, then page_id."""
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("slug")), F.lit(0)), F.lit(len(order) + 1))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadloom.functions import constants as K
+from leadloom.functions.exprs import country_name, short_name
 
 from .candidates import suppress
 from .names import is_direct_mailbox
@@ -20,6 +21,45 @@ def render(leads: DataFrame, openers: DataFrame, template: str, fallback: str, s
     return d.withColumn("body", F.regexp_replace(body, r"\s*[–—]\s*", ", "))
 
 
+def _filled(template, slots: dict):
+    for name, value in slots.items():
+        template = F.replace(template, F.lit("{" + name + "}"), F.coalesce(value.cast("string"), F.lit("")))
+    return template
+
+
+def _from(table: dict, key: str, default):
+    """The table's value for the column key, or default."""
+    if not table:
+        return F.lit(default)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), F.col(key)), F.lit(default))
+
+
+def render_drafts(leads: DataFrame, openers: dict, verticals: dict, dialects: dict, subject: str, body: str, run: str, defaults: tuple[str, str, str], phone: bool = False) -> DataFrame:
+    """leads with name as it is used, salutation, subject, body_text, body_html and tags; by phone body_text, to_jid and tags.
+
+    leads: name, country_code, vertical, signal, first_name, last_name, title and, by phone, to_phone in digits. openers by signal are
+    templates of their own; defaults are the signal, vertical and dialect in words of leads that openers, verticals and dialects (by
+    country code) do not know. Salutation is title and last name if both are there, else the first name. Slots: name, country,
+    vertical, salutation, opener, dialect; what stands in a slot is not filled again but for the opener. Dashes become commas; empty lines
+    part paragraphs of the html. The tables are settings, so they go into the plan and nothing is joined.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    d = leads.withColumns({"name": short_name(F.col("name")), "salutation": F.when(~blank("last_name") & ~blank("title"), F.concat("title", F.lit(" "), "last_name")).otherwise(F.col("first_name"))})
+    words = {"name": F.col("name"), "country": country_name(F.col("country_code")), "vertical": _from(verticals, "vertical", defaults[1]), "dialect": _from(dialects, "country_code", defaults[2])}
+    opener = _filled(_from(openers, "signal", openers[defaults[0]]), words)
+    tidy = lambda c: F.regexp_replace(c, r"\s*[—–]\s*", ", ")
+    text = lambda t: tidy(_filled(F.lit(t), {"opener": opener, "salutation": F.col("salutation"), **words}))
+    d = d.withColumn("body_text", text(body))
+    tags = [F.lit("cold-outreach"), *([F.lit("phone")] if phone else []), F.lit(run), F.col("vertical"), F.col("country_code")]
+    if phone:
+        d = d.withColumn("to_jid", F.concat("to_phone", F.lit("@c.us")))
+    else:
+        parts = F.transform(F.split(F.trim("body_text"), "\n\n"), lambda p: F.concat(F.lit("<p>"), F.replace(p, F.lit("\n"), F.lit("<br>")), F.lit("</p>")))
+        d = d.withColumns({"subject": text(subject), "body_html": F.array_join(parts, "\n")})
+    made = ["salutation", "body_text", *(["to_jid"] if phone else ["subject", "body_html"])]
+    return d.withColumn("tags", F.array(*tags)).select(*leads.columns, *made, "tags")
+
+
 def contract_gate(drafts: DataFrame, greeting: str, link: str, money: str, banned: str) -> DataFrame:
     """drafts (id, text) with drop_reason of the first broken rule: greeting, money words, link, banned words."""
     t = F.lower("text")

@@ -28,6 +28,16 @@ def grid_cover(places: DataFrame, radius_km: float) -> DataFrame:
     return g.select("place", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round(F.col("lat") - F.col("half") + (F.col("i") + 0.5) * step, 6).alias("lat"), F.round(F.col("lon") - F.col("half") + (F.col("j") + 0.5) * F.col("lon_step"), 6).alias("lon"))
 
 
+def cover_cells(points: DataFrame, places: DataFrame, radius_km: float) -> DataFrame:
+    """grid_cover's cells with n: how many points lie in each, 0 for an empty one. A point in two places' boxes counts for both."""
+    step = radius_km * math.sqrt(2) / 111.32
+    inside = bbox_assign(points, places).join(points.select("id", F.col("lat").alias("y"), F.col("lon").alias("x")), "id").join(places.select("place", "lat", "lon", "half"), "place")
+    lon_step = F.lit(step) / F.greatest(F.cos(F.radians("lat")), F.lit(0.15))
+    at = lambda v, c, by: F.floor((F.col(v) - (F.col(c) - F.col("half"))) / by)
+    n = inside.select("place", at("y", "lat", step).alias("i"), at("x", "lon", lon_step).alias("j")).groupBy("place", "i", "j").agg(F.count("*").alias("n"))
+    return grid_cover(places, radius_km).join(n, ["place", "i", "j"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
 def adaptive_cells(points: DataFrame, size: float, full: int, least: float) -> DataFrame:
     """(size, gx, gy, n, complete): square cells of points; one with full points or more splits in four until half its size is below least."""
     rest, done = points.select("lat", "lon"), None

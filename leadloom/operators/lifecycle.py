@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import constants as K
 
+from .people import first_per_keys
+
 STAGE = {"attempting": 0, "failed": 0, "sent": 1, "dm_sent": 2, "accepted": 3}
 
 
@@ -51,6 +53,12 @@ def campaign_days(daily: DataFrame) -> DataFrame:
     return daily.where("n > 0").withColumn("campaign_day", F.row_number().over(Window.orderBy("day")).cast("long"))
 
 
+def campaign_day_on(daily: DataFrame, today) -> DataFrame:
+    """(campaign_day) of one row: how many days with sends there were by today, which counts even without any."""
+    n = daily.where(F.col("n") > 0).where(F.col("day") <= F.lit(today).cast("date"))
+    return n.agg((F.count_if(F.col("day") < F.lit(today).cast("date")) + 1).alias("campaign_day"))
+
+
 def ramp_cap(day: Column, ramp=K.RAMP, most: int = K.DAILY_MAX) -> Column:
     out = F.lit(0)
     for through, cap in reversed(ramp):
@@ -119,6 +127,24 @@ def persisted(events: DataFrame) -> DataFrame:
     return s.withColumn("rn", rn).where("rn = 1").select("event_id", "address", F.to_date("ts").alias("day"), "message_id")
 
 
+def noted_sends(outcomes: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
+    """The outcomes to append to the ledger, each by its channel's keys, first wins by order.
+
+    outcomes: result, dry_run, channel, message_id, email, run, phone and the unique column order. Only real sends count. By e-mail
+    a row needs a message_id and neither that nor (email, run) may be known; by phone its digits may not be. ledger (key_type,
+    key_value) has the kinds message, email_run (email|run) and phone. A row that is not appended makes nothing known.
+    """
+    mail, digits = F.lower(F.trim("email")), F.regexp_replace(F.coalesce("phone", F.lit("")), "[^0-9]", "")
+    key = lambda kind, value: F.struct(F.lit(kind).alias("key_type"), value.alias("key_value"))
+    mine = F.when(F.col("channel") == "phone", F.array(key("phone", digits))).otherwise(F.array(key("message", F.col("message_id")), key("email_run", F.when(mail != "", F.concat(mail, F.lit("|"), "run")))))
+    good = F.when(F.col("channel") == "phone", digits != "").otherwise(F.coalesce(F.col("message_id"), F.lit("")) != "")
+    s = outcomes.where((F.col("result") == "sent") & ~F.coalesce("dry_run", F.lit(False))).where(good)
+    long = s.select(F.col(order).alias("id"), F.explode(mine).alias("k")).select("id", "k.*").where("key_value is not null")
+    known = long.join(ledger.select("key_type", "key_value"), ["key_type", "key_value"], "left_semi").select("id").distinct()
+    rows = long.join(known, "id", "left_anti").select("id", F.concat("key_type", F.lit(":"), "key_value").alias("key"))
+    return s.join(first_per_keys(rows).withColumnRenamed("id", order), order, "left_semi")
+
+
 def heartbeat(events: DataFrame) -> DataFrame:
     """(day, verdict) for each day with events: not a send day, sent, failures, or not ok."""
     d = events.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("status") == "sent").alias("sent"), F.count_if(F.col("status") == "failed").alias("failed"))

@@ -20,6 +20,22 @@ def flag_pages(pages: DataFrame, phrases: list[str]) -> DataFrame:
     return t.select("page_id", reason.alias("reason")).where("reason is not null")
 
 
+def challenged_pages(fetches: DataFrame, urls: list[str], phrases: list[str]) -> DataFrame:
+    """(page_id, rule, reason) of fetches (page_id, status, url, html) that show a challenge; others are left out.
+
+    Status comes first (429, 999, 500 and above), then the first pattern of urls that the URL matches, then the first of
+    phrases in the visible text; so a vendor's name in a script or an attribute is no reason. Nulls match nothing.
+    """
+    status = F.col("status")
+    text = visible_text(F.col("html"))
+    by_url = F.coalesce(*[F.when(F.col("url").rlike("(?i)" + u), F.concat(F.lit("challenge/redirect URL: "), "url")) for u in urls], F.lit(None).cast("string"))
+    by_text = F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(f'challenge page text: "{p}"')) for p in phrases], F.lit(None).cast("string"))
+    by_status = F.when(status == 429, "HTTP 429 (rate limited)").when(status == 999, "HTTP 999 (blocked)").when(status >= 500, F.concat(F.lit("HTTP "), status.cast("string")))
+    rule = F.when(F.col("s").isNotNull(), "status").when(F.col("u").isNotNull(), "url").otherwise("text")
+    found = fetches.select("page_id", by_status.alias("s"), by_url.alias("u"), by_text.alias("t")).where("coalesce(s, u, t) is not null")
+    return found.select("page_id", rule.alias("rule"), F.coalesce("s", "u", "t").alias("reason"))
+
+
 def person_names(texts: DataFrame) -> DataFrame:
     """Distinct (id, first_name): first words of pairs of capitalised words."""
     return texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(NAME), F.lit(1)))).alias("first_name"))

@@ -117,6 +117,17 @@ def select_queue(people: DataFrame, suppressed: DataFrame, state: DataFrame, cap
     return p.join(chosen, "person_id", "left").withColumn("reason", F.when(F.col("reason").isNull() & F.col("in_queue").isNull(), "over cap").otherwise(F.col("reason"))).drop("in_queue")
 
 
+def suppress_profiles(leads: DataFrame, keys: DataFrame) -> DataFrame:
+    """leads (lead_id, url, email and more) with suppressed: profile if its URL is among keys (key_type, key_value), else email, else null.
+
+    URLs are compared in canonical form, addresses in lower case; a lead's keys become rows of one equi-join.
+    """
+    mine = F.array(F.struct(F.lit("profile").alias("key_type"), profile_url(F.col("url")).alias("key_value")), F.struct(F.lit("email").alias("key_type"), F.lower(F.trim("email")).alias("key_value")))
+    long = leads.select("lead_id", F.explode(mine).alias("k")).select("lead_id", "k.*").where("key_value <> ''")
+    hit = long.join(keys.select("key_type", "key_value").distinct(), ["key_type", "key_value"]).groupBy("lead_id").agg(F.max("key_type").alias("suppressed"))  # profile is the greater
+    return leads.join(hit, "lead_id", "left")
+
+
 def first_per_keys(rows: DataFrame) -> DataFrame:
     """(id) kept when ids are taken by rising id and one is held if it shares a key with one kept before. rows: id, key.
 

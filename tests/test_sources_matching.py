@@ -227,3 +227,27 @@ def test_minhash_estimates_the_index():
     x = rng.integers(-(2**63), 2**63 - 1, 900, dtype=np.int64)
     a, b = minhash.band_keys(x[:600], 400, 1), minhash.band_keys(x[200:800], 400, 1)
     assert abs((a == b).mean() - 0.5) < 0.1 and (minhash.band_keys(x[::-1].copy(), 400, 1) == minhash.band_keys(x, 400, 1)).all()
+
+
+def test_noted_sends_equal_the_loop(spark):
+    from leadloom.operators.lifecycle import noted_sends
+
+    rng = random.Random(21)
+    rows = []
+    for i in range(200):
+        rows.append((i, rng.choice(["sent", "sent", "sent", "error"]), rng.choice([None, False, True]), rng.choice(["email", "phone"]), rng.choice([None, "", *(f"m{j}" for j in range(40))]), rng.choice([None, "", *(f"A{j}@x" for j in range(12))]), rng.choice("rs"), rng.choice([None, "+", *(f"+1 {j}" for j in range(15))])))
+    known = [("message", "m3"), ("email_run", "a2@x|r"), ("phone", "14"), ("email", "a5@x")]
+    seen, want = set(known), []
+    for i, result, dry, channel, message, mail, run, phone in rows:
+        digits = "".join(c for c in phone or "" if c.isdigit())
+        if result != "sent" or dry:
+            continue
+        if channel == "phone":
+            keys = {("phone", digits)} if digits else None
+        else:
+            keys = ({("message", message)} | ({("email_run", f"{mail.lower()}|{run}")} if mail else set())) if message else None
+        if keys and not keys & seen:
+            seen |= keys
+            want.append(i)
+    out = spark.createDataFrame(rows, "id long, result string, dry_run boolean, channel string, message_id string, email string, run string, phone string")
+    assert sorted(r.id for r in noted_sends(out, spark.createDataFrame(known, "key_type string, key_value string"), "id").collect()) == want
