@@ -15,8 +15,8 @@ FIRST_BYTES = 4
 FILTER_BITS = 1 << 24
 #: Documents, and characters beyond the first document, of a block that is parsed at once.
 BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
-#: Counts that a task holds before it adds them up and hands them on, and prefixes it remembers.
-TASK_COUNTS, TASK_PREFIXES = 200_000, 50_000
+#: Counts that a task holds before it adds them up and hands them on.
+TASK_COUNTS = 200_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -81,11 +81,12 @@ def _key(lang: str, prefix: bytes) -> bytes:
     return lang.encode() + b"\0" + prefix
 
 
-def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> DataFrame:
-    """(lang, source, term, n_docs, n) of one level: whole terms of before + 1 to size bytes, and prefixes of longer ones (source, n null).
+def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes], whole: bool) -> DataFrame:
+    """(lang, source, term, n_docs, n), counts of documents and occurrences: a key has a row for each task that met it.
 
-    Only terms go on whose prefix of before bytes may be alive. A document is whole in one block, so a task counts it once for
-    each of its prefixes; counts are added up in the task, and a key has a row for each task that met it.
+    Prefixes of size bytes of longer terms (source and n null) or, with whole, all terms as they are. Terms of more than b bytes
+    go on only if their prefix of b bytes may be among those of filters[b]. A document is whole in one block, so a task
+    counts it once for each of its prefixes; counts are added up in the task.
     """
 
     def run(batches):
@@ -94,18 +95,12 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
         import pyarrow.compute as pc
         import xxhash
 
-        known: dict[tuple[str, bytes], bool] = {}
         held: list = []
 
-        def lives(lang: str, prefix: bytes) -> bool:
-            found = known.get((lang, prefix))
-            if found is None:
-                if len(known) >= TASK_PREFIXES:
-                    known.clear()
-                h = xxhash.xxh64_intdigest(_key(lang, prefix), 42)
-                a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
-                found = known[lang, prefix] = bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
-            return found
+        def lives(alive: bytes, key: bytes) -> bool:
+            h = xxhash.xxh64_intdigest(key, 42)
+            a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
+            return bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
 
         groups: dict[tuple[str, str | None], int] = {}
 
@@ -131,27 +126,29 @@ def _level(parsed: DataFrame, size: int, before: int, alive: bytes | None) -> Da
                 lang_of = np.array([languages.index(x) for x in langs.to_pylist()], np.int64)[of]
                 go = sizes[term] > before
                 doc, term, n = doc[go], term[go], n[go]
-                if before and len(term):
-                    part = pc.binary_slice(raw, 0, before).dictionary_encode()
+                for cut, alive in filters.items():
+                    long = sizes > cut
+                    if not len(term) or not long.any():
+                        continue
+                    part = pc.binary_slice(raw, 0, cut).dictionary_encode()
                     prefixes, which = part.dictionary.to_pylist(), part.indices.to_numpy()
                     key = lang_of[doc] * len(prefixes) + which[term]
-                    there = np.zeros(len(languages) * len(prefixes), bool)
-                    there[key] = True
-                    good = np.zeros(len(there), bool)
-                    for k in np.flatnonzero(there).tolist():
-                        good[k] = lives(languages[k // len(prefixes)], prefixes[k % len(prefixes)])
-                    go = good[key]
+                    asked = np.zeros(len(languages) * len(prefixes), bool)
+                    asked[key[long[term]]] = True
+                    good = np.zeros(len(asked), bool)
+                    for k in np.flatnonzero(asked).tolist():
+                        good[k] = lives(alive, _key(languages[k // len(prefixes)], prefixes[k % len(prefixes)]))
+                    go = good[key] | ~long[term]
                     doc, term, n = doc[go], term[go], n[go]
-                whole = sizes[term] <= size
-                key, at = np.unique(of[doc[whole]].astype(np.int64) * len(terms) + term[whole], return_inverse=True)
-                if len(key):
+                if whole and len(term):
+                    key, at = np.unique(of[doc].astype(np.int64) * len(terms) + term, return_inverse=True)
                     g, t = np.divmod(key, len(terms))
-                    total = np.bincount(at, n[whole]).astype(np.int64)
+                    total = np.bincount(at, n).astype(np.int64)
                     held.append(counted(list(zip(langs.to_pylist(), sources.to_pylist())), g, raw.take(pa.array(t)), np.bincount(at), pa.array(total)))
-                if not whole.all():
+                elif len(term):
                     part = pc.binary_slice(raw, 0, size).dictionary_encode()
                     many = len(part.dictionary)
-                    pair = np.unique(doc[~whole].astype(np.int64) * many + part.indices.to_numpy()[term[~whole]])
+                    pair = np.unique(doc.astype(np.int64) * many + part.indices.to_numpy()[term])
                     key, docs = np.unique(lang_of[pair // many] * many + pair % many, return_counts=True)
                     g, t = np.divmod(key, many)
                     held.append(counted([(x, None) for x in languages], g, part.dictionary.take(pa.array(t)), docs, pa.nulls(len(g), pa.int64())))
@@ -177,39 +174,38 @@ def _filter(survivors: DataFrame) -> bytes:
 
 
 def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
-    """((lang, source, term, n, n_lang, first) of all terms that stand in at least least documents of their language, (lang, source) of all groups).
+    """((lang, source, term, n, n_lang, tid, first) of all terms that stand in at least least documents of their language, (lang, source) of all groups).
 
-    n: occurrences in the group, n_lang: in the language; first: one row of each term of a language has it true.
+    n: occurrences in the group, n_lang: in the language; tid: a number of the term in its language; first: one row of it has it true.
 
     Terms are refined as byte prefixes, level by level: a level counts the distinct documents of each prefix and
-    hands the prefixes that reach least to the next one, which looks only at terms behind them. Whole terms are counted exactly at
-    the level of their length. The survivors go to the tasks as a Bloom filter of fixed size; a prefix it names in error
-    is counted at the next level and falls there, so no result depends on it.
+    hands the prefixes that reach least to the next one, which looks only at terms behind them, until none is longer than
+    the level. Then whole terms all of whose prefixes are left are counted exactly, with their groups. The survivors go to the tasks as a
+    Bloom filter of fixed size; a prefix it names in error is counted later and falls there, so no result depends on it.
     """
     parsed = stored(_document_terms(docs), "divergence-terms")
-    levels, size, before, alive = [], FIRST_BYTES, 0, None
+    filters: dict[int, bytes] = {}
+    size = FIRST_BYTES
     while True:
-        level = stored(_level(parsed, size, before, alive), "divergence-level")
-        levels.append(level.where("source is not null"))
-        prefixes = level.where("source is null").groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
-        survivors = stored(prefixes.where(F.col("n_docs") >= least), "divergence-prefixes")
+        prefixes = _counts(parsed, size, size, filters, False).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
+        survivors = stored(prefixes.where(F.col("n_docs") >= least).select("lang", "term"), "divergence-prefixes")
+        filters[size] = _filter(survivors)
         if survivors.isEmpty():
             break
-        alive, before, size = _filter(survivors), size, 2 * size
-    whole = levels[0]
-    for level in levels[1:]:
-        whole = whole.unionByName(level)
+        size *= 2
+    whole = _counts(parsed, 0, 0, filters, True)
     # one shuffle by term serves the counts of its sources and of its language
     w = Window.partitionBy("lang", "term")
-    counts = whole.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n"))
-    counts = counts.withColumns({"docs": F.sum("n_docs").over(w), "n_lang": F.sum("n").over(w), "first": F.min("source").over(w) == F.col("source")}).where(F.col("docs") >= least)
+    counts = whole.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")).withColumn("row", F.monotonically_increasing_id())
+    counts = counts.withColumns({"docs": F.sum("n_docs").over(w), "n_lang": F.sum("n").over(w), "tid": F.min("row").over(w)}).where(F.col("docs") >= least)
     groups = parsed.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
-    return counts.select("lang", "source", "term", "n", "n_lang", "first"), groups
+    return stored(counts.select("lang", "source", "term", "n", "n_lang", "tid", (F.col("row") == F.col("tid")).alias("first")), "divergence-counts"), groups
 
 
 def _share(n, total) -> F.Column:
-    """1 + floor(SCALE * (n + 1) / total), exactly."""
-    return 1 + F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), total.cast("decimal(20,0)"))
+    """1 + floor(SCALE * (n + 1) / total), exactly; decimals only where the product would leave 64 bits."""
+    wide = F.call_function("div", (n + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"), total.cast("decimal(20,0)"))
+    return 1 + F.when(n < 9_000_000_000, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), total)).otherwise(wide)
 
 
 def _compare(counts, groups):
@@ -217,19 +213,17 @@ def _compare(counts, groups):
     import numpy as np
     import pandas as pd
 
-    names = sorted(groups["source"])
-    at = {s: i for i, s in enumerate(names)}
-    base = groups.set_index("source")["p0"].loc[names].to_numpy(np.int64)
-    terms, row = np.unique(counts["term"].to_numpy(), return_inverse=True) if len(counts) else (np.zeros(0), np.zeros(0, int))
-    p = np.tile(base, (len(terms), 1))
-    p[row, counts["source"].map(at).to_numpy(int)] = counts["p"].to_numpy(np.int64)
-    out = []
-    for i, s in enumerate(names):
+    groups = groups.sort_values("number")
+    size = len(groups)
+    terms, row = np.unique(counts["tid"].to_numpy(), return_inverse=True)
+    p = np.tile(groups["base"].to_numpy(np.int64), (len(terms), 1))
+    p[row, counts["s"].to_numpy()] = counts["p"].to_numpy(np.int64)
+    sums = np.zeros((size, size), np.int64)
+    for i in range(size):
         d = p[:, i, None] - p
-        sums = (d * d // p).sum(0)
-        out += [(s, o, int(v)) for o, v in zip(names, sums) if o != s]
-    lang, block = (groups["lang"].iloc[0], groups["block"].iloc[0])
-    return pd.DataFrame([(lang, block, *r) for r in out], columns=["lang", "block", "source", "item", "value"])
+        sums[i] = (d * d // p).sum(0)
+    i, j = np.nonzero(~np.eye(size, dtype=bool))
+    return pd.DataFrame({"lang": groups["of"].iloc[0], "s": i, "o": j, "value": sums[i, j]})
 
 
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS) -> DataFrame:
@@ -242,22 +236,25 @@ def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_T
     number grows with terms and sources; a source's terms are cut to top in each task before they are dealt to one.
     """
     counts, groups = frequent_terms(docs, least)
-    counts = stored(counts, "divergence-counts")
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = counts.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_total"))
     g = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").fillna(0, ["total", "v", "lang_total"])
-    many = F.count("*").over(Window.partitionBy("lang"))
-    g = g.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * many / BLOCK_CELLS))).withColumn("whole", F.col("total") + F.col("v"))
+    of_lang = Window.partitionBy("lang")
+    many, number = F.count("*").over(of_lang), F.row_number().over(of_lang.orderBy("source")) - 1
+    g = g.withColumns({"blocks": F.greatest(F.lit(1), F.ceil(F.col("v") * many / BLOCK_CELLS)), "s": number, "whole": F.col("total") + F.col("v")})
     g = stored(g.withColumn("p0", F.when(F.col("v") > 0, _share(F.lit(0).cast("long"), F.col("whole"))).otherwise(1)), "divergence-groups")
 
     known = counts.join(g, ["lang", "source"])
-    p = known.select("lang", "source", "term", _share(F.col("n"), F.col("whole")).alias("p"), _share(F.col("n_lang"), F.col("lang_total") + F.col("v")).alias("q"), "blocks")
+    p = known.select("lang", "source", "s", "term", "tid", _share(F.col("n"), F.col("whole")).alias("p"), _share(F.col("n_lang"), F.col("lang_total") + F.col("v")).alias("q"), "blocks")
     value = F.call_function("div", (F.col("p") - F.col("q")) * (F.col("p") - F.col("q")), F.col("q"))
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     terms = p.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), value.alias("value")).withColumn("rank", rank).where(F.col("rank") <= top)
 
-    blocks = p.select("lang", F.pmod(F.xxhash64("term"), "blocks").alias("block"), "source", "term", "p").groupBy("lang", "block")
-    sides = g.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", "p0").groupBy("lang", "block")
-    pairs = blocks.cogroup(sides).applyInPandas(_compare, "lang string, block long, source string, item string, value long").groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    blocks = p.select("lang", F.pmod(F.xxhash64("tid"), "blocks").alias("block"), "s", "tid", "p").groupBy("lang", "block")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    sides = g.select(F.col("lang").alias("of"), every.alias("at"), F.col("s").alias("number"), F.col("p0").alias("base")).groupBy("of", "at")
+    sums = blocks.cogroup(sides).applyInPandas(_compare, "lang string, s int, o int, value long").groupBy("lang", "s", "o").agg(F.sum("value").alias("value"))
+    name = lambda number, c: g.select("lang", F.col("s").alias(number), F.col("source").alias(c))
+    pairs = sums.join(name("s", "source"), ["lang", "s"]).join(name("o", "item"), ["lang", "o"])
     pairs = pairs.select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", rank)
     return terms.unionByName(pairs)
