@@ -195,5 +195,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that the rules keep, columns as given."""
-    return apply_rules(docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text"), labels, rows).where("kept").select("__row.*")
+    """The rows of docs that the rules keep, columns as given, whatever their names."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return apply_rules(docs.select(row, "doc_id", "text"), labels, rows).where("kept").select("__row.*")
