@@ -30,10 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once to the shared folder and read again: a lost executor costs no recomputation."""
+def stored(df: DataFrame, tag: str, **options) -> DataFrame:
+    """df, written once to the shared folder, with the writer's options, and read again: a lost executor costs no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/leadloom/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -14,9 +14,9 @@ FIRST_BYTES = 4
 #: Bits of the filter that names a level's surviving prefixes: fixed, so what tasks are handed does not grow with the data.
 FILTER_BITS = 1 << 24
 #: Documents, and characters beyond the first document, of a block that is parsed at once.
-BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
+BLOCK_ROWS, BLOCK_CHARS = 256, 1_000_000
 #: Counts that a task holds before it adds them up and hands them on.
-TASK_COUNTS = 200_000
+TASK_COUNTS = 150_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -47,7 +47,8 @@ def _document_terms(docs: DataFrame) -> DataFrame:
     """Blocks of documents with their terms, split and numbered by Arrow; nulls read as empty.
 
     (langs, sources: of the block's groups, group: of each document, terms, and for each document and term of it: doc, term, n;
-    longest: bytes of the longest term). A block has whole documents, up to BLOCK_ROWS or BLOCK_CHARS.
+    longest: bytes of the longest term). A block has whole documents, up to BLOCK_ROWS or BLOCK_CHARS. Numbers are packed as 32-bit
+    integers and terms by line ends, which no term has, so Spark moves a block as a few byte strings.
     """
     names = ("langs", "sources", "group", "terms", "doc", "term", "n", "longest")
 
@@ -56,7 +57,8 @@ def _document_terms(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        one = lambda values: pa.array([values], pa.list_(pa.string()))
+        packed = lambda values: pa.array([np.asarray(values, "<i4").tobytes()], pa.binary())
         for b in batches:
             sizes = pc.utf8_length(b.column(2)).to_numpy()
             start, chars = 0, 0
@@ -65,15 +67,14 @@ def _document_terms(docs: DataFrame) -> DataFrame:
                     if i > start:
                         some = b.slice(start, i - start)
                         langs, sources, of, terms, doc, term, n, longest = _block(some.column(0).to_pylist(), some.column(1).to_pylist(), some.column(2))
-                        lists = [one(langs, pa.string()), one(sources, pa.string()), one(of, pa.int32()), one(terms, pa.string())]
-                        lists += [one(x.astype(np.int32), pa.int32()) for x in (doc, term, n)]
-                        yield pa.record_batch([*lists, pa.array([longest], pa.int32())], names=names)
+                        text = pa.array(["\n".join(terms.to_pylist()).encode()], pa.binary())
+                        yield pa.record_batch([one(langs), one(sources), packed(of), text, *map(packed, (doc, term, n)), pa.array([longest], pa.int32())], names=names)
                     start, chars = i, 0
                 if i < b.num_rows:
                     chars += sizes[i]
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
-    kinds = ("array<string>",) * 2 + ("array<int>", "array<string>") + ("array<int>",) * 3 + ("int",)
+    kinds = ("array<string>",) * 2 + ("binary",) * 5 + ("int",)
     return docs.select(*map(empty, ("lang", "source", "text"))).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
 
 
@@ -119,8 +120,9 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
 
         for b in batches:
             for i in range(b.num_rows):
-                langs, sources, of, terms, doc, term, n = (b.column(c)[i].values for c in range(7))
-                raw, of, doc, term, n = terms.cast(pa.binary()), *(x.to_numpy() for x in (of, doc, term, n))
+                langs, sources = (b.column(c)[i].values for c in (0, 1))
+                terms = b.column(3)[i].as_py().split(b"\n")
+                raw, of, doc, term, n = pa.array(terms, pa.binary()), *(np.frombuffer(b.column(c)[i].as_buffer(), "<i4") for c in (2, 4, 5, 6))
                 sizes = pc.binary_length(raw).to_numpy()
                 languages = list(dict.fromkeys(langs.to_pylist()))
                 lang_of = np.array([languages.index(x) for x in langs.to_pylist()], np.int64)[of]
@@ -183,7 +185,8 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     the level. Then whole terms all of whose prefixes are left are counted exactly, with their groups. The survivors go to the tasks as a
     Bloom filter of fixed size; a prefix it names in error is counted later and falls there, so no result depends on it.
     """
-    parsed = stored(_document_terms(docs), "divergence-terms")
+    # a row has a whole block, so small row groups keep few of them in memory at a time
+    parsed = stored(_document_terms(docs), "divergence-terms", **{"parquet.block.size": 4 << 20})
     filters: dict[int, bytes] = {}
     size = FIRST_BYTES
     while True:
