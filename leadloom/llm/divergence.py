@@ -14,9 +14,9 @@ FIRST_BYTES = 4
 #: Bits of the filter that names a level's surviving prefixes: fixed, so what tasks are handed does not grow with the data.
 FILTER_BITS = 1 << 24
 #: Documents, and characters beyond the first document, of a block that is parsed at once.
-BLOCK_ROWS, BLOCK_CHARS = 256, 1_000_000
+BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
 #: Counts that a task holds before it adds them up and hands them on.
-TASK_COUNTS = 150_000
+TASK_COUNTS = 300_000
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -78,8 +78,18 @@ def _document_terms(docs: DataFrame) -> DataFrame:
     return docs.select(*map(empty, ("lang", "source", "text"))).mapInArrow(run, ", ".join(f"{c} {k}" for c, k in zip(names, kinds)))
 
 
-def _key(lang: str, prefix: bytes) -> bytes:
-    return lang.encode() + b"\0" + prefix
+def _bits(lang: str, prefixes, size: int, bits: int):
+    """Two places in a filter of bits for each of prefixes (an Arrow array of binaries of size bytes) of a language."""
+    import numpy as np
+    import xxhash
+
+    raw = np.frombuffer(b"".join(prefixes.to_pylist()), np.uint8).reshape(-1, size)
+    h = np.full(len(raw), xxhash.xxh64_intdigest(lang.encode(), 42), np.uint64)
+    for column in raw.T:
+        h = (h ^ column) * np.uint64(0x100000001B3)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(32)
+    return (h % np.uint64(bits)).astype(np.int64), ((h >> np.uint64(32)) % np.uint64(bits)).astype(np.int64)
 
 
 def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes], whole: bool) -> DataFrame:
@@ -94,15 +104,9 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        import xxhash
 
         held: list = []
-
-        def lives(alive: bytes, key: bytes) -> bool:
-            h = xxhash.xxh64_intdigest(key, 42)
-            a, b = h % FILTER_BITS, (h >> 32) % FILTER_BITS
-            return bool(alive[a >> 3] >> (a & 7) & 1 and alive[b >> 3] >> (b & 7) & 1)
-
+        tests = {cut: np.frombuffer(alive, np.uint8) for cut, alive in filters.items()}
         groups: dict[tuple[str, str | None], int] = {}
 
         def counted(of: list, g, terms, n_docs, n):
@@ -128,19 +132,17 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
                 lang_of = np.array([languages.index(x) for x in langs.to_pylist()], np.int64)[of]
                 go = sizes[term] > before
                 doc, term, n = doc[go], term[go], n[go]
-                for cut, alive in filters.items():
+                for cut, alive in tests.items():
                     long = sizes > cut
                     if not len(term) or not long.any():
                         continue
                     part = pc.binary_slice(raw, 0, cut).dictionary_encode()
-                    prefixes, which = part.dictionary.to_pylist(), part.indices.to_numpy()
-                    key = lang_of[doc] * len(prefixes) + which[term]
-                    asked = np.zeros(len(languages) * len(prefixes), bool)
-                    asked[key[long[term]]] = True
-                    good = np.zeros(len(asked), bool)
-                    for k in np.flatnonzero(asked).tolist():
-                        good[k] = lives(alive, _key(languages[k // len(prefixes)], prefixes[k % len(prefixes)]))
-                    go = good[key] | ~long[term]
+                    whole_cut = np.flatnonzero(pc.binary_length(part.dictionary).to_numpy() == cut)
+                    good = np.zeros((len(languages), len(part.dictionary)), bool)
+                    for k, lang in enumerate(languages):
+                        a, b = _bits(lang, part.dictionary.take(pa.array(whole_cut)), cut, 8 * len(alive))
+                        good[k, whole_cut] = (alive[a >> 3] >> (a & 7)) & (alive[b >> 3] >> (b & 7)) & 1
+                    go = good[lang_of[doc], part.indices.to_numpy()[term]] | ~long[term]
                     doc, term, n = doc[go], term[go], n[go]
                 if whole and len(term):
                     key, at = np.unique(of[doc].astype(np.int64) * len(terms) + term, return_inverse=True)
@@ -163,13 +165,20 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
     return parsed.where(F.col("longest") > before).select(*names).mapInArrow(run, "lang string, source string, term binary, n_docs long, n long")
 
 
-def _filter(survivors: DataFrame) -> bytes:
-    """A Bloom filter of (lang, term) of FILTER_BITS bits; it may name more than the survivors, never less."""
+def _filter(survivors: DataFrame, size: int) -> bytes:
+    """A Bloom filter of (lang, term) of FILTER_BITS bits, terms of size bytes; it may name more than the survivors, never less."""
     import numpy as np
 
-    h = F.xxhash64(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.col("term")))
-    bit = F.explode(F.array(F.pmod(h, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(h, 32), F.lit(FILTER_BITS))))
-    words = survivors.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            for lang in pc.unique(b.column(0)):
+                some = b.filter(pc.equal(b.column(0), lang))
+                yield pa.record_batch([pa.array(np.concatenate(_bits(lang.as_py(), some.column(1), size, FILTER_BITS)))], names=["bit"])
+
+    words = survivors.select("lang", "term").mapInArrow(run, "bit long").groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[[r.word for r in words]] = [r.bits for r in words]
     return out.astype("<i8").tobytes()
@@ -192,7 +201,7 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     while True:
         prefixes = _counts(parsed, size, size, filters, False).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
         survivors = stored(prefixes.where(F.col("n_docs") >= least).select("lang", "term"), "divergence-prefixes")
-        filters[size] = _filter(survivors)
+        filters[size] = _filter(survivors, size)
         if survivors.isEmpty():
             break
         size *= 2
