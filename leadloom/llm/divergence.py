@@ -140,8 +140,8 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
                     whole_cut = np.flatnonzero(pc.binary_length(part.dictionary).to_numpy() == cut)
                     good = np.zeros((len(languages), len(part.dictionary)), bool)
                     for k, lang in enumerate(languages):
-                        a, b = _bits(lang, part.dictionary.take(pa.array(whole_cut)), cut, 8 * len(alive))
-                        good[k, whole_cut] = (alive[a >> 3] >> (a & 7)) & (alive[b >> 3] >> (b & 7)) & 1
+                        one, two = _bits(lang, part.dictionary.take(pa.array(whole_cut)), cut, 8 * len(alive))
+                        good[k, whole_cut] = (alive[one >> 3] >> (one & 7)) & (alive[two >> 3] >> (two & 7)) & 1
                     go = good[lang_of[doc], part.indices.to_numpy()[term]] | ~long[term]
                     doc, term, n = doc[go], term[go], n[go]
                 if whole and len(term):

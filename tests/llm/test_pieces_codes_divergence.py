@@ -178,6 +178,7 @@ def test_divergence_brute_force(spark, monkeypatch):
             monkeypatch.setattr(D, "FILTER_BITS", 64)
             monkeypatch.setattr(D, "TASK_COUNTS", 5)
             monkeypatch.setattr(D, "BLOCK_CELLS", 8)
+            monkeypatch.setattr(D, "BLOCK_ROWS", 4)
         got = [tuple(r) for r in source_divergence(table_of(spark, rows)).collect()]
         assert len(got) == len(set(got)) and set(got) == brute_divergence(rows)
     assert {r for r in map(tuple, source_divergence(table_of(spark, rows), top=2).collect())} == brute_divergence(rows, top=2)
