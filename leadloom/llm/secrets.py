@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, stored
 
 KINDS = ("assign", "access", "hex", "random")
 _KEY = "".join(f"[{c.upper()}{c}]" for c in "password") + "|" + "|".join("".join(f"[{c.upper()}{c}]" for c in k) for k in ("passwd", "secret", "token")) + "|[Aa][Pp][Ii]_?[Kk][Ee][Yy]"
@@ -21,8 +21,14 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{12,}"
 ORDINARY = r"[A-Za-z0-9+/_=-]{6,}"
 #: Bound of the fitting sample: documents, those with the smallest seeded hashes.
 SAMPLE_ROWS = 4000
-#: A stretch of a candidate is a secret if its log-likelihood ratio is above this in all, and above 0.5 a character.
-LEAST_RATIO, LEAST_MEAN = 12.0, 0.5
+#: A stretch of a candidate is a secret if its log-likelihood ratio is above the first in all, and above the second a character.
+LEAST_RATIO, LEAST_MEAN = 10.5, 0.4
+#: Of so many words of a fitting text, one is joined with the next.
+JOINED = 16
+#: Share of an ordinary character that follows from the kind of the one before.
+KIND_WEIGHT = 0.3
+#: Fits of the models; each but the first leaves out ordinary strings that the one before puts above this ratio.
+FITS, CLEAN_RATIO = 2, 3.0
 _FIRST, _CODES = ord("+"), ord("z") - ord("+") + 1
 
 
@@ -59,7 +65,9 @@ def log_ratios(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[float]:
     """log P(next | character) of random strings over that of ordinary identifiers, by pairs of codes.
 
     Labelled samples, from at most rows documents: random are the values that the base patterns find and a
-    digest of each doc_id as hex and as base64; ordinary are the other words, as written and in capitals.
+    digest of each doc_id as hex and as base64; ordinary are the other words, as written, in capitals, and joined as names and
+    paths are. A part of an ordinary character's weight, KIND_WEIGHT, follows from the kinds of characters alone (lower, upper, digit, mark), so
+    words of other languages than the sample's, whose letters follow each other in new ways, stay ordinary.
     """
     # doc_id repeats in few rows, so what is broadcast is bounded by rows
     chosen = docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
@@ -68,23 +76,59 @@ def log_ratios(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[float]:
     digest = F.sha2(F.concat(F.lit("sample "), F.col("doc_id").cast("string")), 256)
     rest = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
     plain = F.regexp_extract_all(rest, F.lit(ORDINARY), F.lit(0))
+    ordinary = F.concat(plain, F.transform(plain, F.upper), joined(F.filter(plain, lambda w: w.rlike("^[A-Z]?[a-z]+$"))))
     strings = text.select(F.explode(F.array(
         F.struct(F.lit(1).alias("y"), F.concat(F.filter(values, lambda v: F.char_length(v) >= ASSIGN_VALUE), F.array(digest, F.base64(F.unhex(digest)))).alias("s")),
-        F.struct(F.lit(0).alias("y"), F.concat(plain, F.transform(plain, F.upper)).alias("s")),
+        F.struct(F.lit(0).alias("y"), ordinary.alias("s")),
     )).alias("x")).select("x.y", F.explode("x.s").alias("s"))
-    pairs = strings.select("y", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("s") - 1, F.lit(1))), lambda i: F.substring("s", i, 2))).alias("pair"))
-    counts: dict[tuple[int, int, int], int] = {}
-    for r in pairs.where("length(pair) = 2").groupBy("y", "pair").count().collect():  # at most 2 * 80 * 80 rows
-        a, b = (ord(c) - _FIRST for c in r.pair)
-        if 0 <= a < _CODES and 0 <= b < _CODES:
-            counts[r.y, a, b] = r["count"]
-    alphabet = [ord(c) - _FIRST for c in "+/=_-" + "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)]))]
+    strings = stored(strings, "secret-samples")
+    ratios = None
+    for _ in range(FITS):
+        # what an earlier fit calls random among the ordinary strings is left out of them, as texts hold unlabelled secrets too
+        clean = F.lit(True) if ratios is None else F.aggregate(pair_ratios(F.col("s"), ratios), F.lit(0.0), lambda a, x: a + x) <= CLEAN_RATIO
+        pairs = strings.where((F.col("y") == 1) | clean).select("y", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("s") - 1, F.lit(1))), lambda i: F.substring("s", i, 2))).alias("pair"))
+        counts: dict[tuple[int, int, int], int] = {}
+        for r in pairs.where("length(pair) = 2").groupBy("y", "pair").count().collect():  # at most 2 * 80 * 80 rows
+            a, b = (ord(c) - _FIRST for c in r.pair)
+            if 0 <= a < _CODES and 0 <= b < _CODES:
+                counts[r.y, a, b] = r["count"]
+        ratios = ratios_of(counts)
+    return ratios
+
+
+def joined(words: Column) -> Column:
+    """Every JOINED-th of some plain words joined with the next one as in names and paths, in turn by a capital, / - _ = +, a number, in lower case or in capitals; and moments of time."""
+    first, second = (lambda i: F.lower(F.get(words, i - 1))), (lambda i: F.lower(F.get(words, i)))
+    camel = lambda i: F.concat(first(i), F.initcap(second(i)), F.initcap(first(i)))
+    marks = F.array(*map(F.lit, ("/", "-", "_", "/", "-", "_", "=", "+")))
+    marked = lambda i: F.concat(first(i), F.get(marks, i % 8), second(i), F.get(marks, F.floor(i / 8).cast("int") % 8), F.left(first(i), F.lit(2)))
+    number = lambda i: F.concat(second(i), (i * 7 % 1000).cast("string"), F.get(marks, i % 6), F.left(first(i), F.lit(3)), (i % 13).cast("string"))
+    letter = lambda w: F.left(w, F.lit(1))
+    letters = lambda i: F.concat_ws("/", letter(first(i)), letter(second(i)), letter(first(i)))
+    two = lambda n: F.lpad((n % 60).cast("string"), 2, F.lit("0"))
+    moment = lambda i: F.concat((1990 + i % 45).cast("string"), *[x for k, m in ((7, "-"), (3, "-"), (11, "T"), (5, "-"), (13, "-")) for x in (F.lit(m), two(i * k))])
+    some = F.when(F.size(words) > 1, F.sequence(F.lit(1), F.size(words) - 1, F.lit(JOINED))).otherwise(F.array().cast("array<int>"))
+    ways = lambda i: F.array(camel(i), marked(i), F.upper(marked(i)), number(i), moment(i), letters(i))
+    return F.concat(F.flatten(F.transform(some, ways)), F.transform(marks, lambda m: F.repeat(m, F.lit(3))))
+
+
+def ratios_of(counts: dict[tuple[int, int, int], int]) -> list[float]:
+    """log_ratios' table from counts of (1 random or 0 ordinary, code, next code)."""
+    kinds = ("+", "/", "=", "_", "-", *("".join(map(chr, x)) for x in (range(48, 58), range(65, 91), range(97, 123))))
+    kind = {ord(c) - _FIRST: k for k in kinds for c in k}
+    of_kinds: dict[tuple[str, str], float] = {}
+    for (y, a, b), n in counts.items():
+        if not y and a in kind and b in kind:
+            of_kinds[kind[a], kind[b]] = of_kinds.get((kind[a], kind[b]), 0) + n
+    from_kind = {k: sum(of_kinds.get((k, m), 0) for m in kinds) for k in kinds}
     out = [0.0] * (_CODES * _CODES)
-    for a in alphabet:
-        sums = [sum(counts.get((y, a, b), 0) for b in alphabet) for y in (0, 1)]
-        for b in alphabet:
-            p = [(counts.get((y, a, b), 0) + 0.5) / (sums[y] + 0.5 * len(alphabet)) for y in (0, 1)]
-            out[a * _CODES + b] = round(math.log(p[1] / p[0]), 4)
+    for a in kind:
+        sums = [sum(counts.get((y, a, b), 0) for b in kind) for y in (0, 1)]
+        for b in kind:
+            random = (counts.get((1, a, b), 0) + 0.5) / (sums[1] + 0.5 * len(kind))
+            by_kind = (of_kinds.get((kind[a], kind[b]), 0) + 0.5) / (from_kind[kind[a]] + 0.5 * len(kinds)) / len(kind[b])
+            ordinary = (1 - KIND_WEIGHT) * (counts.get((0, a, b), 0) + 0.5) / (sums[0] + 0.5 * len(kind)) + KIND_WEIGHT * by_kind
+            out[a * _CODES + b] = round(math.log(random / ordinary), 4)
     return out
 
 
