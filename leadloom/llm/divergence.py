@@ -132,21 +132,28 @@ def _counts(parsed: DataFrame, before: int, size: int, filters: dict[int, bytes]
                 lang_of = np.array([languages.index(x) for x in langs.to_pylist()], np.int64)[of]
                 go = sizes[term] > before
                 doc, term, n = doc[go], term[go], n[go]
+                # only terms that are left are looked at, under new numbers
+                left = np.zeros(len(raw), bool)
+                left[term] = True
+                raw, sizes, term = raw.filter(pa.array(left)), sizes[left], (np.cumsum(left) - 1)[term]
                 for cut, alive in tests.items():
                     long = sizes > cut
                     if not len(term) or not long.any():
                         continue
                     part = pc.binary_slice(raw, 0, cut).dictionary_encode()
-                    whole_cut = np.flatnonzero(pc.binary_length(part.dictionary).to_numpy() == cut)
-                    good = np.zeros((len(languages), len(part.dictionary)), bool)
+                    which = part.indices.to_numpy()
+                    asked, good = np.zeros((2, len(languages), len(part.dictionary)), bool)
+                    asked[lang_of[doc], which[term]] = True
+                    asked &= pc.binary_length(part.dictionary).to_numpy() == cut
                     for k, lang in enumerate(languages):
+                        whole_cut = np.flatnonzero(asked[k])
                         one, two = _bits(lang, part.dictionary.take(pa.array(whole_cut)), cut, 8 * len(alive))
                         good[k, whole_cut] = (alive[one >> 3] >> (one & 7)) & (alive[two >> 3] >> (two & 7)) & 1
-                    go = good[lang_of[doc], part.indices.to_numpy()[term]] | ~long[term]
+                    go = good[lang_of[doc], which[term]] | ~long[term]
                     doc, term, n = doc[go], term[go], n[go]
                 if whole and len(term):
-                    key, at = np.unique(of[doc].astype(np.int64) * len(terms) + term, return_inverse=True)
-                    g, t = np.divmod(key, len(terms))
+                    key, at = np.unique(of[doc].astype(np.int64) * len(raw) + term, return_inverse=True)
+                    g, t = np.divmod(key, len(raw))
                     total = np.bincount(at, n).astype(np.int64)
                     held.append(counted(list(zip(langs.to_pylist(), sources.to_pylist())), g, raw.take(pa.array(t)), np.bincount(at), pa.array(total)))
                 elif len(term):
