@@ -542,41 +542,3 @@ def test_secrets_short_and_joined(spark, sf):
     print({n: [hits[n, form] for form in forms] for n in (12, 14, 16, 19, 24, 32)})
     assert all(hits[n, form] >= 24 for n in (16, 19, 24, 32) for form in forms)
     assert got[500000] == ["random:4:25", "hex:25:45"]
-
-
-ORDINARY_STRINGS = """getUserAccountSettings application/x-www-form-urlencoded org/apache/spark/sql/DataFrame Donaudampfschifffahrtsgesellschaft XMLHttpRequestEventTarget
-iPhone15ProMax256GB Krzysztofowski-Brzeczyszczykiewicz a/b/c/d/e/f/g/h/i MAX_CONNECTION_POOL_SIZE anticonstitutionnellement com-example-service-v2 Rindfleischetikettierungsueberwachung
-desoxirribonucleico internationalization README_v1_final_2024-03-15 node_modules/react-dom/index supercalifragilistic HttpServletRequestWrapper 2024-03-15T10-30-00 strength-of-materials
-xhtml1-transitional JavaScriptObjectNotation kindergarten_teacher_training win32_x86_64_release UTF8StringDecoderFactory SELECT_COUNT_DISTINCT ==================== --------------------
-Wirtschaftspruefungsgesellschaft otorhinolaryngologist""".split()
-
-
-def test_secrets_leave_ordinary_strings(spark, sf):
-    """Names, paths, compounds of languages that the sample lacks, dates and rules are no secrets; random strings of 14 characters and more mostly are."""
-    import base64
-    import random
-    import string
-
-    rng = random.Random(3)
-    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (14, 16, 20, 32) for _ in range(50)] + [base64.b64encode(rng.randbytes(24)).decode() for _ in range(50)]
-    rows = [(700000 + i, f"see {x} here") for i, x in enumerate(ORDINARY_STRINGS + keys)]
-    docs = load(spark, sf).select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = {r.doc_id: r.spans for r in secret_scan(docs).where("doc_id >= 700000").collect()}
-    told = [got[i] for i, _ in rows]
-    n = len(ORDINARY_STRINGS)
-    # the 250 keys are a fifth of the texts that the model is fitted on, unlabelled; one name with two numbers is at the edge then
-    assert {x for x, spans in zip(ORDINARY_STRINGS, told) if spans} <= {"iPhone15ProMax256GB"}
-    for k, most in enumerate((0.8, 0.8, 0.9, 0.95, 0.95)):
-        assert sum(map(bool, told[n + 50 * k : n + 50 * k + 50])) >= most * 50
-
-
-def test_secret_ratios_by_definition():
-    import math
-
-    from leadloom.llm.secrets import _CODES, _FIRST, KIND_WEIGHT, ratios_of
-
-    at = lambda c: ord(c) - _FIRST
-    counts = {(1, at("a"), at("B")): 9, (0, at("a"), at("b")): 7, (0, at("a"), at("B")): 1, (0, at("q"), at("x")): 3}
-    table = ratios_of(counts)
-    # 67 characters in all: 62 letters and digits, and five marks that are kinds of their own
-    assert len(table) == _CODES**2 and abs(table[at("a") * _CODES + at("B")] - math.log((9.5 / (9 + 0.5 * 67)) / ((1 - KIND_WEIGHT) * 1.5 / (8 + 0.5 * 67) + KIND_WEIGHT * 1.5 / (11 + 0.5 * 8) / 26))) < 1e-3
