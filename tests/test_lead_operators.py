@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leadloom.functions import exprs as E
 from leadloom.operators import candidates as C
-from leadloom.operators import contacts, entities, gates, names
+from leadloom.operators import contacts, entities, gates, names, reports
 from leadloom.operators import neardup as N
 from leadloom.operators import people as P
 from leadloom.operators.geo import adaptive_cells
@@ -227,3 +227,10 @@ def test_reject_batch_needs_a_pair(spark, tmp_path):
     for k, (texts, want) in enumerate((((a, b), False), ((a, c), True), ((b, d), True), ((a,), False))):
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
         assert [tuple(r) for r in QUERIES["reject_batch_if_dupes"](spark, f"{tmp_path}/{k}").collect()] == [(want,)]
+
+
+def test_funnel_with_empty_stages(spark):
+    rows = [r.ratio for r in reports.funnel([("a", spark.range(4)), ("b", spark.range(0)), ("c", spark.range(0)), ("d", spark.range(2))]).orderBy("step").collect()]
+    assert rows[:2] == [None, 0.0] and rows[2] != rows[2] and rows[3] == float("inf")
+    none = spark.createDataFrame([], "domain string")
+    assert reports.page_yield(none, none).select("domains", "warn").first()[:] == (0, False)
