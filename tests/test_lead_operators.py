@@ -234,3 +234,8 @@ def test_funnel_with_empty_stages(spark):
     assert rows[:2] == [None, 0.0] and rows[2] != rows[2] and rows[3] == float("inf")
     none = spark.createDataFrame([], "domain string")
     assert reports.page_yield(none, none).select("domains", "warn").first()[:] == (0, False)
+
+
+def test_shortfall_without_kept_leads(spark):
+    rows = spark.createDataFrame([(0, 0), (5, 0), (50, 10), (250, 10)], "n_in long, n_kept long")
+    assert [r[:] for r in reports.target_shortfall(rows, 20).orderBy("n_in").collect()] == [(0, 0, None, True), (5, 0, None, True), (50, 10, 100, True), (250, 10, 500, True)]
