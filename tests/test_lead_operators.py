@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +240,12 @@ def test_funnel_with_empty_stages(spark):
 def test_shortfall_without_kept_leads(spark):
     rows = spark.createDataFrame([(0, 0), (5, 0), (50, 10), (250, 10)], "n_in long, n_kept long")
     assert [r[:] for r in reports.target_shortfall(rows, 20).orderBy("n_in").collect()] == [(0, 0, None, True), (5, 0, None, True), (50, 10, 100, True), (250, 10, 500, True)]
+
+
+def test_survival_without_spread(spark):
+    of = lambda rows: reports.score_survival(spark.createDataFrame(rows, "traffic_score long, drop_reason string")).first()
+    assert of([])[:] == (0, 0, None)
+    for rows, n in (([(5, None)], 1), ([(5, None), (9, None)], 2), ([(5, None), (5, "x")], 1)):
+        got = of(rows)
+        assert got[:2] == (len(rows), n) and got[2] != got[2]
+    assert of([(5, None), (9, "x"), (1, "x"), (7, None)])[:] == (4, 2, round(float(np.corrcoef([5, 9, 1, 7], [1, 0, 0, 1])[0, 1]), 4))
