@@ -234,6 +234,30 @@ def test_minhash_recall_against_the_exact_join(spark):
     assert few <= got | exact and len(few) < len(exact)
 
 
+def test_sketches_lose_no_pair(spark, monkeypatch):
+    """Equal to the exact join in one tile and in many, with sets of all sizes; few pairs are counted."""
+    from leadloom.operators import sketches as K2
+
+    rng = random.Random(14)
+    rows = []
+    for i in range(120):
+        base = [rng.choice("abcdefghij klmnop") for _ in range(rng.choice([3, 12, 60, 300, 1500]))]
+        for j in range(4):
+            text = list(base)
+            for _ in range(rng.randint(0, len(text) // 25)):
+                text[rng.randrange(len(text))] = rng.choice("qrstuv")
+            rows.append((4 * i + j, "".join(text)))
+    rows += [(1000, ""), (1002, "ab")]
+    items = spark.createDataFrame(rows, "id long, text string").select("id", N.trigrams(F.col("text")).alias("items"))
+    exact = {tuple(r) for r in N.similar_pairs(N.equal_sets(items), 0.85).collect()}
+    sets = N.stored_sets(items)
+    ids = N.first_ids(sets)
+    assert len(exact) > 50 and {tuple(r) for r in K2.sketch_pairs(sets, ids, 0.85).collect()} == exact
+    monkeypatch.setattr(K2, "TILE", 7)
+    met = [(r.a, r.b) for r in K2.sketch_candidates(sets, ids, 0.85).collect()]
+    assert len(set(met)) == len(met) < 3 * len(exact) and {r[:2] for r in exact} <= set(met)
+
+
 def test_minhash_estimates_the_index():
     rng = np.random.default_rng(1)
     x = rng.integers(-(2**63), 2**63 - 1, 900, dtype=np.int64)
