@@ -249,3 +249,12 @@ def test_survival_without_spread(spark):
         got = of(rows)
         assert got[:2] == (len(rows), n) and got[2] != got[2]
     assert of([(5, None), (9, "x"), (1, "x"), (7, None)])[:] == (4, 2, round(float(np.corrcoef([5, 9, 1, 7], [1, 0, 0, 1])[0, 1]), 4))
+
+
+def test_reject_batch_looks_for_pairs_only_where_it_must(spark, tmp_path, monkeypatch):
+    from leadloom.plans.catalog import QUERIES
+
+    monkeypatch.setattr(N, "similar_pairs", lambda *_: pytest.fail("all pairs were looked for"))
+    for k, texts in enumerate((["one two three four five six seven x", "one two three four five six seven y z"], ["a b c d", "a b c d"])):
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        assert QUERIES["reject_batch_if_dupes"](spark, f"{tmp_path}/{k}").first()[0] is True
