@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -17,6 +20,8 @@ FILTER_BITS = 1 << 24
 BLOCK_ROWS, BLOCK_CHARS = 512, 2_000_000
 #: Counts that a task holds before it adds them up and hands them on.
 TASK_COUNTS = 300_000
+#: Bytes of an Arrow batch of blocks: a task holds one batch in Spark and one in Python, however many blocks it reads.
+BATCH_BYTES = 8 << 20
 #: Cells (term, source) of a block that one task compares.
 BLOCK_CELLS = 2_000_000
 SCALE = 1_000_000_000
@@ -24,6 +29,18 @@ SCALE = 1_000_000_000
 NO_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_BYTES at most for the jobs that run inside; the session's own setting holds again after them."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _block(langs: list, sources: list, texts):
     """One row of _document_terms: the terms of some documents, each a number, and how often each document has which."""
     import numpy as np
@@ -201,24 +218,26 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     the level. Then whole terms all of whose prefixes are left are counted exactly, with their groups. The survivors go to the tasks as a
     Bloom filter of fixed size; a prefix it names in error is counted later and falls there, so no result depends on it.
     """
-    # a row has a whole block, so small row groups keep few of them in memory at a time
-    parsed = stored(_document_terms(docs), "divergence-terms", **{"parquet.block.size": 4 << 20})
-    filters: dict[int, bytes] = {}
-    size = FIRST_BYTES
-    while True:
-        prefixes = _counts(parsed, size, size, filters, False).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
-        survivors = stored(prefixes.where(F.col("n_docs") >= least).select("lang", "term"), "divergence-prefixes")
-        filters[size] = _filter(survivors, size)
-        if survivors.isEmpty():
-            break
-        size *= 2
-    whole = _counts(parsed, 0, 0, filters, True)
-    # one shuffle by term serves the counts of its sources and of its language
-    w = Window.partitionBy("lang", "term")
-    counts = whole.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")).withColumn("row", F.monotonically_increasing_id())
-    counts = counts.withColumns({"docs": F.sum("n_docs").over(w), "n_lang": F.sum("n").over(w), "tid": F.min("row").over(w)}).where(F.col("docs") >= least)
+    with _small_batches(docs.sparkSession):
+        # a row has a whole block, so small row groups keep few of them in memory at a time
+        parsed = stored(_document_terms(docs), "divergence-terms", **{"parquet.block.size": 4 << 20})
+        filters: dict[int, bytes] = {}
+        size = FIRST_BYTES
+        while True:
+            prefixes = _counts(parsed, size, size, filters, False).groupBy("lang", "term").agg(F.sum("n_docs").alias("n_docs"))
+            survivors = stored(prefixes.where(F.col("n_docs") >= least).select("lang", "term"), "divergence-prefixes")
+            filters[size] = _filter(survivors, size)
+            if survivors.isEmpty():
+                break
+            size *= 2
+        whole = _counts(parsed, 0, 0, filters, True)
+        # one shuffle by term serves the counts of its sources and of its language
+        w = Window.partitionBy("lang", "term")
+        counts = whole.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n_docs").alias("n_docs"), F.sum("n").alias("n")).withColumn("row", F.monotonically_increasing_id())
+        counts = counts.withColumns({"docs": F.sum("n_docs").over(w), "n_lang": F.sum("n").over(w), "tid": F.min("row").over(w)}).where(F.col("docs") >= least)
+        counts = stored(counts.select("lang", "source", "term", "n", "n_lang", "tid", (F.col("row") == F.col("tid")).alias("first")), "divergence-counts")
     groups = parsed.select(F.explode(F.arrays_zip("langs", "sources")).alias("g")).select(F.col("g.langs").alias("lang"), F.col("g.sources").alias("source")).distinct()
-    return stored(counts.select("lang", "source", "term", "n", "n_lang", "tid", (F.col("row") == F.col("tid")).alias("first")), "divergence-counts"), groups
+    return counts, groups
 
 
 def _share(n, total) -> F.Column:

@@ -193,6 +193,16 @@ def test_divergence_odd_rows(spark):
     assert {(r.source, r.n) for r in kept.collect()} == {("a", 2), ("b", 1), ("c", 1)} and groups.count() == 3
 
 
+def test_divergence_batches_are_small(spark, monkeypatch):
+    """Every job that hands blocks to Python runs with Arrow batches of BATCH_BYTES; the session's own setting is back after it."""
+    name, seen, counts = "spark.sql.execution.arrow.maxBytesPerBatch", [], D._counts
+    monkeypatch.setattr(D, "_counts", lambda *a: seen.append(int(spark.conf.get(name))) or counts(*a))
+    monkeypatch.setattr(D, "BATCH_BYTES", 1)
+    before, rows = spark.conf.get(name), [("one two two", "en", s) for s in "abca"]
+    assert {tuple(r) for r in source_divergence(table_of(spark, rows)).collect()} == brute_divergence(rows)
+    assert len(seen) >= 2 and set(seen) == {1} and spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(name, spark, sf):
     con = duckdb.connect()
