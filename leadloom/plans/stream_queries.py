@@ -35,7 +35,8 @@ def lifecycle_stream(s, d):
     e = X.send_events(s, d)
     listed = X.table(s, d, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("profile"))
     people = X.people(s, d).select(F.col("person_id").alias("profile"), "degree")
-    half = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).first()[0] or 0
+    half, profiles = e.agg(F.percentile_approx(F.unix_micros("ts"), 0.5), F.approx_count_distinct("profile")).first()
+    half, buckets = half or 0, 1 + (profiles + X.table(s, d, "customer").count()) // T.PER_STATE
     folder = shared_folder(s, "lifecycle-stream")
     none = {"listed": F.lit(None).cast("boolean"), "degree": F.lit(None).cast("int")}
     newer = F.unix_micros("ts") > half
@@ -43,7 +44,7 @@ def lifecycle_stream(s, d):
     tick = e.agg((F.max("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts")).select("ts", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in FACTS.split(", ")[1:]])
     tick.write.mode("append").parquet(f"{folder}/in")
     facts = s.readStream.schema(FACTS).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
-    T.started(T.lifecycle_updates(facts, T.ledger_facts(e.where(~newer), listed, people), late="1000 days"), folder, int(s.conf.get("spark.sql.shuffle.partitions"))).awaitTermination()
+    T.started(T.lifecycle_updates(facts, T.ledger_facts(e.where(~newer), listed, people), late="1000 days", buckets=buckets), folder, int(s.conf.get("spark.sql.shuffle.partitions"))).awaitTermination()
     return R._ntz(T.current(s, folder), "since")
 
 

@@ -115,6 +115,56 @@ def test_lifecycle_ledger_is_shown_and_forgotten(spark, tmp_path):
     assert {(7, "dm_sent"), (7, "attempting")} <= feed.updates()
 
 
+class Calls:
+    """A handle and its list state that count the calls."""
+
+    def __init__(self):
+        self.rows, self.n, self.timers = [], 0, []
+
+    def getListState(self, name, schema):
+        return self
+
+    def get(self):
+        self.n += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.n, self.rows = self.n + 1, rows
+
+    def clear(self):
+        self.n, self.rows = self.n + 1, []
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.append(at)
+
+    def getCurrentWatermarkInMs(self):
+        return max(self.timers, default=0)
+
+
+def test_profiles_of_a_bucket_share_their_state_calls():
+    calls, one = Calls(), T.Lifecycle(5, 21, None)
+    one.init(calls)
+    fact = lambda i, status: {"profile": i, "status": status, "since": 1_000_000 * i, "event_id": i, "listed": None, "degree": None}
+    one.handleInitialState((0,), {"facts": [fact(i, "attempting") for i in range(100)] + [fact(i, "failed") for i in range(100, 200)]}, calls)
+    rows = list(one.handleInputRows((0,), iter([fact(i, "sent") for i in range(50)]), calls))
+    assert {(r.profile, r.status) for r in rows} == {(i, "expired") for i in range(50)}
+    # the first of the 50 attempts left is unknown by then, the others are shown and have the next timer
+    rows = list(one.handleExpiredTimer((0,), calls, None))
+    assert len(rows) == 150 and [r.profile for r in rows if r.status == "unknown"] == [50] and calls.timers == [1, 350_000, 351_000]
+    assert calls.n <= 8 and len(calls.rows) == 200
+
+
+def test_lifecycle_in_one_bucket(spark, tmp_path):
+    old = spark.createDataFrame([(i, "2024-01-01 00:00:00", i, "attempting") for i in range(1, 4)], "profile long, ts string, event_id long, status string")
+    feed = Feed(spark, tmp_path, T.ledger_facts(old.withColumn("ts", F.col("ts").cast("timestamp"))), late="1 hour", forget_days=30, buckets=1)
+    feed.add(("2024-01-01 00:01:00", 1, "sent", 9), ("2024-01-20 00:00:00", 4, "accepted", 8), ("2024-01-20 00:00:00", None))
+    feed.add(("2024-02-10 00:00:00", None)).add(("2024-02-10 00:00:01", 2, "attempting", 10))
+    start, later = "2024-01-01 00:00:00", "2024-02-10 00:00:01"
+    assert feed.run() == {1: ("expired", "2024-01-01 00:01:00"), 2: ("attempting", later), 3: ("unknown", start), 4: ("accepted", "2024-01-20 00:00:00")}
+    assert (2, "unknown") in feed.updates()
+
+
 def test_failures_are_noted_once(spark, tmp_path):
     e = lambda *rows: spark.createDataFrame(rows, "event_id long, ts string, address string, status string").withColumn("ts", F.col("ts").cast("timestamp"))
     days = [
