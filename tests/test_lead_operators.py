@@ -14,6 +14,7 @@ from leadloom.operators import contacts, entities, gates, names, reports
 from leadloom.operators import neardup as N
 from leadloom.operators import people as P
 from leadloom.operators.geo import adaptive_cells
+from leadloom.plans.catalog import QUERIES
 
 
 def values(spark, expr, rows):
@@ -67,6 +68,20 @@ def test_qualify_first_match(spark):
     assert ledger == {("b", "freemail-only"), ("c", "score<82"), ("e", "dead-signal:modern_booking")}
 
 
+def test_lasting_drops_need_no_traffic_signals(spark):
+    rows = [("a", 1, "hotel", "whatsapp", "person", 90, "high", "low", 5, 1), ("b", 2, "hotel", "phone_led", "personal", 90, "high", "low", 5, 1), ("c", 3, "hotel", "phone_led", "role", 85, "low", "low", 5, 1)]
+    q = gates.qualify_leads(spark.createDataFrame(rows, LEAD), "medium", "medium")
+    lasting = {("b", "freemail-only"), ("c", "hotel-volume-too-low")}
+    assert {(r.domain, r.drop_reason) for r in q.collect()} == {("a", "traffic-too-low")} | lasting
+    for kept in (q, q.drop("lasting_reason")):
+        assert {tuple(r) for r in gates.disqualify_rows(kept).collect()} == lasting
+        assert {tuple(r) for r in gates.disqualify_rows(kept, mailbox=False).collect()} == {("c", "hotel-volume-too-low")}
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = lambda name: QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "hjid" in plan("qualify_leads") and "hjid" not in plan("disqualify_rows")
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+
+
 def test_rank_and_cap_any_order(spark):
     rng = random.Random(1)
     rows = [(f"d{i}", i, "hotel", "x", rng.choice(("person", "role")), rng.choice((82, 90)), rng.choice(("na", "low", "high")), rng.choice(("low", "unknown", "high")), rng.randint(0, 2), rng.randint(0, 2)) for i in range(200)]
