@@ -219,8 +219,8 @@ def frequent_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame,
     Bloom filter of fixed size; a prefix it names in error is counted later and falls there, so no result depends on it.
     """
     with _small_batches(docs.sparkSession):
-        # a row has a whole block, so small row groups keep few of them in memory at a time
-        parsed = stored(_document_terms(docs), "divergence-terms", **{"parquet.block.size": 4 << 20})
+        # a row has a whole block, so small row groups keep few of them in memory at a time; zstd, as it is the largest table on disk
+        parsed = stored(_document_terms(docs), "divergence-terms", compression="zstd", **{"parquet.block.size": 4 << 20})
         filters: dict[int, bytes] = {}
         size = FIRST_BYTES
         while True:

@@ -193,6 +193,19 @@ def test_divergence_odd_rows(spark):
     assert {(r.source, r.n) for r in kept.collect()} == {("a", 2), ("b", 1), ("c", 1)} and groups.count() == 3
 
 
+def test_divergence_terms_are_packed(spark, sf, monkeypatch):
+    """The documents' terms are the largest table that op13 keeps on disk; they take under half the bytes of the terms in plain form."""
+    import pyarrow.parquet as pq
+
+    kept, kept_as = {}, D.stored
+    monkeypatch.setattr(D, "stored", lambda df, tag, **options: kept.update({tag: kept_as(df, tag, **options)}) or kept[tag])
+    frequent_terms(spark.read.parquet(f"{sf}/documents.parquet"))
+    files = [f.removeprefix("file://") for f in kept["divergence-terms"].inputFiles()]
+    columns = [g.column(c) for f in files for m in [pq.ParquetFile(f).metadata] for r in range(m.num_row_groups) for g in [m.row_group(r)] for c in range(g.num_columns)]
+    assert {c.compression for c in columns} == {"ZSTD"}
+    assert sum(c.total_compressed_size for c in columns) < 0.5 * sum(c.total_uncompressed_size for c in columns)
+
+
 def test_divergence_batches_are_small(spark, monkeypatch):
     """Every job that hands blocks to Python runs with Arrow batches of BATCH_BYTES; the session's own setting is back after it."""
     name, seen, counts = "spark.sql.execution.arrow.maxBytesPerBatch", [], D._counts
