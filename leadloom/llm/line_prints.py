@@ -1,4 +1,4 @@
-"""What is computed of lines inside tasks: words, fingerprints, keys, and edit distance over words."""
+"""Words, fingerprints, keys, and edit distance over words of lines, in numpy: what lines.py computes as column expressions is tested against it."""
 
 from __future__ import annotations
 
