@@ -273,3 +273,23 @@ def test_reject_batch_looks_for_pairs_only_where_it_must(spark, tmp_path, monkey
     for k, texts in enumerate((["one two three four five six seven x", "one two three four five six seven y z"], ["a b c d", "a b c d"])):
         spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
         assert QUERIES["reject_batch_if_dupes"](spark, f"{tmp_path}/{k}").first()[0] is True
+
+
+def test_word_shingle_pairs_lose_no_link(spark, tmp_path):
+    """Every pair above 0.35 by brute force follows from the result: one representative, or two that are a pair."""
+    rng = random.Random(16)
+    texts = {i: " ".join(rng.choice("a b c d e f".split()) for _ in range(rng.randint(1, 9))) for i in range(50)}
+    texts |= {60: texts[3], 61: texts[3].upper(), 62: texts[7].replace(" ", ", "), 63: "", 64: None, 65: "-", 66: "a b a b a", 67: "a b a b a b a"}
+
+    def sh(t):
+        w = t.lower().replace(",", " ").replace("-", " ").split()
+        return {" ".join(w[i : i + 3]) for i in range(len(w) - 2)} or ({" ".join(w)} if w else set())
+
+    sets = {i: sh(t or "") for i, t in texts.items()}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) > 0.35 * len(sets[a] | sets[b])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["word_shingle_pairs"](spark, str(tmp_path)).collect()
+    rep = {i: min((r.a for r in rows if r.b == i and r.similarity == 1), default=i) for i in texts}
+    listed = {(r.a, r.b) for r in rows}
+    assert (3, 60) in listed and (3, 61) in listed and (66, 67) in listed and len(listed) == len(rows) and listed <= want
+    assert want == {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in listed)}
