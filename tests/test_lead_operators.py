@@ -293,3 +293,11 @@ def test_word_shingle_pairs_lose_no_link(spark, tmp_path):
     listed = {(r.a, r.b) for r in rows}
     assert (3, 60) in listed and (3, 61) in listed and (66, 67) in listed and len(listed) == len(rows) and listed <= want
     assert want == {(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and (rep[a] == rep[b] or tuple(sorted((rep[a], rep[b]))) in listed)}
+
+
+def test_sets_are_not_shuffled_to_find_their_copies(spark):
+    df = spark.createDataFrame([(i, [f"{i % 7}", "x"]) for i in range(40)], "id long, items array<string>")
+    classes = N.equal_sets(df)
+    assert {(r.id, r.rep) for r in classes.collect()} == {(i, i % 7) for i in range(40)}
+    plan = classes._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
